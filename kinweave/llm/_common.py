@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,7 +95,7 @@ class WordHashes(dict):
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the byte column of each piece stays near most_bytes; a single row may exceed it."""
     col = batch.column(column)
-    sizes = np.fromiter((0 if n is None else n for n in pa.compute.binary_length(col).to_pylist()), dtype=np.int64, count=len(col))
+    sizes = np.fromiter((0 if n is None else n for n in pc.binary_length(col).to_pylist()), dtype=np.int64, count=len(col))
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > most_bytes:
