@@ -1,2 +1,609 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the driver's tables, one or more per family of operators, and SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT as C
+from ..functions import geometry as geo
+from ..functions import scalars as sc
+from ..operators import checks, components, consolidate, dupes, emit, gates, ledger, linkage, overrides, people, review, simjoin
+from ..sources import ingest, sinks
+from ..storage import write_table
+from .fixtures import BOXES_SQL, LOOSE, TIGHT, boxes, faces, faces_sql, table
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def note(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return note
+
+
+def r6(c) -> F.Column:
+    return F.round(c if isinstance(c, F.Column) else F.col(c), 6)
+
+
+_TIGHT, _LOOSE = faces_sql(TIGHT), faces_sql(LOOSE)
+_DIST = "list_distance({}, {})"
+_PASS = f"score >= {C.min_face_confidence} AND native_width >= {C.min_face_size} AND frontality >= {C.min_face_frontality}"
+_QUALITY = f"""greatest(0, least(1, {C.weight_size} * least(1, native_width / {C.size_saturation}::DOUBLE) + {C.weight_detection} * score + {C.weight_frontality} * frontality
+    + {C.weight_sharpness} * CASE WHEN sharpness < 0 THEN 0.5 ELSE least(1, sharpness / {C.sharpness_saturation}) END + {C.weight_centrality} * greatest(0, 1 - least(1, dc / {C.similarity}))))::DOUBLE"""
+
+
+def _centres(source: str, key: str) -> str:
+    return f"SELECT {key}, list(m ORDER BY pos) AS centre FROM (SELECT {key}, pos, avg(x) AS m FROM (SELECT {key}, unnest(descriptor) AS x, generate_subscripts(descriptor, 1) AS pos FROM {source}) GROUP BY {key}, pos) GROUP BY {key}"
+
+
+# gates and scores
+
+
+@query(f"WITH {_TIGHT} SELECT CASE WHEN score < {C.min_face_confidence} THEN 'confidence' WHEN native_width < {C.min_face_size} THEN 'size' WHEN frontality < {C.min_face_frontality} THEN 'frontality' ELSE 'passed' END AS reason, count(*) AS n FROM faces GROUP BY 1")
+def gate_rejections(spark: SparkSession, d: str) -> DataFrame:
+    return gates.rejections(faces(spark, d))
+
+
+@query(f"WITH {_TIGHT}, c AS ({_centres('faces', 'seed')}), q AS (SELECT *, {_DIST.format('descriptor', 'centre')} AS dc FROM faces JOIN c USING (seed)) SELECT face_idx, seed, round(dc, 6) AS centre_distance, round({_QUALITY}, 6) AS q FROM q")
+def face_quality(spark: SparkSession, d: str) -> DataFrame:
+    return people.score_faces(faces(spark, d), "seed").select("face_idx", "seed", r6("centre_distance").alias("centre_distance"), r6("q").alias("q"))
+
+
+@query(f"WITH {_TIGHT}, c AS ({_centres('faces', 'seed')}), q AS (SELECT *, {_DIST.format('descriptor', 'centre')} AS dc FROM faces JOIN c USING (seed) WHERE {_PASS}), s AS (SELECT seed, count(*) AS n_faces, count(DISTINCT photo_id) AS n_groups, avg({_QUALITY}) AS mq FROM q GROUP BY seed) SELECT seed, n_faces, n_groups, round(mq, 6) AS mean_quality, CASE WHEN n_groups < 2 OR n_faces < 2 THEN 'thin' WHEN mq < 0.72 THEN 'low_quality' ELSE 'shown' END AS status FROM s")
+def parked_clusters(spark: SparkSession, d: str) -> DataFrame:
+    scored = gates.passing(people.score_faces(faces(spark, d), "seed"))
+    return people.park(people.cluster_summary(scored, "seed")).withColumn("mean_quality", r6("mean_quality"))
+
+
+@query(f"WITH {BOXES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY score DESC, position) AS rn FROM boxes WHERE score >= {C.detect_min_confidence} AND w >= {C.detect_min_size}) SELECT photo, position, score FROM k WHERE rn <= {C.max_faces_per_photo}")
+def detections_kept(spark: SparkSession, d: str) -> DataFrame:
+    return gates.detections(boxes(spark, d)).select("photo", "position", "score")
+
+
+# distances, groups and clusters
+
+
+@query(f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DIST.format('a.v', 'b.v')} AS d FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT a, b, round(d, 6) AS d FROM p WHERE d <= 1.2")
+def l2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return simjoin.similarity_join(rows, 1.2).withColumn("d", r6("d"))
+
+
+@query(f"WITH {_LOOSE}, p AS (SELECT a.face_idx::BIGINT AS a, b.face_idx::BIGINT AS b, {_DIST.format('a.descriptor', 'b.descriptor')} AS d FROM faces a JOIN faces b ON a.face_idx < b.face_idx) SELECT a, b, round(d, 6) AS d FROM p WHERE d <= {C.similarity}")
+def similar_pairs_threshold(spark: SparkSession, d: str) -> DataFrame:
+    rows = faces(spark, d, LOOSE).select(F.col("face_idx").alias("idx"), F.col("descriptor").alias("v"))
+    return simjoin.similarity_join(rows, C.similarity).withColumn("d", r6("d"))
+
+
+_LABELS = f"WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT least(a.label, b.label) AS ga, greatest(a.label, b.label) AS gb, {_DIST.format('a.v', 'b.v')} AS d FROM e a JOIN e b ON a.vec_id < b.vec_id)"
+
+
+def _label_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+@query(f"{_LABELS} SELECT ga, gb, count(*) AS n, round(avg(d), 6) AS average FROM p GROUP BY ga, gb")
+def avg_linkage_cluster_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return simjoin.group_pair_stats(_label_vectors(spark, d), "label").select("ga", "gb", "n", r6(F.col("total") / F.col("n")).alias("average"))
+
+
+@query(f"{_LABELS} SELECT ga, gb, round(min(d), 6) AS least, round(max(d), 6) AS most FROM p WHERE ga <> gb GROUP BY ga, gb")
+def min_raw_pair(spark: SparkSession, d: str) -> DataFrame:
+    return simjoin.group_pair_stats(_label_vectors(spark, d), "label").where("ga <> gb").select("ga", "gb", r6("least").alias("least"), r6("most").alias("most"))
+
+
+@query("SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos")
+def centroid_values(spark: SparkSession, d: str) -> DataFrame:
+    means = simjoin.centroids(_label_vectors(spark, d), "label")
+    return means.select("label", F.posexplode("centre").alias("pos", "x")).withColumn("x", r6("x"))
+
+
+@query(f"WITH faces AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS descriptor FROM embeddings), c AS ({_centres('faces', 'label')}) SELECT a.label::BIGINT AS a, b.label::BIGINT AS b, round({_DIST.format('a.centre', 'b.centre')}, 6) AS d FROM c a JOIN c b ON a.label < b.label WHERE {_DIST.format('a.centre', 'b.centre')} <= 0.44")
+def centroid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _label_vectors(spark, d).withColumnRenamed("v", "descriptor")
+    return consolidate.identity_pairs(rows, key="label").withColumn("d", r6("d"))
+
+
+@query(f"""WITH {_LOOSE}, k AS (SELECT *, seed * 2 + r % 2 AS cluster FROM faces),
+    p AS (SELECT a.cluster AS a, b.cluster AS b, a.photo_id AS pa, b.photo_id AS pb FROM k a JOIN k b ON a.cluster < b.cluster AND a.seed = b.seed WHERE {_DIST.format('a.descriptor', 'b.descriptor')} <= {C.strong_pair})
+    SELECT a, b, count(DISTINCT least(pa, pb) || '|' || greatest(pa, pb)) AS strong_pairs, count(DISTINCT pa) AS covered_a, count(DISTINCT pb) AS covered_b FROM p GROUP BY a, b""")
+def strong_evidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = faces(spark, d, LOOSE).select(F.col("face_idx").cast("long").alias("idx"), "seed", "photo_id", F.col("descriptor").alias("v"))
+    pairs = simjoin.similarity_join(rows.select("idx", "v"), C.strong_pair)
+    own = rows.select("idx", "photo_id", (F.col("seed") * 2 + F.col("idx") % 4 % 2).alias("c"))
+    pairs = pairs.join(own.select(F.col("idx").alias("a"), F.col("photo_id").alias("pa"), F.col("c").alias("ca")), "a").join(own.select(F.col("idx").alias("b"), F.col("photo_id").alias("pb"), F.col("c").alias("cb")), "b").where("ca <> cb")
+    swap = F.col("ca") > F.col("cb")
+    pairs = pairs.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), F.when(swap, F.col("pb")).otherwise(F.col("pa")).alias("pa"), F.when(swap, F.col("pa")).otherwise(F.col("pb")).alias("pb"))
+    return pairs.groupBy("a", "b").agg(F.count_distinct(sc.pair_key(F.col("pa"), F.col("pb"))).alias("strong_pairs"), F.count_distinct("pa").alias("covered_a"), F.count_distinct("pb").alias("covered_b"))
+
+
+@query(f"""WITH {_LOOSE}, p AS (SELECT a.seed AS id, a.face_idx::BIGINT AS a, b.face_idx::BIGINT AS b, {_DIST.format('a.descriptor', 'b.descriptor')} AS d FROM faces a JOIN faces b ON a.seed = b.seed AND a.face_idx < b.face_idx),
+    t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC, a, b) AS rn FROM p) SELECT id, CAST(4 AS BIGINT) AS n, a, b, round(d, 6) AS d FROM t WHERE rn = 1 AND d > {C.impure_distance}""")
+def max_internal_distance(spark: SparkSession, d: str) -> DataFrame:
+    return consolidate.impure(faces(spark, d, LOOSE), key="seed").withColumn("d", r6("d"))
+
+
+_EDGES = """pr AS (SELECT a.face_idx::BIGINT AS a, b.face_idx::BIGINT AS b FROM src a JOIN src b ON a.face_idx < b.face_idx WHERE list_distance(a.descriptor, b.descriptor) <= 0.46),
+    both_ways AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr),
+    walk(node, root) AS (SELECT face_idx::BIGINT, face_idx::BIGINT FROM src UNION SELECT e.b, w.root FROM walk w JOIN both_ways e ON e.a = w.node),
+    comp AS (SELECT node, min(root) AS root FROM walk GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {_TIGHT}, src AS (SELECT * FROM faces), {_EDGES} SELECT node AS face_idx, root FROM comp")
+def components_tight(spark: SparkSession, d: str) -> DataFrame:
+    rows = faces(spark, d).select(F.col("face_idx").cast("long").alias("idx"), F.col("descriptor").alias("v"))
+    return components.label_all(rows, simjoin.similarity_join(rows, C.similarity), "idx").select(F.col("node").alias("face_idx"), "root")
+
+
+@query(f"WITH RECURSIVE {_TIGHT}, src AS (SELECT * FROM faces), {_EDGES} SELECT node AS face_idx, root AS cluster_id FROM comp")
+def average_linkage_tight(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.cluster_faces(faces(spark, d))
+
+
+@query()
+def average_linkage_loose(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.cluster_faces(faces(spark, d, LOOSE))
+
+
+@query()
+def linkage_review_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = faces(spark, d, LOOSE)
+    return linkage.review_pairs(rows, linkage.cluster_faces(rows)).withColumn("average", r6("average"))
+
+
+def _groups(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    hashed = rows.withColumn("phash", sc.average_hash(F.col("descriptor")))
+    photos = hashed.groupBy("photo_id").agg(F.min_by("phash", "face_idx").alias("phash")).withColumn("seq", F.regexp_extract("photo_id", r"(\d+)", 1).cast("int"))
+    return dupes.near_duplicate_groups(photos)
+
+
+@query()
+def near_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, faces(spark, d))
+
+
+@query()
+def consolidated_identities(spark: SparkSession, d: str) -> DataFrame:
+    rows = faces(spark, d, LOOSE)
+    return consolidate.consolidate_identities(rows, linkage.cluster_faces(rows), _groups(spark, rows))
+
+
+@query()
+def identity_review_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = faces(spark, d, LOOSE)
+    clustered = rows.withColumn("face_idx", F.col("face_idx").cast("long")).join(linkage.cluster_faces(rows), "face_idx")
+    return consolidate.review_candidates(clustered.withColumn("g", F.col("photo_id")), key="cluster_id").withColumn("d", r6("d"))
+
+
+_HASH = "list_reduce(list_transform(range(0, 16), lambda i: substr('0123456789abcdef', CAST(1 + 8 * b[i * 4 + 1] + 4 * b[i * 4 + 2] + 2 * b[i * 4 + 3] + b[i * 4 + 4] AS BIGINT), 1)), lambda x, y: x || y)"
+
+
+@query(f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_reduce(v, lambda x, y: x + y) / 64 AS mean FROM e), h AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x >= mean THEN 1 ELSE 0 END) AS b FROM m) SELECT vec_id, {_HASH} AS phash FROM h")
+def average_hash(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", sc.average_hash(F.transform("embedding", lambda x: x.cast("double"))).alias("phash"))
+
+
+@query(f"""WITH {_TIGHT}, m AS (SELECT face_idx, descriptor, list_reduce(descriptor, lambda x, y: x + y) / 64 AS mean FROM faces), h AS (SELECT face_idx::BIGINT AS k, list_transform(descriptor, lambda x: CASE WHEN x >= mean THEN 1 ELSE 0 END) AS b FROM m),
+    n AS (SELECT k, CAST(list_sum(list_transform(range(0, 32), lambda i: CAST(b[i + 1] AS BIGINT) << (31 - i))) AS BIGINT) AS hi, CAST(list_sum(list_transform(range(0, 32), lambda i: CAST(b[i + 33] AS BIGINT) << (31 - i))) AS BIGINT) AS lo FROM h)
+    SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INTEGER) AS d FROM n x JOIN n y ON x.k < y.k WHERE bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= {C.hamming_dupe}""")
+def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = faces(spark, d).select(F.col("face_idx").cast("long").alias("idx"), sc.average_hash(F.col("descriptor")).alias("phash"))
+    return dupes.hamming_pairs(rows)
+
+
+@query(f"WITH {_TIGHT} SELECT a.photo_id, a.face_idx AS a, b.face_idx AS b FROM faces a JOIN faces b ON a.photo_id = b.photo_id AND a.face_idx < b.face_idx")
+def same_photo_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = faces(spark, d).select("photo_id", "face_idx")
+    return rows.withColumnRenamed("face_idx", "a").join(rows.withColumnRenamed("face_idx", "b"), "photo_id").where("a < b").select("photo_id", "a", "b")
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT a.vec_id AS idx, b.vec_id AS nearest, {_DIST.format('a.v', 'b.v')} AS d FROM e a JOIN e b ON a.label <> b.label),
+    t AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, nearest) AS rn FROM p) SELECT idx, nearest, round(d, 6) AS d FROM t WHERE rn = 1""")
+def nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
+    return simjoin.nearest_other_group(_label_vectors(spark, d), "label").withColumn("d", r6("d"))
+
+
+# people
+
+
+def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Passing faces with their cluster, photo number and quality; and the shown clusters."""
+    rows = gates.passing(faces(spark, d)).withColumn("face_idx", F.col("face_idx").cast("long"))
+    vectors = rows.select(F.col("face_idx").alias("idx"), F.col("descriptor").alias("v"))
+    roots = components.label_all(vectors, simjoin.similarity_join(vectors, C.similarity), "idx")
+    scored = people.score_faces(rows.join(roots.select(F.col("node").alias("face_idx"), F.col("root").alias("cluster_id")), "face_idx"))
+    scored = write_table(scored, "scored")
+    shown = people.park(people.cluster_summary(scored)).where("status = 'shown'").drop("status")
+    return scored, write_table(shown, "shown")
+
+
+_PEOPLE = f"""WITH RECURSIVE {_TIGHT}, src AS (SELECT * FROM faces WHERE {_PASS}), {_EDGES},
+    k AS (SELECT s.*, c.root AS cluster_id FROM src s JOIN comp c ON c.node = s.face_idx), c AS ({_centres('k', 'cluster_id')}),
+    q0 AS (SELECT *, list_distance(descriptor, centre) AS dc FROM k JOIN c USING (cluster_id)), q AS (SELECT *, {_QUALITY} AS q FROM q0),
+    s AS (SELECT cluster_id, count(*) AS n_faces, count(DISTINCT photo_id) AS n_groups, avg(q) AS mq FROM q GROUP BY cluster_id HAVING count(DISTINCT photo_id) >= 2 AND count(*) >= 2 AND avg(q) >= 0.72)"""
+
+
+@query(f"""{_PEOPLE}, b AS (SELECT *, count(*) OVER (PARTITION BY cluster_id, photo_id) AS burst FROM q),
+    v AS (SELECT cluster_id, face_id, row_number() OVER (PARTITION BY cluster_id ORDER BY q / pow(burst, 0.25) DESC, face_idx) AS rn FROM b)
+    SELECT s.cluster_id, n_faces, n_groups, round(mq, 6) AS mean_quality, face_id AS cover, CAST(row_number() OVER (ORDER BY n_groups DESC, s.cluster_id) AS INTEGER) AS rank FROM s JOIN v ON v.cluster_id = s.cluster_id AND rn = 1""")
+def people_ranked(spark: SparkSession, d: str) -> DataFrame:
+    scored, shown = _people(spark, d)
+    rows = shown.join(people.covers(scored), "cluster_id").withColumns({"featured": F.lit(False), "order": F.lit(None).cast("int"), "ordinal": F.col("cluster_id")})
+    return people.ranked(rows).select("cluster_id", "n_faces", "n_groups", r6("mean_quality").alias("mean_quality"), "cover", "rank")
+
+
+def _bridge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """person_id, photo_id, seq, face_idx, face_id, box of shown people; and people (id, ordinal, name, featured)."""
+    scored, shown = _people(spark, d)
+    ident = F.concat(F.lit("p-"), F.col("cluster_id").cast("string"))
+    bridge = scored.join(shown.select("cluster_id"), "cluster_id", "left_semi").select(ident.alias("person_id"), "photo_id", F.regexp_extract("photo_id", r"(\d+)", 1).cast("int").alias("seq"), "face_idx", "face_id", "box")
+    persons = shown.select(ident.alias("id"), F.col("cluster_id").alias("ordinal"), F.when(F.col("cluster_id") % 3 == 0, F.concat(F.lit("Name "), F.col("cluster_id").cast("string"))).alias("name"), (F.col("cluster_id") % 5 == 0).alias("featured"))
+    return bridge, persons
+
+
+@query(f"""{_PEOPLE}, l AS (SELECT DISTINCT cluster_id, CAST(substr(photo_id, 3) AS INTEGER) AS seq, photo_id FROM q WHERE cluster_id IN (SELECT cluster_id FROM s)), g AS (SELECT cluster_id, string_agg(photo_id, ',' ORDER BY seq) AS photos, CAST(count(*) AS INTEGER) AS photoCount FROM l GROUP BY cluster_id)
+    SELECT 'p-' || cluster_id AS id, cluster_id AS ordinal, CASE WHEN cluster_id % 3 = 0 THEN 'Name ' || cluster_id END AS name, CASE WHEN cluster_id % 5 = 0 THEN true END AS featured, photoCount, photos FROM g""")
+def public_people(spark: SparkSession, d: str) -> DataFrame:
+    return emit.public_people(*_bridge(spark, d)).withColumn("photos", F.array_join("photos", ","))
+
+
+@query(f"""{_PEOPLE}, f AS (SELECT photo_id, face_idx, 'p-' || cluster_id || ':' || printf('%.4f,%.4f,%.4f,%.4f', greatest(0, cx / 4000.0::DOUBLE), greatest(0, cy / 3000.0::DOUBLE), least(1, w / 4000.0::DOUBLE), least(1, w / 3000.0::DOUBLE)) AS f FROM q WHERE cluster_id IN (SELECT cluster_id FROM s))
+    SELECT photo_id, string_agg(f, ';' ORDER BY face_idx) AS faces FROM f GROUP BY photo_id""")
+def public_photo_faces(spark: SparkSession, d: str) -> DataFrame:
+    bridge, _ = _bridge(spark, d)
+    sizes = bridge.select(F.col("photo_id").alias("id")).distinct().withColumns({"width": F.lit(4000), "height": F.lit(3000)})
+    made = emit.public_photo_faces(bridge, sizes)
+    text = F.transform("faces", lambda f: F.concat(f["p"], F.lit(":"), F.array_join(F.transform(f["b"], lambda x: F.format_string("%.4f", x)), ",")))
+    return made.select("photo_id", F.array_join(text, ";").alias("faces"))
+
+
+@query(f"""{_PEOPLE}, l AS (SELECT DISTINCT cluster_id, CAST(substr(photo_id, 3) AS INTEGER) AS seq, photo_id FROM q WHERE cluster_id IN (SELECT cluster_id FROM s))
+    SELECT 'p-' || cluster_id AS person, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY seq) - 1 AS INTEGER) AS pos, photo_id FROM l""")
+def person_photos(spark: SparkSession, d: str) -> DataFrame:
+    bridge, persons = _bridge(spark, d)
+    photos = bridge.select("photo_id").distinct()
+    return people.person_photos(emit.public_people(bridge, persons), photos).select("person", "pos", "photo_id")
+
+
+@query(f"{_PEOPLE}, f AS (SELECT photo_id, cluster_id, min(face_idx) AS fi FROM q WHERE cluster_id IN (SELECT cluster_id FROM s) GROUP BY photo_id, cluster_id) SELECT photo_id, string_agg('p-' || cluster_id, ',' ORDER BY fi) AS people FROM f GROUP BY photo_id")
+def photo_people(spark: SparkSession, d: str) -> DataFrame:
+    return people.photo_people(_bridge(spark, d)[0]).withColumn("people", F.array_join("people", ","))
+
+
+@query(f"{_PEOPLE} SELECT (SELECT count(*) FROM faces) AS faces, (SELECT count(*) FROM src) AS gated, (SELECT count(DISTINCT photo_id) FROM faces) AS photos, (SELECT count(DISTINCT root) FROM comp) AS clusters, (SELECT count(*) FROM s) AS people, (SELECT CAST(sum(n_faces) AS BIGINT) FROM s) AS placed")
+def run_stats(spark: SparkSession, d: str) -> DataFrame:
+    every = faces(spark, d).agg(F.count("*").alias("faces"), F.count_distinct("photo_id").alias("photos"))
+    scored, shown = _people(spark, d)
+    some = scored.agg(F.count("*").alias("gated"), F.count_distinct("cluster_id").alias("clusters"))
+    last = shown.agg(F.count("*").alias("people"), F.sum("n_faces").alias("placed"))
+    one = [x.withColumn("__one", F.lit(1)) for x in (every, some, last)]
+    return one[0].join(one[1], "__one").join(one[2], "__one").select("faces", "gated", "photos", "clusters", "people", "placed")
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, CASE WHEN c_acctbal >= 5000 THEN c_name END AS name, count(o_orderkey) AS photo_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+    g AS (SELECT id, CAST(row_number() OVER (ORDER BY photo_count DESC, id) AS INTEGER) AS guest_number FROM p WHERE name IS NULL) SELECT id, guest_number, coalesce(name, 'Guest ' || guest_number) AS display_name FROM p LEFT JOIN g USING (id)""")
+def guest_numbers(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    persons = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 5000, F.col("c_name")).alias("name")).join(counts, "id", "left")
+    return people.guest_numbers(persons.select("id", "name", F.coalesce("n", F.lit(0)).alias("photo_count")), "id")
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS featured, CASE WHEN c_acctbal < 0 THEN c_nationkey END AS "order", count(o_orderkey) AS n_groups FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+    SELECT id, CAST(row_number() OVER (ORDER BY featured DESC, "order" ASC NULLS LAST, CASE WHEN "order" IS NULL THEN n_groups END DESC NULLS LAST, id) AS INTEGER) AS rank FROM p""")
+def ranked_people(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "customer").join(counts, F.col("c_custkey") == F.col("id"), "left").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ordinal"), (F.col("c_mktsegment") == "BUILDING").alias("featured"), F.when(F.col("c_acctbal") < 0, F.col("c_nationkey")).alias("order"), F.coalesce("n", F.lit(0)).alias("n_groups"))
+    return people.ranked(rows).select("id", "rank")
+
+
+@query("WITH p AS (SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS featured, count(o_orderkey) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL) SELECT id, CAST(row_number() OVER (ORDER BY featured DESC, k DESC, id) AS INTEGER) AS position FROM p")
+def reader_list(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "customer").join(counts, F.col("c_custkey") == F.col("id"), "left").select(F.col("c_custkey").alias("ordinal"), (F.col("c_mktsegment") == "BUILDING").alias("featured"), F.coalesce("n", F.lit(0)).alias("photo_count"))
+    return rows.select(F.col("ordinal").alias("id"), F.row_number().over(W.orderBy(*people.reader_order())).alias("position"))
+
+
+# windows and sorts
+
+
+@query("WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rn FROM lineitem) SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(rn AS INTEGER) AS rn FROM t WHERE rn <= 3")
+def top_k_per_group(spark: SparkSession, d: str) -> DataFrame:
+    best = W.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.row_number().over(best).alias("rn")).where("rn <= 3")
+
+
+@query("""WITH w AS (SELECT lang, doc_id AS id, lag(doc_id) OVER o AS l, lead(doc_id) OVER o AS n, first_value(doc_id) OVER a AS f, last_value(doc_id) OVER a AS z FROM documents
+    WINDOW o AS (PARTITION BY lang ORDER BY n_chars, doc_id), a AS (PARTITION BY lang ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT lang, id, coalesce(l, z) AS previous, coalesce(n, f) AS next FROM w""")
+def circular_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("lang", F.col("doc_id").alias("id"), F.col("n_chars").alias("seq"))
+    return people.neighbours(rows, within="lang")
+
+
+@query("WITH w AS (SELECT lang, doc_id AS id, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS INTEGER) AS position FROM documents) SELECT lang, id, position, CAST((position - 1) % 4 AS INTEGER) AS grid_column, CAST((position - 1) // 150 AS INTEGER) AS chunk FROM w")
+def gallery_grid(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("lang", F.col("doc_id").alias("id"), F.col("n_chars").alias("seq"))
+    return people.grid(rows, 4, within="lang")
+
+
+@query(f"WITH {_TIGHT} SELECT face_id, CAST(row_number() OVER (PARTITION BY photo_id ORDER BY replace(face_id, '_', ' ')) AS INTEGER) AS position FROM faces")
+def collated_faces(spark: SparkSession, d: str) -> DataFrame:
+    order = W.partitionBy("photo_id").orderBy(F.expr("face_id COLLATE UNICODE"))
+    return faces(spark, d).select("face_id", F.row_number().over(order).alias("position"))
+
+
+@query("WITH s AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY o_custkey) SELECT o_custkey, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS group_index FROM s")
+def dense_group_index(spark: SparkSession, d: str) -> DataFrame:
+    firsts = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    return firsts.select("o_custkey", (F.dense_rank().over(W.orderBy("first")) - 1).alias("group_index"))
+
+
+# the review loop
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    kinds = ["same", "different", "skip", "unset"]
+    choice = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select(sc.pair_key((F.col("user_id") % 50).cast("string"), (F.col("event_id") % 37 + 50).cast("string")).alias("pair_key"), choice.alias("decision"), F.col("ts").alias("decided_at"), F.col("event_id").alias("seq"))
+
+
+_DECISIONS = "k AS (SELECT least((user_id % 50)::VARCHAR, (event_id % 37 + 50)::VARCHAR) || '|' || greatest((user_id % 50)::VARCHAR, (event_id % 37 + 50)::VARCHAR) AS pair_key, ['same', 'different', 'skip', 'unset'][event_id % 4 + 1] AS decision, ts AS decided_at, event_id AS seq FROM events), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_key ORDER BY decided_at DESC, seq DESC) AS rn FROM k) WHERE rn = 1 AND decision <> 'unset')"
+
+
+@query(f"WITH {_DECISIONS} SELECT pair_key, decision, decided_at, seq FROM last")
+def decision_log_latest(spark: SparkSession, d: str) -> DataFrame:
+    return review.latest_decisions(_decisions(spark, d), seq="seq")
+
+
+@query(f"WITH {_DECISIONS}, p AS (SELECT DISTINCT pair_key FROM k), j AS (SELECT p.pair_key, decision FROM p LEFT JOIN last USING (pair_key)) SELECT count(*) AS total, count(*) FILTER (WHERE decision = 'same') AS same, count(*) FILTER (WHERE decision = 'different') AS different, count(*) FILTER (WHERE decision = 'skip') AS skipped, count(*) FILTER (WHERE decision IS NULL) AS undecided FROM j")
+def decision_summary(spark: SparkSession, d: str) -> DataFrame:
+    log = _decisions(spark, d)
+    return review.decision_summary(log.select("pair_key").distinct(), review.latest_decisions(log, seq="seq"))
+
+
+@query(f"WITH {_DECISIONS}, p AS (SELECT DISTINCT pair_key FROM k) SELECT p.pair_key FROM p LEFT JOIN last USING (pair_key) WHERE decision IS NULL OR decision = 'skip'")
+def undecided_pairs(spark: SparkSession, d: str) -> DataFrame:
+    log = _decisions(spark, d)
+    return review.undecided(log.select("pair_key").distinct(), review.latest_decisions(log, seq="seq"))
+
+
+@query("WITH p AS (SELECT (l_partkey % 100)::VARCHAR AS a, (l_suppkey % 100)::VARCHAR AS b, l_extendedprice AS distance FROM lineitem) SELECT least(a, b) || '|' || greatest(a, b) AS pair_key, min(distance) AS distance FROM p GROUP BY 1")
+def pair_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "lineitem").select((F.col("l_partkey") % 100).cast("string").alias("a"), (F.col("l_suppkey") % 100).cast("string").alias("b"), F.col("l_extendedprice").alias("distance"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"))
+    best = pairs.withColumn("pair_key", sc.pair_key(F.col("a"), F.col("b"))).groupBy("pair_key").agg(F.min(F.struct("distance", "o", "l")).alias("x"))
+    return best.select("pair_key", "x.distance")
+
+
+@query("""WITH RECURSIVE ex AS (SELECT s_nationkey AS grp, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1 AS pos FROM supplier WHERE s_acctbal > 6000),
+    hd AS (SELECT grp, id AS head FROM ex WHERE pos = 0), same AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_acctbal < 1000),
+    ln AS (SELECT head AS a, id AS b FROM ex JOIN hd USING (grp) UNION ALL SELECT a, b FROM same), bw AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln),
+    walk(node, root) AS (SELECT a, a FROM bw UNION SELECT e.b, w.root FROM walk w JOIN bw e ON e.a = w.node), comp AS (SELECT node, min(root) AS root FROM walk GROUP BY node),
+    pc AS (SELECT l_suppkey AS id, count(DISTINCT l_orderkey) AS photo_count FROM lineitem GROUP BY 1), hh AS (SELECT head, min(grp) AS h FROM hd GROUP BY head),
+    rk AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY coalesce(h, 9223372036854775807), -coalesce(photo_count, 0), node) AS rn, count(*) OVER (PARTITION BY root) AS k FROM comp LEFT JOIN hh ON head = node LEFT JOIN pc ON pc.id = node)
+    SELECT max(node) FILTER (WHERE rn = 1) AS canonical, string_agg(node, ',' ORDER BY rn > 1, node) AS members FROM rk WHERE k > 1 GROUP BY root""")
+def merge_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier")
+    order = W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
+    existing = rows.where("s_acctbal > 6000").select(F.col("s_nationkey").cast("long").alias("grp"), F.col("s_suppkey").alias("id"), (F.row_number().over(order) - 1).alias("pos"))
+    same = rows.where("s_acctbal < 1000").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 7).alias("b"))
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count_distinct("l_orderkey").alias("photo_count"))
+    return review.merge_groups(existing, same, counts).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+
+
+@query("""WITH RECURSIVE al AS (SELECT c_custkey AS f, c_custkey // 3 AS t FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey >= 3), ids AS (SELECT f AS id FROM al UNION SELECT t FROM al),
+    w(id, cur, n) AS (SELECT id, id, 0 FROM ids UNION ALL SELECT w.id, al.t, n + 1 FROM w JOIN al ON al.f = w.cur) SELECT id, arg_max(cur, n) AS resolved FROM w GROUP BY id""")
+def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
+    aliases = table(spark, d, "customer").where("c_nationkey % 2 = 0 and c_custkey >= 3").select(F.col("c_custkey").alias("from_id"), F.floor(F.col("c_custkey") / 3).alias("to_id"))
+    return components.resolve_aliases(aliases)
+
+
+@query("""WITH c AS (SELECT DISTINCT c_nationkey AS cluster_id, l_partkey::VARCHAR AS face_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey), a AS (SELECT DISTINCT s_nationkey::VARCHAR AS id, l_partkey::VARCHAR AS face_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+    b AS (SELECT cluster_id, id, count(*) AS "both" FROM c JOIN a USING (face_id) GROUP BY ALL), cs AS (SELECT cluster_id, count(*) AS cluster_size FROM c GROUP BY 1), s AS (SELECT id, count(*) AS anchor_size FROM a GROUP BY 1)
+    SELECT cluster_id, id, "both", cluster_size, anchor_size, round("both" / least(cluster_size, anchor_size)::DOUBLE, 6) AS overlap FROM b JOIN cs USING (cluster_id) JOIN s USING (id)""")
+def overlap_coefficient(spark: SparkSession, d: str) -> DataFrame:
+    items, orders = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    bought = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("cluster_id"), F.col("l_partkey").cast("string").alias("face_id"))
+    sold = items.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").cast("string").alias("id"), F.col("l_partkey").cast("string").alias("face_id"))
+    return ledger.anchor_overlaps(bought, sold).withColumn("overlap", r6("overlap"))
+
+
+@query("SELECT DISTINCT l_suppkey AS id, l_partkey AS photo FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 10) EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 10")
+def lost_members(spark: SparkSession, d: str) -> DataFrame:
+    before = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("photo"), "l_quantity")
+    return review.lost_photos(before.select("id", "photo"), before.where("l_quantity > 10").select("id", "photo"))
+
+
+@query("WITH p AS (SELECT (user_id % 50)::VARCHAR AS a, (event_id % 37 + 50)::VARCHAR AS b, event_type FROM events), k AS (SELECT DISTINCT least(a, b) || '|' || greatest(a, b) AS pair_key FROM p WHERE event_type IN ('click', 'view', 'purchase')) SELECT pair_key FROM k")
+def do_not_merge_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("a"), (F.col("event_id") % 37 + 50).cast("string").alias("b"), "event_type")
+    return review.do_not_merge(pairs.where("event_type = 'click'"), pairs.where("event_type in ('view', 'purchase')").select(F.col("b").alias("a"), F.col("a").alias("b"))).select("pair_key")
+
+
+@query("WITH c AS (SELECT l_suppkey AS id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), s AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_acctbal < 1000) SELECT CAST(sum(least(coalesce(x.n, 0), coalesce(y.n, 0))) AS BIGINT) AS photos_reassigned FROM s LEFT JOIN c x ON x.id = a LEFT JOIN c y ON y.id = b")
+def photos_reassigned(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count_distinct("l_orderkey").alias("photo_count"))
+    same = table(spark, d, "supplier").where("s_acctbal < 1000").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 7).alias("b"))
+    return review.photos_reassigned(same, counts)
+
+
+_OVERRIDES = {
+    "split": {"p-0003": {"moveFaces": ["t-10_0096x0000"], "to": "p-0900"}, "p-0005": {"moveFaces": ["t-16_0160x0000"]}},
+    "merge": [["p-0001", "p-0002"], ["p-0002", "p-0007"], ["p-0001", "p-9999"]],
+    "include": {"p-0004": ["t-1_0000x0000"]},
+    "people": {"p-0006": {"hidden": True}, "p-8888": {"name": "Nobody"}},
+}
+
+
+def _assignment(spark: SparkSession, d: str) -> DataFrame:
+    return faces(spark, d).select(F.format_string("p-%04d", F.col("seed")).alias("person_id"), "face_id", "photo_id")
+
+
+@query(f"""WITH {_TIGHT}, a AS (SELECT 'p-' || lpad(seed::VARCHAR, 4, '0') AS person_id, face_id, photo_id FROM faces),
+    s AS (SELECT CASE WHEN person_id = 'p-0003' AND face_id = 't-10_0096x0000' THEN 'p-0900' WHEN person_id = 'p-0005' AND face_id = 't-16_0160x0000' THEN 'p-0950' ELSE person_id END AS person_id, face_id, photo_id FROM a),
+    m AS (SELECT DISTINCT CASE WHEN person_id IN ('p-0002', 'p-0007', 'p-9999') THEN 'p-0001' ELSE person_id END AS person_id, face_id, photo_id FROM s),
+    i AS (SELECT * FROM m UNION SELECT 'p-0004', face_id, photo_id FROM a WHERE face_id = 't-1_0000x0000') SELECT * FROM i WHERE person_id <> 'p-0006'""")
+def overrides_applied(spark: SparkSession, d: str) -> DataFrame:
+    rows = _assignment(spark, d)
+    return overrides.apply(rows, rows.select("face_id", "photo_id").distinct(), _OVERRIDES, 950)[0]
+
+
+@query(f"""WITH {_TIGHT}, p AS (SELECT DISTINCT 'p-' || lpad(seed::VARCHAR, 4, '0') AS reference FROM faces), r(kind, reference) AS (VALUES ('split', 'p-0003'), ('split', 'p-0005'), ('merge', 'p-0001'), ('merge', 'p-0002'), ('merge', 'p-0007'), ('merge', 'p-9999'), ('people', 'p-0006'), ('people', 'p-8888')),
+    f(reference) AS (VALUES ('t-10_0096x0000'), ('t-16_0160x0000'), ('t-1_0000x0000')) SELECT kind, reference FROM r WHERE reference NOT IN (SELECT reference FROM p) UNION ALL SELECT 'face', reference FROM f WHERE reference NOT IN (SELECT face_id FROM faces)""")
+def stale_overrides(spark: SparkSession, d: str) -> DataFrame:
+    return overrides.stale_references(_assignment(spark, d), _OVERRIDES)
+
+
+# integrity
+
+
+@query("""SELECT 'orders have a customer' AS name, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS violations UNION ALL SELECT 'lines have an order', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
+    UNION ALL SELECT 'labels have a document', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) UNION ALL SELECT 'documents have a label', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))""")
+def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
+    t = {n: table(spark, d, n) for n in ("orders", "customer", "lineitem", "labels", "documents")}
+    return checks.dangling("orders have a customer", t["orders"], "o_custkey", t["customer"], "c_custkey").unionByName(checks.dangling("lines have an order", t["lineitem"], "l_orderkey", t["orders"], "o_orderkey")).unionByName(checks.dangling("labels have a document", t["labels"], "doc_id", t["documents"], "doc_id")).unionByName(checks.dangling("documents have a label", t["documents"], "doc_id", t["labels"].withColumnRenamed("doc_id", "labelled"), "labelled"))
+
+
+@query("""SELECT 'orders exist' AS name, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT AS violations FROM orders UNION ALL SELECT 'prices are positive', count(*) FROM orders WHERE NOT coalesce(o_totalprice > 0, false)
+    UNION ALL SELECT 'lengths match', count(*) FROM documents WHERE NOT coalesce(n_chars = length(text), false) UNION ALL SELECT 'balances are not negative', count(*) FROM customer WHERE NOT coalesce(c_acctbal >= 0, false)""")
+def integrity_checks(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return checks.empty("orders exist", orders).unionByName(checks.failing("prices are positive", orders, F.col("o_totalprice") > 0)).unionByName(checks.failing("lengths match", table(spark, d, "documents"), F.col("n_chars") == F.length("text"))).unionByName(checks.failing("balances are not negative", table(spark, d, "customer"), F.col("c_acctbal") >= 0))
+
+
+@query()
+def gallery_checks(spark: SparkSession, d: str) -> DataFrame:
+    bridge, persons = _bridge(spark, d)
+    photos = bridge.select(F.col("photo_id").alias("id")).distinct().withColumns({"w": F.lit(4000), "h": F.lit(3000), "c": F.lit("#e5dcd1")})
+    sizes = photos.select("id", F.col("w").alias("width"), F.col("h").alias("height"))
+    return checks.gallery_checks(photos, emit.public_people(bridge, persons), emit.public_photo_faces(bridge, sizes))
+
+
+# geometry
+
+
+_IOU = """CASE WHEN least(a.x + a.w, b.x + b.w) <= greatest(a.x, b.x) OR least(a.y + a.h, b.y + b.h) <= greatest(a.y, b.y) THEN 0 ELSE
+    (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h + b.w * b.h - (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) END"""
+
+
+@query(f"WITH {BOXES_SQL}, p AS (SELECT a.photo, a.position AS a, b.position AS b, {_IOU} AS iou FROM boxes a JOIN boxes b ON a.photo = b.photo AND a.position < b.position) SELECT photo, a, b, round(iou, 6) AS iou FROM p WHERE iou > 0")
+def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return geo.iou_pairs(boxes(spark, d)).withColumn("iou", r6("iou"))
+
+
+@query(f"""WITH RECURSIVE {BOXES_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY CASE WHEN position > 1 THEN 1400 ELSE 1600 END * 1000 + score * 100 DESC, position) AS k FROM boxes),
+    ov AS (SELECT a.photo, a.k AS ka, b.k AS kb FROM rk a JOIN rk b ON a.photo = b.photo AND a.k < b.k WHERE {_IOU} > {C.merge_iou}),
+    w(photo, k, kept) AS (SELECT photo, 0::BIGINT, []::BIGINT[] FROM rk GROUP BY photo UNION ALL
+        SELECT w.photo, w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.photo = w.photo AND ov.kb = w.k + 1 AND list_contains(w.kept, ov.ka)) THEN w.kept ELSE list_append(w.kept, w.k + 1) END FROM w JOIN rk ON rk.photo = w.photo AND rk.k = w.k + 1),
+    f AS (SELECT photo, arg_max(kept, k) AS kept FROM w GROUP BY photo) SELECT rk.photo, rk.position FROM rk JOIN f ON f.photo = rk.photo WHERE list_contains(f.kept, rk.k)""")
+def nms_kept(spark: SparkSession, d: str) -> DataFrame:
+    return geo.non_maximum_suppression(boxes(spark, d)).select("photo", "position")
+
+
+@query("""WITH s AS (SELECT doc_id AS id, (n_chars % 6000 + 1)::DOUBLE AS W, (doc_id * 37 % 4000 + 1)::DOUBLE AS H FROM documents), g AS (SELECT *, greatest(1, ceil(W / 1400))::INTEGER AS nx, greatest(1, ceil(H / 1400))::INTEGER AS ny FROM s),
+    t AS (SELECT id, W, H, nx, ny, unnest(range(0, nx))::INTEGER AS tx FROM g WHERE nx * ny > 1), u AS (SELECT *, unnest(range(0, ny))::INTEGER AS ty FROM t),
+    v AS (SELECT id, tx, ty, greatest(0, floor(tx * (W / nx) - W / nx * 0.18::DOUBLE)) AS x, greatest(0, floor(ty * (H / ny) - H / ny * 0.18::DOUBLE)) AS y, least(W, ceil((tx + 1) * (W / nx) + W / nx * 0.18::DOUBLE)) AS x1, least(H, ceil((ty + 1) * (H / ny) + H / ny * 0.18::DOUBLE)) AS y1 FROM u)
+    SELECT id, tx, ty, x::INTEGER AS x, y::INTEGER AS y, (x1 - x)::INTEGER AS w, (y1 - y)::INTEGER AS h FROM v WHERE x1 - x > 32 AND y1 - y > 32""")
+def tile_grid(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 6000 + 1).alias("width"), (F.col("doc_id") * 37 % 4000 + 1).alias("height"))
+    return geo.tile_grid(sizes)
+
+
+@query(f"""WITH {BOXES_SQL}, s AS (SELECT *, least(greatest(w, h) * 1.8::DOUBLE, 1000, 120) AS side FROM boxes), r AS (SELECT *, floor(side + 0.5) AS q FROM s)
+    SELECT photo, position, greatest(0, least(floor(x + w / 2 - side / 2 + 0.5), 1000 - q))::INTEGER AS sx, greatest(0, least(floor(y + h / 2 - side / 2 + 0.5), 120 - q))::INTEGER AS sy, q::INTEGER AS side FROM r""")
+def square_box(spark: SparkSession, d: str) -> DataFrame:
+    made = boxes(spark, d).select("photo", "position", geo.square_box(F.struct(*"xywh"), 0.4, F.lit(1000), F.lit(120)).alias("s"))
+    return made.select("photo", "position", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("s.w").alias("side"))
+
+
+@query(f"""WITH {BOXES_SQL}, c AS (SELECT photo, position, (floor((x + w / 2) / 8 + 0.5) * 8)::BIGINT AS cx, (floor((y + h / 2) / 8 + 0.5) * 8)::BIGINT AS cy FROM boxes)
+    SELECT photo, position, 't-' || photo || '_' || printf('%04d', cx) || 'x' || printf('%04d', cy) AS face_id, 't-' || photo AS photo_id FROM c""")
+def face_ids(spark: SparkSession, d: str) -> DataFrame:
+    made = boxes(spark, d).select("photo", "position", sc.face_id(F.concat(F.lit("t-"), F.col("photo").cast("string")), F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("face_id"))
+    return made.withColumn("photo_id", sc.photo_of_face(F.col("face_id")))
+
+
+# sources, caches and scalars
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS average FROM events GROUP BY event_type")
+def json_props_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").withColumn("p", F.from_json("props", "k long"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("total"), r6(F.avg("p.k")).alias("average"))
+
+
+def _cache(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").select("doc_id", F.lit(C.detection_fingerprint()).alias("fingerprint"), F.when(F.col("quality") == 1, F.lit("ok")).otherwise(F.lit("failed")).alias("status"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def incremental_todo(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.todo(table(spark, d, "documents"), _cache(spark, d), key="doc_id").select("doc_id")
+
+
+@query("SELECT coalesce(CASE WHEN quality = 1 THEN 'ok' WHEN quality IS NOT NULL THEN 'failed' END, 'todo') AS state, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def work_states(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.classify(table(spark, d, "documents"), _cache(spark, d), skip_failed=True, key="doc_id").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE quality <> 1) AS failed, round(count(*) FILTER (WHERE quality <> 1) / count(*)::DOUBLE, 6) AS ratio, count(*) FILTER (WHERE quality <> 1) / count(*)::DOUBLE >= 0.2 AS abort FROM labels")
+def failure_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.failures(_cache(spark, d)).withColumn("ratio", r6("ratio"))
+
+
+@query("SELECT sha1(text) AS sha1, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dupes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(F.sha1("text").alias("sha1")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query("SELECT doc_id, sha1(text) AS sha1, n_chars % 5 <> 0 AS hashed FROM documents")
+def manifest_hashes(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/p/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.lit(0.0).alias("mtime_ms"), F.col("text").alias("content"))
+    manifest = files.where("size % 5 = 0").select("path", "size", "mtime_ms", F.sha1("content").alias("sha1"))
+    return ingest.content_hash(files, manifest).select("doc_id", "sha1", "hashed")
+
+
+@query("""WITH f AS (SELECT doc_id, '/photos/' || CASE WHEN n_chars % 7 = 0 THEN 'IMG_' ELSE 'T-' END || doc_id || CASE WHEN n_chars % 2 = 0 THEN '.jpg' ELSE '.JPG' END AS path FROM documents),
+    g AS (SELECT path, CAST(regexp_extract(regexp_extract(path, '[^/]*$'), '(?i)^t-(\\d+)\\.jpg$', 1) AS INTEGER) AS seq, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') AS id FROM f WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^t-(\\d+)\\.jpg$')) SELECT id, path, seq FROM g WHERE lower(id) NOT IN ('t-3', 't-11')""")
+def discovered(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("/photos/"), F.when(F.col("n_chars") % 7 == 0, F.lit("IMG_")).otherwise(F.lit("T-")), F.col("doc_id").cast("string"), F.when(F.col("n_chars") % 2 == 0, F.lit(".jpg")).otherwise(F.lit(".JPG")))
+    return ingest.select_files(table(spark, d, "documents").select(name.alias("path")), ignore=["t-3", "T-11"]).select("id", "path", "seq")
+
+
+@query("WITH c AS (SELECT l_orderkey::VARCHAR AS id, list(l_partkey::VARCHAR ORDER BY l_partkey::VARCHAR) AS covers FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey::VARCHAR AS id, coalesce(array_to_string(covers, ','), '') AS covers FROM orders LEFT JOIN c ON c.id = o_orderkey::VARCHAR WHERE o_orderstatus <> 'F' OR covers IS NOT NULL")
+def pending_derivatives(spark: SparkSession, d: str) -> DataFrame:
+    photos = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus")
+    covers = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("photo_id"), F.col("l_partkey").cast("string").alias("face_id"))
+    return sinks.pending_outputs(photos, photos.where("o_orderstatus = 'F'"), covers).withColumn("covers", F.array_join("covers", ","))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.2f GB', n / 1073741824.0::DOUBLE) END AS size, CASE WHEN s < 60 THEN s || 's' WHEN s // 60 < 60 THEN (s // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE (s // 3600) || 'h ' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || 'm' END AS duration, n_chars || ' photo' || CASE WHEN n_chars = 1 THEN '' ELSE 's' END AS label FROM (SELECT *, n_chars * n_chars * 7 AS n, CAST(floor(n_chars * 1777 / 1000.0::DOUBLE + 0.5) AS BIGINT) AS s FROM documents)")
+def human_units(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    return table(spark, d, "documents").select("doc_id", sc.format_bytes(n * n * 7).alias("size"), sc.format_duration(n * 1777).alias("duration"), sc.plural(n, "photo").alias("label"))
+
+
+@query("""SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped_sha256 FROM pages""")
+def escaped_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.sha2(sc.escape_html(F.col("html")), 256).alias("escaped_sha256"))
+
+
+@query("SELECT page_id, '/person/' || page_id || '%20x' AS path, page_id || ' x' AS param, 'images/thumb/' || page_id || '.webp' AS thumb FROM pages")
+def routes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("/person/"), F.col("page_id").cast("string"), F.lit("%20x")).alias("path"))
+    return rows.select("page_id", "path", sc.route_param(F.col("path"), "person").alias("param"), sc.image_path("thumb", F.col("page_id").cast("string")).alias("thumb"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN hypot_ > 0 THEN greatest(0, least(1, 1 - 0.8 * abs(sqrt(pow(nx - lx, 2) + pow(ny - ly, 2)) - sqrt(pow(nx - rx, 2) + pow(ny - ry, 2))) / hypot_ - 0.4 * abs(atan2(ry - ly, rx - lx)) / (pi() / 6))) ELSE 0.5 END, 6) AS frontality, printf('#%02x%02x%02x', CAST(l_partkey % 256 AS INTEGER), CAST(l_suppkey % 256 AS INTEGER), CAST(l_quantity AS INTEGER)) AS colour FROM (SELECT *, sqrt(pow(rx - lx, 2) + pow(ry - ly, 2)) AS hypot_ FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 0.0::DOUBLE AS lx, 0.0::DOUBLE AS ly, (l_partkey % 7)::DOUBLE AS rx, (l_suppkey % 3)::DOUBLE AS ry, l_discount * 40 AS nx, l_tax * 30 AS ny FROM lineitem))")
+def frontality_and_colour(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    points = F.struct(F.lit(0.0).alias("lx"), F.lit(0.0).alias("ly"), (F.col("l_partkey") % 7).cast("double").alias("rx"), (F.col("l_suppkey") % 3).cast("double").alias("ry"), (F.col("l_discount") * 40).alias("nx"), (F.col("l_tax") * 30).alias("ny"))
+    shade = sc.colour((F.col("l_partkey") % 256).cast("int"), (F.col("l_suppkey") % 256).cast("int"), F.col("l_quantity").cast("int"))
+    return rows.withColumn("p", points).select("l_orderkey", "l_linenumber", r6(sc.frontality(F.col("p"))).alias("frontality"), shade.alias("colour"))
