@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..storage import fresh_path, storage_root, write_table
+
+__all__ = ["BLANKS", "U64", "digest128", "fresh_path", "hash_words", "mix64", "shuffle_parts", "slices", "storage_root", "write_table"]
 
 #: The bytes that separate words and are stripped from lines: space and 0x09 to 0x0D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -20,39 +20,6 @@ BLANKS = b" \t\n\x0b\x0c\r"
 U64 = np.uint64
 
 
-def storage_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Only where the setting is absent, as in local tests, a temporary folder is made and set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    made = tempfile.mkdtemp(prefix="kinweave-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{storage_root(spark)}/kinweave/{label}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
-
-    The written files outlive the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -73,23 +40,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class WordHashes(dict):
-    """Memo of 64-bit word hashes; emptied when it holds `most` words."""
+def _table(values: Iterable[int]) -> np.ndarray:
+    return np.array(list(values), dtype=U64)
+
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(BLANKS)] = True
+#: The code of a byte with A-Z lowered, plus 1.
+_CODE = _table((c + 32 if 65 <= c <= 90 else c) + 1 for c in range(256))
+#: An odd factor for each place in a word; beyond, it is computed.
+_PLACES = 1024
+_FACTOR = mix64(np.arange(1, _PLACES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+#: Bytes that are hashed at once; a single longer word is taken whole.
+_PIECE = 1 << 20
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
 
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
+def _hash_piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a piece that ends with a blank."""
+    inside = ~_BLANK[raw]
+    before = np.r_[False, inside[:-1]]
+    starts = np.flatnonzero(inside & ~before)
+    if not len(starts):
+        return np.empty(0, dtype=U64), starts
+    sizes = np.flatnonzero(before & ~inside) - starts
+    at = np.flatnonzero(inside)
+    place = at - np.repeat(starts, sizes)
+    factor = _FACTOR[np.minimum(place, _PLACES - 1)]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        factor[far] = mix64((place[far] + 1).astype(U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+    sums = np.add.reduceat(_CODE[raw[at]] * factor, np.r_[0, np.cumsum(sizes)[:-1]])
+    return mix64(sums ^ (sizes.astype(U64) * U64(0xD6E8FEB86659FD93))), starts
+
+
+def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, A-Z lowered, and the number of words of each text.
+
+    A hash is a sum of the word's bytes times random factors of their places, spread over all bits.
+    """
+    sizes = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
+    raw = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", dtype=np.uint8)
+    hashes, starts, lo = [], [], 0
+    while lo < len(raw):
+        hi = min(len(raw), lo + _PIECE)
+        if hi < len(raw):
+            blanks = np.flatnonzero(_BLANK[raw[lo:hi]])
+            while not len(blanks):  # a word longer than a piece
+                more = np.flatnonzero(_BLANK[raw[hi : hi + _PIECE]])
+                blanks = more[:1] + (hi - lo)
+                hi += _PIECE
+            hi = lo + int(blanks[-1]) + 1
+        h, s = _hash_piece(raw[lo:hi])
+        hashes.append(h)
+        starts.append(s + lo)
+        lo = hi
+    ends = np.cumsum(sizes + 1)
+    counts = np.bincount(np.searchsorted(ends, np.concatenate(starts), side="right"), minlength=len(texts)) if len(texts) else np.empty(0, dtype=np.int64)
+    return np.concatenate(hashes) if hashes else np.empty(0, dtype=U64), counts
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,13 +5,14 @@
    order that puts shingles from crowded hash buckets last. Two sets of similarity t or more share a shingle
    of their prefixes. The smallest class at a meeting point is its pivot. So the regions are those of
    the pivots, and a class lies in the regions of all pivots that it meets.
-3. Distances to the empty set's ring bound sizes: similar sets differ in size by a factor of t at most. Regions are
-   cut into bands of sizes, and classes near a border are replicated to the next band.
-4. Each region is joined exactly. A large one is split again: pivots near its centre divide it into Voronoi cells by
+3. Similar sets differ in size by a factor of t at most. Regions are cut into bands of sizes, and classes near a border
+   are replicated to the next band. Only outlines go to the regions: shingles counted by hash place, whose
+   L1 distance never exceeds the size of the sets' difference. Chains of outlines in reach form the groups that go on.
+4. Each group's texts are joined exactly. A large group is split again: pivots near its centre divide it into Voronoi cells by
    distance d, a set x is replicated to the cell of p when d(x, p) <= d(x, its own pivot) + 2 (1 - t), and cells are
    joined recursively. Sets within 1 - t of a pivot are linked to it at once. In a leaf, sets are compared with all others until
    those left are in one component, so a group of copies gives about as many comparisons and links as it has members.
-   A region with more shingles than one task should hold is cut into blocks, and each pair of blocks is a task.
+   A region or group with more shingles than one task should hold is cut into blocks, and each pair of blocks is a task.
 5. The links' connected components, and the classes, give the result. No pairs within a class or region are listed.
 
 Every pair of sets with similarity t or more has a meeting point and lies in a common band and cell, where its
@@ -37,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, WordHashes, mix64, shuffle_parts, slices, write_table
-from .components import connected_components
+from ..operators.components import connected_components
+from ._common import U64, hash_words, mix64, shuffle_parts, slices, write_table
 
 #: Hash buckets in which shingles are counted to tell common from rare ones.
 BUCKETS = 1 << 18
@@ -48,21 +49,31 @@ PIVOTS = 8
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word n-grams."""
+    """Sorted distinct 64-bit hashes of texts' word n-grams."""
 
     def __init__(self, n: int):
-        self.n, self.words = n, WordHashes()
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        if not words:
-            return np.empty(0, dtype=U64)
-        w = self.words.array(words)
-        n = min(self.n, len(w))
-        h = np.full(len(w) - n + 1, n, dtype=U64)
+        self.n = n
+
+    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        words, counts = hash_words(texts)
+        if not len(words):
+            return [words] * len(texts)
+        n = self.n
+        size = max(0, len(words) - n + 1)
+        grams = np.full(size, n, dtype=U64)
         for j in range(n):
-            h = mix64(h * U64(0x9E3779B97F4A7C15) + w[j : j + len(h)])
-        return np.unique(h)
+            grams = mix64(grams * U64(0x9E3779B97F4A7C15) + words[j : j + size])
+        out, at = [], 0
+        for k in counts.tolist():
+            if k >= n:
+                out.append(np.unique(grams[at : at + k - n + 1]))
+            else:  # the whole text is one shingle
+                h = np.full(min(k, 1), k, dtype=U64)
+                for j in range(k):
+                    h = mix64(h * U64(0x9E3779B97F4A7C15) + words[at + j])
+                out.append(h)
+            at += k
+        return out
 
 
 def signature(shingles: np.ndarray, seed: int) -> tuple[int, int]:
@@ -179,6 +190,40 @@ def region_links(sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
     return Region(sets, t).join()
 
 
+#: Mean count that a place of a class's outline is to have.
+CROWD = 8
+
+
+def outline_width(band: int, step: float) -> int:
+    """Places of the outlines of a band: a power of two."""
+    top = math.exp((band + 1) * step) / CROWD
+    return 1 << max(4, min(16, math.ceil(math.log2(max(top, 1.0)))))
+
+
+def outline(shingles: np.ndarray, width: int) -> np.ndarray:
+    """Shingles counted by hash place, up to 255. The L1 distance of two outlines is at most the size of the sets' difference."""
+    return np.minimum(np.bincount((shingles & U64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8)
+
+
+def bands(n: int, t: Fraction, step: float) -> list[tuple[int, int]]:
+    """(band, 1) of a size, and (next band, 0) where a similar set may be in the next band."""
+    own = math.floor(math.log(n) / step + 1e-12)
+    near = math.log(n) - math.log(float(t)) + 1e-9 >= (own + 1) * step
+    return [(own, 1)] + ([(own + 1, 0)] if near else [])
+
+
+def in_reach(sizes: np.ndarray, outlines: np.ndarray, t: Fraction) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set the later ones that may be similar, by the sizes and the outlines: no similar set is left out."""
+    order = np.argsort(sizes, kind="stable")
+    n, flat = sizes[order], outlines[order].astype(np.int16)
+    last = np.searchsorted(n * t.numerator, n * t.denominator, side="right")  # n[j] * t <= n[i]
+    for i in range(len(n)):
+        if last[i] > i + 1:
+            gap = np.abs(flat[i + 1 : last[i]] - flat[i]).sum(axis=1, dtype=np.int64)
+            ok = gap * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (n[i + 1 : last[i]] + n[i])
+            yield int(order[i]), order[i + 1 : last[i]][ok]
+
+
 _FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())])
 
 
@@ -188,18 +233,11 @@ def _profile(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, counts = Shingler(n), np.zeros(BUCKETS, dtype=np.int64)
         for whole in batches:
-            for batch in slices(whole, 1):
-                h1, h2, size = [], [], []
-                for text in batch.column(1).to_pylist():
-                    s = cut(text)
-                    size.append(len(s))
-                    a, b = signature(s, seed) if len(s) else (None, None)
-                    h1.append(a)
-                    h2.append(b)
-                    counts += np.bincount(_bucket(s), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
-                    if len(s) <= BUCKETS // 8:
-                        np.add.at(counts, _bucket(s), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(size), pa.int32()), batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64())], schema=_FIRST)
+            for batch in slices(whole, 1, 8 << 20):
+                sets = cut(batch.column(1).to_pylist())
+                names = [signature(s, seed) if len(s) else (None, None) for s in sets]
+                counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], schema=_FIRST)
         some = np.flatnonzero(counts)
         zero = pa.nulls(len(some), pa.int64())
         for i in range(0, len(some), 65536):
@@ -209,65 +247,111 @@ def _profile(n: int, seed: int):
     return run
 
 
-def _offers(n: int, seed: int, t: Fraction, crowd):
-    """Meeting points: shingle, class, size of its set."""
-    schema = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+def _offers(n: int, seed: int, t: Fraction, step: float, crowd):
+    """Meeting points (shingle s, class node); and with s null a class's outline in a band."""
+    schema = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("home", pa.int32()), ("outline", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(n)
         for whole in batches:
-            for batch in slices(whole, 0):
-                found, nodes, sizes = [], [], []
-                for text in batch.column(0).to_pylist():
-                    s = cut(text)
-                    if len(s):
-                        p = prefix(s, crowd.value, t)
-                        found.append(p.view(np.int64))
-                        nodes += [signature(s, seed)[0]] * len(p)
-                        sizes += [len(s)] * len(p)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())], schema=schema)
+            for batch in slices(whole, 0, 8 << 20):
+                sets = [s for s in cut(batch.column(0).to_pylist()) if len(s)]
+                if not sets:
+                    continue
+                nodes = np.array([signature(s, seed)[0] for s in sets], dtype=np.int64)
+                points = [prefix(s, crowd.value, t) for s in sets]
+                own = np.repeat(nodes, [len(p) for p in points])
+                none = pa.nulls(len(own), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(points).view(np.int64)), pa.array(own), none, none, none, pa.nulls(len(own), pa.binary())], schema=schema)
+                rows = [(int(node), len(s), band, home, outline(s, outline_width(band, step)).tobytes()) for node, s in zip(nodes, sets, strict=True) for band, home in bands(len(s), t, step)]
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [schema.field(i).type for i in range(1, 6)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *cols], schema=schema)
 
     return run
 
 
-def _joined(n: int, seed: int, t: Fraction):
-    """Rows come sorted by region; each region is gathered and joined."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _gathered(batches: Iterator[pa.RecordBatch], keys: int, bytes_col: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that come sorted by their first columns, gathered by these."""
+    at, rows = None, []
+    for whole in batches:
+        for batch in slices(whole, bytes_col, 16 << 20):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:keys] != at:
+                    if rows:
+                        yield at, rows
+                    at, rows = row[:keys], []
+                rows.append(row[keys:])
+    if rows:
+        yield at, rows
 
-    def links(nodes: list[int], texts: list[bytes], cut: Shingler) -> list[tuple[int, int]]:
-        known: dict[int, np.ndarray] = {}
-        for node, text in zip(nodes, texts, strict=True):
-            if node not in known:
-                s = cut(text)
-                if len(s) and signature(s, seed)[0] == node:  # else a row that repeats the id with another text
-                    known[node] = s
-        ids = list(known)
-        return [(ids[i], ids[j]) for i, j in region_links(list(known.values()), t)] if len(ids) > 1 else []
+
+def _candidates(t: Fraction):
+    """Regions (p, band, i, j | node, n, home, outline) to groups of sets that chains of possible similarity join.
+
+    A group's key is a digest of its members, so the same group found in several regions is one.
+    """
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Shingler(n)
-        at, nodes, texts = None, [], []
-        out: list[tuple[int, int]] = []
-        for whole in batches:
-            for batch in slices(whole, 5):
-                keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-                for key, node, text in zip(keys, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                    if key != at:
-                        out += links(nodes, texts, cut) if len(nodes) > 1 else []
-                        at, nodes, texts = key, [], []
-                    nodes.append(node)
-                    texts.append(text)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
-                    out = []
-        out += links(nodes, texts, cut) if len(nodes) > 1 else []
+        out: list[tuple[int, int, int]] = []
+        for _, rows in _gathered(batches, 4, 7):
+            rows = list({r[0]: r for r in rows}.values())
+            if len(rows) < 2:
+                continue
+            nodes, sizes = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64)
+            label = np.arange(len(rows))
+            for i, others in in_reach(sizes, np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1), t):
+                if len(others) and (label[others] != label[i]).any():
+                    joined = np.unique(label[others])
+                    label[np.isin(label, joined)] = label[i]
+            for x in np.flatnonzero(np.bincount(label) > 1):
+                own = np.flatnonzero(label == x)
+                key = xxhash.xxh3_64_intdigest(np.sort(np.array([nodes[i] for i in own], dtype=np.int64)).tobytes()) - (1 << 63)
+                out += [(key, nodes[i], int(sizes[i])) for i in own]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+                out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
     return run
 
 
+def _joined(n: int, seed: int, t: Fraction):
+    """Groups (key, i, j | node, text), sorted, are gathered and joined exactly."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingler(n)
+        for _, rows in _gathered(batches, 3, 4):
+            known: dict[int, np.ndarray] = {}
+            for lo in range(0, len(rows), 256):
+                part = rows[lo : lo + 256]
+                for (node, _), s in zip(part, cut([text for _, text in part]), strict=True):
+                    if len(s) and signature(s, seed)[0] == node:  # else a row that repeats the id with another text
+                        known[node] = s
+            if len(known) > 1:
+                ids = list(known)
+                found = [(ids[i], ids[j]) for i, j in region_links(list(known.values()), t)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+
+    return run
+
+
+def _cut(rows: DataFrame, keys: list[str], held: int) -> DataFrame:
+    """rows (keys, node, n, ...) with i and j: where a group's n sum to more than one task holds, pairs of blocks of it."""
+    total = rows.groupBy(*keys).agg(F.count("*").alias("__k"), F.sum("n").alias("__load")).where("__k > 1")
+    blocks = F.when(F.col("__load") > held, F.ceil(2 * F.col("__load") / F.lit(held))).otherwise(F.lit(1)).cast("int")
+    total = total.select(*(F.col(k).alias(f"__{k}") for k in keys), blocks.alias("__blocks"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__{k}"))
+    own = F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int")
+    out = rows.join(total, cond).withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return out.withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """A row per row of docs: the id, n_shingles and component_id, the smallest id reachable by links.
 
@@ -277,11 +361,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     if not 0 < t <= 1 or words < 1:
         raise ValueError("similarity must be above 0 and at most 1, and words 1 or more")
     spark = docs.sparkSession
+    parts = shuffle_parts(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     for seed in range(8):
         first = write_table(source.mapInArrow(_profile(words, seed), "kind int, id long, h1 long, h2 long, n long"), "profile")
         rows = first.where("kind = 0").select("id", "h1", "h2", "n")
-        classes = rows.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+        classes = rows.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
         classes = write_table(classes, "classes")
         if classes.count() == classes.select("h1").distinct().count():
             break  # h1 alone names a class; else another seed is tried
@@ -292,27 +377,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     crowd[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     crowd = spark.sparkContext.broadcast((2 * np.log2(np.maximum(crowd, 1))).astype(np.uint8))
 
-    offers = write_table(source.where("id is not null").select("text").mapInArrow(_offers(words, seed, t, crowd), "s long, node long, n int"), "offers")
-    points = offers.groupBy("s").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p != q").select(F.col("s").alias("point"), "p")
-    met = offers.join(points, F.col("s") == F.col("point")).select("p", "node", "n").distinct()
     # bands are wider than 1 / t, so sizes in reach lie in one band or the next
     step = -3 * math.log(float(t)) if t < 1 else 1.0
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-12)).cast("int")
-    border = F.log(F.col("n").cast("double")) - F.lit(math.log(float(t))) + F.lit(1e-9) >= (F.col("band") + 1) * F.lit(step)
-    met = met.withColumn("band", band)
-    met = met.select("p", "node", "n", F.explode(F.when(border, F.array(F.struct("band", F.lit(1).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(0).alias("home")))).otherwise(F.array(F.struct("band", F.lit(1).alias("home"))))).alias("x"))
-    met = write_table(met.select("p", "x.band", "x.home", "node", "n"), "met")
-    regions = met.groupBy("p", "band").agg(F.count("*").alias("k"), F.sum("home").alias("homes"), F.sum("n").alias("load")).where("k > 1 and homes > 0")
-    blocks = F.ceil(2 * F.col("load") / F.lit(held)).cast("int")
-    regions = regions.select(F.col("p").alias("rp"), F.col("band").alias("rband"), F.when(F.col("load") > held, blocks).otherwise(F.lit(1)).alias("blocks"))
-    members = met.join(regions, (F.col("p") == F.col("rp")) & (F.col("band") == F.col("rband")))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).select("p", "band", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("p", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    members = members.join(classes.select(F.col("h1").alias("node"), "rep"), "node")
-    texts = members.join(source.where("id is not null"), F.col("rep") == F.col("id")).select("p", "band", "i", "j", "node", "text")
+    offers = write_table(source.where("id is not null").select("text").mapInArrow(_offers(words, seed, t, step, crowd), "s long, node long, n int, band int, home int, outline binary"), "offers")
+    meet = offers.where("s is not null").select("s", "node")
+    points = meet.groupBy("s").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p != q").select(F.col("s").alias("point"), "p")
+    met = meet.join(points, F.col("s") == F.col("point")).select("p", "node").distinct()
+    outlines = offers.where("s is null").groupBy("node", "band").agg(F.first("home").alias("home"), F.first("n").cast("long").alias("n"), F.first("outline").alias("outline"))
+    met = met.join(outlines.select("node", "band", "home", "n"), "node")
+    useful = met.groupBy("p", "band").agg(F.count("*").alias("k"), F.sum("home").alias("homes")).where("k > 1 and homes > 0").select(F.col("p").alias("up"), F.col("band").alias("ub"))
+    met = write_table(met.join(useful, (F.col("p") == F.col("up")) & (F.col("band") == F.col("ub"))).select("p", "band", "node", "n"), "met")
+    members = _cut(met, ["p", "band"], held).select("p", "band", "i", "j", "node")
+    members = members.join(outlines, ["node", "band"]).select("p", "band", "i", "j", "node", "n", "home", "outline")
     keys = ["p", "band", "i", "j"]
-    found = texts.repartition(shuffle_parts(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_joined(words, seed, t), "a long, b long")
+    groups = members.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_candidates(t), "key long, node long, n long")
+    groups = write_table(groups.distinct(), "groups")
+    placed = _cut(groups, ["key"], held).select("key", "i", "j", "node")
+    placed = placed.join(classes.select(F.col("h1").alias("node"), "rep"), "node")
+    texts = placed.join(source.where("id is not null"), F.col("rep") == F.col("id")).select("key", "i", "j", "node", "text")
+    found = texts.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_joined(words, seed, t), "a long, b long")
     roots = connected_components(found)
 
     named = roots.join(classes.select(F.col("h1").alias("node"), "rep"), "node")

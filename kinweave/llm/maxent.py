@@ -21,7 +21,6 @@ counts are 0 and every token has the chance 1 (base and model). A null id is has
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, WordHashes, mix64, shuffle_parts, slices, write_table
+from ._common import U64, hash_words, mix64, slices, write_table
 
 SHOWN, CLASSES, PAIRS = 512, 16, 8192
 #: Tokens whose counts all tasks hold: 16 bytes each.
 COMMON = 200_000
 ROUNDS, RATE = 8, 0.5
-#: The end token's stand-in for a word; no word holds a blank.
-END = b" "
+#: The hash of the end token.
+END = U64(0x5851F42D4C957F2D)
 #: Contexts at a text's start.
 IDS = SHOWN + CLASSES + 1
 EDGE = IDS - 1
@@ -48,14 +47,11 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-class Coder:
-    """Tokens of a text as 64-bit hashes, the end token last."""
-
-    def __init__(self) -> None:
-        self.words = WordHashes()
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        return self.words.array([*(text or b"").lower().split(), END])
+def code(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts as 64-bit hashes, laid end to end with the end token behind each, and where each text starts."""
+    words, counts = hash_words(texts)
+    tokens = np.insert(words, np.cumsum(counts), END)
+    return tokens, np.r_[0, np.cumsum(counts + 1)[:-1]].astype(np.int64)
 
 
 def short_ids(tokens: np.ndarray, shown: np.ndarray, shown_ids: np.ndarray) -> np.ndarray:
@@ -170,17 +166,16 @@ def _add_rows(into: np.ndarray, slot: np.ndarray, rows: np.ndarray) -> None:
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    code, held, size = Coder(), [], 0
+    held, size = [], 0
 
     def flush() -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "c"])
 
     for whole in batches:
-        for batch in slices(whole, 0):
-            for text in batch.column(0).to_pylist():
-                held.append(code(text))
-                size += len(held[-1])
+        for batch in slices(whole, 0, 8 << 20):
+            held.append(code(batch.column(0).to_pylist())[0])
+            size += len(held[-1])
             if size > 4_000_000:
                 yield flush()
                 held, size = [], 0
@@ -188,18 +183,12 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def _laid(texts: list[bytes | None], code: Coder) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of all texts, and where each text starts."""
-    parts = [code(t) for t in texts]
-    return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])[:-1]].astype(np.int64)
-
-
 def _pair_counts(shown, shown_ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, ids, ranks = Coder(), shown.value, shown_ids.value
+        ids, ranks = shown.value, shown_ids.value
         for whole in batches:
             for batch in slices(whole, 0):
-                tokens, starts = _laid(batch.column(0).to_pylist(), code)
+                tokens, starts = code(batch.column(0).to_pylist())
                 y = short_ids(tokens, ids, ranks)
                 key = contexts(y, starts) * IDS + np.where(y < SHOWN, y, SHOWN)
                 key, n = np.unique(key, return_counts=True)
@@ -263,12 +252,12 @@ def _score_batches(common, shown, shown_ids, model, base_of_none: float, tokens_
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, (keys, counts), ids, ranks, own = Coder(), common.value, shown.value, shown_ids.value, model.value
+        (keys, counts), ids, ranks, own = common.value, shown.value, shown_ids.value, model.value
         logs = np.log10((counts + 0.1) / base_of_none)
         rare_logs = np.log10((counts + 0.1) / rare_mass)
         for whole in batches:
             for batch in slices(whole, 2, 8 << 20):
-                tokens, starts = _laid(batch.column(2).to_pylist(), code)
+                tokens, starts = code(batch.column(2).to_pylist())
                 doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(tokens)]))
                 at = np.minimum(np.searchsorted(keys, tokens), max(len(keys) - 1, 0))
                 hit = keys[at] == tokens if len(keys) else np.zeros(len(tokens), dtype=bool)
@@ -352,7 +341,3 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", whole("n_known", "r_known").cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), whole("base", "r_base").alias("base_score"), whole("score", "r_score").alias("score"),
     )
-
-
-def crc_of(value: object) -> int:
-    return zlib.crc32(str(value).encode())
