@@ -166,15 +166,16 @@ class WeakModel:
     """Two classes, labellers independent given the class; each has its chances of voting junk or fine in each class.
 
     An abstention says nothing: short texts, on which most labellers abstain, aren't junk for that.
+    fine_weight: what all votes for fine weigh together at most; None for labellers that don't overlap.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 60):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, fine_weight: float | None = FINE_WEIGHT):
         k = patterns.shape[1] if len(patterns) else len(LABELLERS)
         self.prior, self.chances = 0.1, np.full((2, k, 3), 1.0)
-        self.rounds = 0
+        self.rounds, self.fine_weight = 0, fine_weight
         if not len(patterns):
             return
-        told = (patterns == JUNK).sum(axis=1) - 0.25 * (patterns == FINE).sum(axis=1)
+        told = (patterns == JUNK).sum(axis=1) - (0.25 if fine_weight else 1) * (patterns == FINE).sum(axis=1)
         post = np.where((patterns == JUNK).any(axis=1), 1 / (1 + np.exp(-told)), 0.02)
         weight = counts.astype(float)
         before = -math.inf
@@ -199,7 +200,7 @@ class WeakModel:
         for c, p in ((JUNK, self.prior), (FINE, 1 - self.prior)):
             out[c] = math.log(p)
             logs = np.log(self.chances[c])
-            for v, weight in ((JUNK, 1.0), (FINE, FINE_WEIGHT / np.maximum(FINE_WEIGHT, fine))):
+            for v, weight in ((JUNK, 1.0), (FINE, self.fine_weight / np.maximum(self.fine_weight, fine) if self.fine_weight else 1.0)):
                 out[c] += weight * sum((patterns[:, j] == v) * logs[j, v + 1] for j in range(patterns.shape[1]))
         return out
 
