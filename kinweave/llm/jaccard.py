@@ -3,10 +3,10 @@
 1. Documents with the same set are one class; only classes go on.
 2. Every class offers the shingles of its prefix as meeting points: the |x| - ceil(t |x|) + 1 first in an
    order that puts shingles from crowded hash buckets last. Two sets of similarity t or more share a shingle
-   of their prefixes. The smallest class at a meeting point is its pivot. So the regions are those of
-   the pivots, and a class lies in the regions of all pivots that it meets.
-3. Similar sets differ in size by a factor of t at most. Regions are cut into bands of sizes, and classes near a border
-   are replicated to the next band. Only outlines go to the regions: shingles counted by hash place, whose
+   of their prefixes. Similar sets differ in size by a factor of t at most: classes meet within bands of sizes, and
+   those near a border are replicated to the next band. The smallest class at a meeting point is its pivot. So the
+   regions are those of the pivots in a band, and a class lies in the regions of all pivots that it meets.
+3. Only outlines go to the regions: shingles counted by hash place, whose
    L1 distance never exceeds the size of the sets' difference. Chains of outlines in reach form the groups that go on.
 4. Each group's texts are joined exactly. A large group is split again: pivots near its centre divide it into Voronoi cells by
    distance d, a set x is replicated to the cell of p when d(x, p) <= d(x, its own pivot) + 2 (1 - t), and cells are
@@ -248,7 +248,7 @@ def _profile(n: int, seed: int):
 
 
 def _offers(n: int, seed: int, t: Fraction, step: float, crowd):
-    """Meeting points (shingle s, class node); and with s null a class's outline in a band."""
+    """Meeting points (shingle s, band) of classes; and with s null a class's outline in a band."""
     schema = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("home", pa.int32()), ("outline", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,13 +258,13 @@ def _offers(n: int, seed: int, t: Fraction, step: float, crowd):
                 sets = [s for s in cut(batch.column(0).to_pylist()) if len(s)]
                 if not sets:
                     continue
-                nodes = np.array([signature(s, seed)[0] for s in sets], dtype=np.int64)
-                points = [prefix(s, crowd.value, t) for s in sets]
-                own = np.repeat(nodes, [len(p) for p in points])
-                none = pa.nulls(len(own), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(points).view(np.int64)), pa.array(own), none, none, none, pa.nulls(len(own), pa.binary())], schema=schema)
-                rows = [(int(node), len(s), band, home, outline(s, outline_width(band, step)).tobytes()) for node, s in zip(nodes, sets, strict=True) for band, home in bands(len(s), t, step)]
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [schema.field(i).type for i in range(1, 6)], strict=True)]
+                rows = [(signature(s, seed)[0], len(s), band, home, outline(s, outline_width(band, step)).tobytes(), i) for i, s in enumerate(sets) for band, home in bands(len(s), t, step)]
+                points = [prefix(s, crowd.value, t).view(np.int64) for s in sets]
+                times = [len(points[r[5]]) for r in rows]
+                place = pa.array(np.repeat(np.arange(len(rows)), times))
+                cols = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[:5], [schema.field(i).type for i in range(1, 6)], strict=True)]
+                total = sum(times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([points[r[5]] for r in rows])), cols[0].take(place), pa.nulls(total, pa.int32()), cols[2].take(place), cols[3].take(place), pa.nulls(total, pa.binary())], schema=schema)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *cols], schema=schema)
 
     return run
@@ -380,13 +380,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     # bands are wider than 1 / t, so sizes in reach lie in one band or the next
     step = -3 * math.log(float(t)) if t < 1 else 1.0
     offers = write_table(source.where("id is not null").select("text").mapInArrow(_offers(words, seed, t, step, crowd), "s long, node long, n int, band int, home int, outline binary"), "offers")
-    meet = offers.where("s is not null").select("s", "node")
-    points = meet.groupBy("s").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p != q").select(F.col("s").alias("point"), "p")
-    met = meet.join(points, F.col("s") == F.col("point")).select("p", "node").distinct()
+    meet = offers.where("s is not null").select("s", "band", "home", "node")
+    points = meet.groupBy("s", "band").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.max("home").alias("homes")).where("p != q and homes > 0").select(F.col("s").alias("ps"), F.col("band").alias("pb"), "p")
+    met = meet.join(points, (F.col("s") == F.col("ps")) & (F.col("band") == F.col("pb"))).select("p", "band", "node").distinct()
     outlines = offers.where("s is null").groupBy("node", "band").agg(F.first("home").alias("home"), F.first("n").cast("long").alias("n"), F.first("outline").alias("outline"))
-    met = met.join(outlines.select("node", "band", "home", "n"), "node")
-    useful = met.groupBy("p", "band").agg(F.count("*").alias("k"), F.sum("home").alias("homes")).where("k > 1 and homes > 0").select(F.col("p").alias("up"), F.col("band").alias("ub"))
-    met = write_table(met.join(useful, (F.col("p") == F.col("up")) & (F.col("band") == F.col("ub"))).select("p", "band", "node", "n"), "met")
+    met = write_table(met.join(outlines.select("node", "band", "n"), ["node", "band"]).select("p", "band", "node", "n"), "met")
     members = _cut(met, ["p", "band"], held).select("p", "band", "i", "j", "node")
     members = members.join(outlines, ["node", "band"]).select("p", "band", "i", "j", "node", "n", "home", "outline")
     keys = ["p", "band", "i", "j"]
