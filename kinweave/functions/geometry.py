@@ -42,6 +42,13 @@ def normalise_box(box: Column, width: Column, height: Column, digits: int = 4) -
     return F.array(low(box.x / width), low(box.y / height), high(box.w / width), high(box.h / height))
 
 
+def rescale_box(box: Column, scale: Column | float, dx: Column | float = 0, dy: Column | float = 0) -> Column:
+    """A box of a tile or a smaller copy in whole pixels of the original: moved by the tile's place, then scaled."""
+    scale, dx, dy = (v if isinstance(v, Column) else F.lit(v) for v in (scale, dx, dy))
+    values = {"x": (box.x + dx) * scale, "y": (box.y + dy) * scale, "w": box.w * scale, "h": box.h * scale}
+    return F.struct(*(round_half_up(v).cast("int").alias(n) for n, v in values.items()))
+
+
 def tile_grid(sizes: DataFrame, id_col: str = "id", width_col: str = "width", height_col: str = "height", cfg: EngineConfig = DEFAULT) -> DataFrame:
     """A row per tile of each image: id, tx, ty, x, y, w, h. Images that one tile covers have none.
 

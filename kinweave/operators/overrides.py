@@ -91,9 +91,9 @@ def apply(assignment: DataFrame, faces: DataFrame, overrides: Mapping, next_id:
 
 
 def number_people(clusters: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Fresh ids p-0001... in the order of size, then key: what a first run without a ledger gives."""
+    """key, ordinal, new_id: fresh ids p-0001... in the order of size, then key: what a first run without a ledger gives."""
     from pyspark.sql import Window
 
     sizes = clusters.groupBy(key).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), key))
-    return sizes.select(key, rank.alias("ordinal"), person_id(rank).alias("person_id"))
+    return sizes.select(key, rank.alias("ordinal"), person_id(rank).alias("new_id"))

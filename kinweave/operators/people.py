@@ -97,3 +97,9 @@ def grid(photos: DataFrame, columns: int, chunk: int = 150, by: str = "seq", key
     w = (W.partitionBy(within) if within else W.partitionBy()).orderBy(by, key)
     rn = F.row_number().over(w)
     return photos.select(*([within] if within else []), key, rn.alias("position"), F.pmod(rn - 1, F.lit(columns)).alias("grid_column"), F.floor((rn - 1) / F.lit(chunk)).cast("int").alias("chunk"))
+
+
+def busiest_photo(bridge: DataFrame) -> DataFrame:
+    """photo_id, people: the photo with the most people; the greatest id on ties."""
+    counts = bridge.groupBy("photo_id").agg(F.count_distinct("person_id").alias("people"))
+    return counts.agg(F.max(F.struct("people", "photo_id")).alias("m")).where("m is not null").select("m.photo_id", "m.people")

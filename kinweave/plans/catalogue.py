@@ -607,3 +607,26 @@ def frontality_and_colour(spark: SparkSession, d: str) -> DataFrame:
     points = F.struct(F.lit(0.0).alias("lx"), F.lit(0.0).alias("ly"), (F.col("l_partkey") % 7).cast("double").alias("rx"), (F.col("l_suppkey") % 3).cast("double").alias("ry"), (F.col("l_discount") * 40).alias("nx"), (F.col("l_tax") * 30).alias("ny"))
     shade = sc.colour((F.col("l_partkey") % 256).cast("int"), (F.col("l_suppkey") % 256).cast("int"), F.col("l_quantity").cast("int"))
     return rows.withColumn("p", points).select("l_orderkey", "l_linenumber", r6(sc.frontality(F.col("p"))).alias("frontality"), shade.alias("colour"))
+
+
+@query(f"WITH {BOXES_SQL} SELECT photo, position, floor((x + 1400) * 2.5::DOUBLE + 0.5)::INTEGER AS sx, floor((y + 300) * 2.5::DOUBLE + 0.5)::INTEGER AS sy, floor(w * 2.5::DOUBLE + 0.5)::INTEGER AS sw, floor(h * 2.5::DOUBLE + 0.5)::INTEGER AS sh, printf('%.4f', score) AS score FROM boxes")
+def rescaled_boxes(spark: SparkSession, d: str) -> DataFrame:
+    made = boxes(spark, d).select("photo", "position", geo.rescale_box(F.struct(*"xywh"), 2.5, 1400, 300).alias("s"), F.format_string("%.4f", sc.to_fixed(F.col("score"), 4)).alias("score"))
+    return made.select("photo", "position", *(F.col(f"s.{c}").alias(f"s{c}") for c in "xywh"), "score")
+
+
+@query(f"{_PEOPLE}, k2 AS (SELECT photo_id, count(DISTINCT cluster_id) AS people FROM q WHERE cluster_id IN (SELECT cluster_id FROM s) GROUP BY photo_id) SELECT photo_id, people FROM k2 ORDER BY people DESC, photo_id DESC LIMIT 1")
+def busiest_photo(spark: SparkSession, d: str) -> DataFrame:
+    return people.busiest_photo(_bridge(spark, d)[0])
+
+
+@query("SELECT round(avg(value), 6) AS mean_ms, round(2000 * (avg(value) / 1000) / 8, 6) AS seconds_left FROM events")
+def projected_runtime(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.time_left(table(spark, d, "events"), F.lit(2000), 8, "value").select(r6("mean_ms").alias("mean_ms"), r6("seconds_left").alias("seconds_left"))
+
+
+@query("SELECT 'error' AS level, doc_id::VARCHAR AS subject, 'low quality' AS message FROM labels WHERE quality = 0 UNION ALL SELECT 'warning', doc_id::VARCHAR, 'toxic' FROM labels WHERE toxic = 1")
+def run_issues(spark: SparkSession, d: str) -> DataFrame:
+    notes = F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 0, F.lit("failed")).otherwise(F.lit("ok")).alias("status"), F.lit("low quality").alias("error"), notes.alias("warnings"))
+    return ingest.issues(rows, "doc_id")

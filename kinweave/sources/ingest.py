@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import DEFAULT, EngineConfig
-from ..functions.scalars import sequence_of
+from ..functions.scalars import projected_seconds, sequence_of
 from ..operators.gates import without
 
 
@@ -70,6 +70,19 @@ def failures(results: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return results.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed")).withColumn("ratio", F.when(F.col("n") > 0, F.col("failed") / F.col("n")).otherwise(F.lit(0.0))).withColumn("abort", F.col("ratio") >= cfg.fail_ratio_abort)
 
 
+def time_left(done: DataFrame, left: Column, workers: int, ms_col: str = "ms") -> DataFrame:
+    """mean_ms, seconds_left: from the mean duration of what is done."""
+    mean = done.agg(F.avg(ms_col).alias("mean_ms"))
+    return mean.withColumn("seconds_left", projected_seconds(left, F.col("mean_ms") / 1000, workers))
+
+
+def issues(results: DataFrame, subject: str = "id") -> DataFrame:
+    """level, subject, message: an error for each failure and a warning for each note, as rows; retried tasks can't count twice."""
+    bad = results.where("status = 'failed'").select(F.lit("error").alias("level"), F.col(subject).cast("string").alias("subject"), F.coalesce("error", F.lit("unknown")).alias("message"))
+    notes = results.select(F.lit("warning").alias("level"), F.col(subject).cast("string").alias("subject"), F.explode("warnings").alias("message"))
+    return bad.unionByName(notes)
+
+
 def read_table(spark: SparkSession, path: str, schema: str, optional: bool = False, multiline: bool = True) -> DataFrame:
     """A JSON table with its schema. A missing optional one is empty; a corrupt one raises."""
     from pyspark.errors import AnalysisException

@@ -81,7 +81,7 @@ def test_overrides_in_their_order(spark):
 def test_each_override_alone_and_none(spark):
     assert overrides.apply(table(spark), table(spark).select("face_id", "photo_id"), {})[0].count() == 4
     assert overrides.hide(table(spark), {"p1": {"hidden": True}}).count() == 2
-    assert overrides.number_people(table(spark), "person_id").orderBy("ordinal").first()["person_id"] == "p-0001"
+    assert overrides.number_people(table(spark), "person_id").orderBy("ordinal").first()["new_id"] == "p-0001"
 
 
 def test_conflicts_after_applying(spark):
