@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from ..storage import fresh_path, storage_root, write_table
 
-__all__ = ["BLANKS", "U64", "digest128", "fresh_path", "hash_words", "mix64", "shuffle_parts", "slices", "storage_root", "write_table"]
+__all__ = ["BLANKS", "LOWER_CODE", "U64", "digest128", "fresh_path", "hash_words", "mix64", "shuffle_parts", "slices", "storage_root", "word_hash", "word_spans", "write_table"]
 
 #: The bytes that separate words and are stripped from lines: space and 0x09 to 0x0D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -47,7 +47,7 @@ def _table(values: Iterable[int]) -> np.ndarray:
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(BLANKS)] = True
 #: The code of a byte with A-Z lowered, plus 1.
-_CODE = _table((c + 32 if 65 <= c <= 90 else c) + 1 for c in range(256))
+_CODE = LOWER_CODE = _table((c + 32 if 65 <= c <= 90 else c) + 1 for c in range(256))
 #: An odd factor for each place in a word; beyond, it is computed.
 _PLACES = 1024
 _FACTOR = mix64(np.arange(1, _PLACES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -55,22 +55,33 @@ _FACTOR = mix64(np.arange(1, _PLACES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _PIECE = 1 << 20
 
 
-def _hash_piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a piece that ends with a blank."""
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start, their sizes, and the places of all their bytes, in a piece that ends with a blank."""
     inside = ~_BLANK[raw]
     before = np.r_[False, inside[:-1]]
     starts = np.flatnonzero(inside & ~before)
+    return starts, np.flatnonzero(before & ~inside) - starts, np.flatnonzero(inside)
+
+
+def _hash_piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a piece that ends with a blank."""
+    starts, sizes, at = word_spans(raw)
     if not len(starts):
         return np.empty(0, dtype=U64), starts
-    sizes = np.flatnonzero(before & ~inside) - starts
-    at = np.flatnonzero(inside)
+    return word_hash(raw, starts, sizes, at, _CODE), starts
+
+
+def word_hash(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of the words by the codes of their bytes; bytes of code 0 don't count."""
     place = at - np.repeat(starts, sizes)
     factor = _FACTOR[np.minimum(place, _PLACES - 1)]
     far = np.flatnonzero(place >= _PLACES)
     if len(far):
         factor[far] = mix64((place[far] + 1).astype(U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-    sums = np.add.reduceat(_CODE[raw[at]] * factor, np.r_[0, np.cumsum(sizes)[:-1]])
-    return mix64(sums ^ (sizes.astype(U64) * U64(0xD6E8FEB86659FD93))), starts
+    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    code = codes[raw[at]]
+    counted = np.add.reduceat((code > 0).astype(np.int64), first).astype(U64)
+    return mix64(np.add.reduceat(code * factor, first) ^ (counted * U64(0xD6E8FEB86659FD93)))
 
 
 def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:

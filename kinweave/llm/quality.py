@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import slices
+from ._common import LOWER_CODE, U64, mix64, slices, word_hash, word_spans
 
 ABSTAIN, FINE, JUNK = -1, 0, 1
 #: Width of the hashed features.
@@ -36,122 +35,114 @@ WIDTH = 1 << 12
 SAMPLE = 4000
 #: Labellers overlap: most of them find any text fine that has not their own kind of junk. So all their votes for fine weigh as many as this.
 FINE_WEIGHT = 2
-LETTERS = re.compile(r"[^\W\d_]")
-ODD = re.compile(r"[#$%&*@^~|<>{}\[\]\\=+_]")
+#: Signs that prose rarely ends words with, punctuation around words, and the widest word end that a feature names.
+ODD = b"#$%&*@^~|<>{}[]\\=+_"
+AROUND = b".,;:!?\"'()"
 
+# what a byte adds to a word's packed counts: 16 bits each for characters, capitals, small letters and other letters
+_CHAR, _UPPER, _SMALL, _OTHER = (1 << s for s in (0, 16, 32, 48))
+_ADDS = np.array([(_CHAR if c & 0xC0 != 0x80 else 0) + (_UPPER if 65 <= c <= 90 else _SMALL if 97 <= c <= 122 else _OTHER if c >= 0xC0 else 0) for c in range(256)], dtype=U64)
+_BARE = LOWER_CODE.copy()
+_BARE[list(AROUND)] = 0
+
+
+def _member(signs: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(signs)] = True
+    return out
 
-def _slot(name: str) -> int:
-    return zlib.crc32(name.encode()) % WIDTH
 
+_IS_ODD, _IS_STOP, _IS_LOUD = _member(ODD), _member(b".!?"), _member(b"!?")
+_IS_END = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+_IS_DIGIT = np.array([48 <= c <= 57 for c in range(256)])
 
-#: The slots of the commonest make-ups.
-_SIMPLE = {(case, end): _slot(f"make {case}{end}") for case in ("a", "A", "Aa") for end in ("", ".", ",")}
-
-
-class Lexicon(dict):
-    """Numbers of words, with columns of what the figures need of each; emptied when it holds `most` words."""
-
-    COLUMNS = ("size", "caps", "bang", "odd", "bars", "short", "stops", "letters", "bare", "make")
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.bare: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.COLUMNS)), dtype=np.int32)
-
-    def __missing__(self, w: str) -> int:
-        n = len(self)
-        if n >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        core = w.rstrip(".,")
-        if core.isalpha() and len(w) - len(core) < 2:  # most words
-            bare, end = core.lower(), w[len(core) :]
-            case = "a" if core == bare else "A" if core.isupper() else "Aa" if core[1:] == bare[1:] else ""
-            if case:
-                self.table[n] = (len(w), case == "A" and len(core) > 1, 0, 0, 0, len(core) <= 3, end == ".", len(core), self.bare.setdefault(bare, len(self.bare)), _SIMPLE[case, end])
-                self[w] = n
-                return n
-        bare = w.strip(".,;:!?\"'()").lower()
-        self.table[n] = (
-            len(w), w.isupper() and len(w) > 1, w.endswith(("!!", "??")), len(w) > 1 and bool(ODD.search(w[-3:])), w in ("|", "»", "·", ">"),
-            len(bare) <= 3, w.endswith((".", "!", "?")), len(LETTERS.findall(w)), self.bare.setdefault(bare, len(self.bare)), _slot("make " + _abstract(w)),
-        )
-        self[w] = n
-        return n
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.most:
-            self.reset()
-        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.table[at]
-
-
-_LEXICON = Lexicon()
-
-
-def shape(text: str) -> dict[str, float]:
-    """The figures that labellers and features share."""
-    return figures(text, _LEXICON.rows(text.split()))
-
-
-def figures(text: str, rows: np.ndarray) -> dict[str, float]:
-    words = len(rows)
-    n = words or 1
-    lines = [x for x in text.split("\n") if x.strip()]
-    size, caps, bang, odd, bars, short, stops, letters = rows[:, :8].sum(axis=0, dtype=np.int64).tolist()
-    bare = rows[:, 8].astype(np.int64)
-    top = pair = run = distinct = 0
-    if words:
-        counts = np.bincount(np.unique(bare, return_inverse=True)[1])
-        top, distinct = int(counts.max()), len(counts)
-        run = 1
-    if words > 1:
-        pair = int(np.unique(bare[:-1] << 32 | bare[1:], return_counts=True)[1].max())
-        changes = np.flatnonzero(np.r_[True, bare[1:] != bare[:-1], True])
-        run = int(np.diff(changes).max())
-    return {
-        "words": words, "lines": len(lines), "mean": size / n, "caps": caps / n, "bang": bang / n, "odd": odd / n, "bars": bars / n,
-        "short": short / n, "repeat_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0, "distinct": distinct / n,
-        "top": top / n, "pair": pair / n, "run": run, "stops": stops / n, "letters": letters / max(1, len(text)),
+
+def measure(texts: list[bytes | None]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The figures that labellers and features share, a value per text; and the slot of each word's make-up, with the words per text.
+
+    All words of a batch are measured at once, from counts of their bytes by kind.
+    """
+    raw = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", dtype=np.uint8)
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    starts, sizes, at = word_spans(raw)
+    words = np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(texts))
+    n = np.maximum(words, 1)
+    if len(starts):
+        packed = np.add.reduceat(_ADDS[raw[at]], np.r_[0, np.cumsum(sizes)[:-1]])
+        chars, upper, small, other = ((packed >> U64(s) & U64(0xFFFF)).astype(np.int64) for s in (0, 16, 32, 48))
+        bare = word_hash(raw, starts, sizes, at, _BARE)
+        last, third = raw[starts + sizes - 1], raw[starts + np.maximum(sizes - 3, 0)]
+        second = np.where(sizes > 1, raw[starts + np.maximum(sizes - 2, 0)], 0).astype(np.uint8)
+        first = raw[starts]
+    else:
+        chars = upper = small = other = np.empty(0, dtype=np.int64)
+        bare, last, second, third, first = np.empty(0, dtype=U64), *(np.empty(0, dtype=np.uint8) for _ in range(4))
+    caps = (upper > 0) & (small == 0) & (chars > 1)
+    odd = (chars > 1) & (_IS_ODD[last] | _IS_ODD[second] | ((sizes > 2) & _IS_ODD[third]))
+    bars = (sizes == 1) & ((first == 124) | (first == 62))
+    short = chars - _IS_END[last] <= 3
+    letters = upper + small + other
+    owner = np.repeat(np.arange(len(texts)), words)
+
+    def share(flags: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, flags, len(texts)) / n
+
+    cuts = np.r_[0, np.cumsum(words)]
+    top, pair, run, distinct, repeat, lines = (np.zeros(len(texts)) for _ in range(6))
+    for i, text in enumerate(texts):
+        own = [x for x in (text or b"").split(b"\n") if x.strip()]
+        lines[i] = len(own)
+        repeat[i] = 1 - len(set(own)) / len(own) if own else 0
+        b = bare[cuts[i] : cuts[i + 1]]
+        if len(b):
+            counts = _run_lengths(np.sort(b))
+            top[i], distinct[i] = counts.max(), len(counts)
+            run[i] = _run_lengths(b).max()
+        if len(b) > 1:
+            pair[i] = _run_lengths(np.sort(b[:-1] * U64(0x9E3779B97F4A7C15) ^ b[1:])).max()
+    size = np.bincount(np.searchsorted(ends, np.arange(len(raw)), side="right"), (raw & 0xC0) != 0x80, len(texts)) if len(raw) < 1 << 16 else np.add.reduceat(((raw & 0xC0) != 0x80).astype(np.int64), np.r_[0, ends[:-1]])
+    case = np.where(upper == 0, 0, np.where((small == 0) & (upper > 1), 2, 1)) + 3 * ((letters == 0).astype(np.int64) + 2 * _IS_DIGIT[first])
+    tail = np.where(_IS_END[last], last, 0).astype(np.int64)
+    tail = tail + 256 * np.where((tail > 0) & _IS_END[second], second, 0).astype(np.int64)
+    makes = (mix64((case * 65536 + tail).astype(U64)) % U64(WIDTH)).astype(np.int64)
+    figures = {
+        "words": words, "lines": lines, "mean": share(chars), "caps": share(caps), "bang": share(_IS_LOUD[last] & _IS_LOUD[second]), "odd": share(odd), "bars": share(bars),
+        "short": share(short), "repeat_lines": repeat, "distinct": distinct / n, "top": top / n, "pair": pair / n, "run": run,
+        "stops": share(_IS_STOP[last]), "letters": np.bincount(owner, letters, len(texts)) / np.maximum(1, size - 1),
     }
+    return figures, makes, words
+
 
+def _run_lengths(x: np.ndarray) -> np.ndarray:
+    return np.diff(np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]))
 
-def _vote(junk: bool, fine: bool) -> int:
-    return JUNK if junk else FINE if fine else ABSTAIN
 
+def _vote(junk: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    return np.where(junk, JUNK, np.where(fine, FINE, ABSTAIN))
 
-#: Name and vote of each labeller, given shape().
+
+#: Name and votes of each labeller, given the figures of measure().
 LABELLERS = (
     ("capitals", lambda s: _vote(s["caps"] > 0.5, s["caps"] < 0.05)),
     ("shouting", lambda s: _vote(s["bang"] > 0.3, s["bang"] < 0.02)),
     ("symbols", lambda s: _vote(s["odd"] > 0.3, s["odd"] < 0.05)),
     ("menu bars", lambda s: _vote(s["bars"] > 0.15, s["bars"] < 0.02)),
-    ("no function words", lambda s: _vote(s["words"] >= 20 and s["short"] < 0.12, s["short"] > 0.25)),
+    ("no function words", lambda s: _vote((s["words"] >= 20) & (s["short"] < 0.12), s["short"] > 0.25)),
     ("word runs", lambda s: _vote(s["run"] >= 8, s["run"] <= 3)),
-    ("one pair rules", lambda s: _vote(s["words"] >= 30 and s["pair"] > 0.15, s["pair"] < 0.03)),
-    ("repeated lines", lambda s: _vote(s["lines"] >= 6 and s["repeat_lines"] > 0.5, s["lines"] >= 2 and s["repeat_lines"] < 0.1)),
-    ("few distinct words", lambda s: _vote(s["words"] >= 50 and s["top"] > 0.3, s["top"] < 0.12)),
-    ("letters", lambda s: _vote(s["words"] >= 20 and s["letters"] < 0.55, s["letters"] > 0.7)),
+    ("one pair rules", lambda s: _vote((s["words"] >= 30) & (s["pair"] > 0.15), s["pair"] < 0.03)),
+    ("repeated lines", lambda s: _vote((s["lines"] >= 6) & (s["repeat_lines"] > 0.5), (s["lines"] >= 2) & (s["repeat_lines"] < 0.1))),
+    ("few distinct words", lambda s: _vote((s["words"] >= 50) & (s["top"] > 0.3), s["top"] < 0.12)),
+    ("letters", lambda s: _vote((s["words"] >= 20) & (s["letters"] < 0.55), s["letters"] > 0.7)),
 )
 
 
-def votes(text: str) -> tuple[int, ...]:
-    s = shape(text)
-    return tuple(f(s) for _, f in LABELLERS)
-
-
-def pattern_of(text: str | None) -> int:
-    """The votes as one number in base 3; -1 for a text without words."""
-    if not text or not text.strip():
-        return -1
-    out = 0
-    for v in votes(text):
-        out = 3 * out + v + 1
-    return out
+def patterns_of(texts: list[bytes | None]) -> np.ndarray:
+    """The votes on each text as one number in base 3; -1 for a text without words."""
+    s, _, words = measure(texts)
+    out = np.zeros(len(texts), dtype=np.int64)
+    for _, vote in LABELLERS:
+        out = 3 * out + vote(s) + 1
+    return np.where(words > 0, out, -1)
 
 
 def unpack(pattern: int) -> tuple[int, ...]:
@@ -222,31 +213,29 @@ _STEPS = {
 }
 
 
-_SLOTS: dict[tuple[str, int], int] = {(k, i): _slot(f"{k}>{i}") for k, steps in _STEPS.items() for i in range(len(steps) + 1)}
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % WIDTH
 
 
-def _abstract(word: str) -> str:
-    """A word's make-up, as Aa., AA!! or a#: runs of one kind are one sign."""
-    out = []
-    for c in word[:24]:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out)
+_SLOTS = {k: np.array([_slot(f"{k}>{i}") for i in range(len(steps) + 1)]) for k, steps in _STEPS.items()}
 
 
-def raw_features(text: str) -> tuple[list[int], np.ndarray]:
-    """Hashed features: the slots of the figures' steps, each worth 1, and the slot of each word's make-up, worth 2 / words."""
-    rows = _LEXICON.rows(text.split())
-    s = figures(text, rows)
-    return [_SLOTS[name, sum(s[name] > x for x in steps)] for name, steps in _STEPS.items()], rows[:, 9]
+def _step_slots(figures: dict[str, np.ndarray]) -> np.ndarray:
+    """A column of slots for each figure, by the steps that it has passed."""
+    return np.stack([_SLOTS[k][np.searchsorted(np.array(steps, dtype=float), figures[k], side="left")] for k, steps in _STEPS.items()], axis=1)
 
 
-def features(text: str) -> dict[int, float]:
-    steps, makes = raw_features(text)
-    out = dict.fromkeys(steps, 1.0)
-    for slot, n in zip(*(x.tolist() for x in np.unique(makes, return_counts=True)), strict=True):
-        out[slot] = out.get(slot, 0.0) + 2 * n / len(makes)
+def features(texts: list[bytes | None]) -> list[dict[int, float]]:
+    """Hashed features: a slot worth 1 for each figure, and the slot of each word's make-up, worth 2 / words."""
+    figures, makes, words = measure(texts)
+    out = []
+    for steps, own in zip(_step_slots(figures), np.split(makes, np.cumsum(words)[:-1]), strict=True):
+        row: dict[int, float] = {}
+        for slot in steps.tolist():
+            row[slot] = row.get(slot, 0.0) + 1
+        for slot, k in zip(*(x.tolist() for x in np.unique(own, return_counts=True)), strict=True):
+            row[slot] = row.get(slot, 0.0) + 2 * k / len(own)
+        out.append(row)
     return out
 
 
@@ -279,12 +268,12 @@ class Scorer:
             bias -= rate * g / math.sqrt(seen_bias)
         return cls(weights, float(bias))
 
-    def score(self, text: str | None) -> float:
-        if not text or not text.strip():
-            return 0.0
-        steps, makes = raw_features(text)
-        logit = self.bias + float(self.weights[list(dict.fromkeys(steps))].sum() + 2 * self.weights[makes].mean())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+    def score(self, texts: list[bytes | None]) -> np.ndarray:
+        """0 for texts without words."""
+        figures, makes, words = measure(texts)
+        logit = self.bias + self.weights[_step_slots(figures)].sum(axis=1)
+        logit = logit + 2 * np.bincount(np.repeat(np.arange(len(texts)), words), self.weights[makes], len(texts)) / np.maximum(words, 1)
+        return np.where(words > 0, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), 0.0)
 
 
 _TEXT = "__text"
@@ -292,15 +281,15 @@ _TEXT = "__text"
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, 1):
-            made = [pattern_of((t or b"").decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+        for batch in slices(whole, 1, 4 << 20):
+            made = patterns_of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int32())], names=["h", "pattern"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, 1):
-            made = [features((t or b"").decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+        for batch in slices(whole, 1, 4 << 20):
+            made = features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(m) for m in made], pa.list_(pa.int32())), pa.array([list(m.values()) for m in made], pa.list_(pa.float64()))], names=["pattern", "slots", "parts"])
 
 
@@ -330,9 +319,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 4 << 20):
                 texts = batch.column(1)
-                made = [pattern_of((t or b"").decode("utf-8", "replace")) for t in texts.to_pylist()]
+                made = patterns_of(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int32()), texts], names=["h", "pattern", "text"])
 
     chosen = near.mapInArrow(both, "h long, pattern int, text binary").where(F.col("pattern") >= 0).where(in_sample).select("pattern", "text").limit(3 * sample)
@@ -349,8 +338,16 @@ def score_documents(docs: DataFrame, scorer: Scorer, text_col: str = "text") ->
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        own = held.value
-        return pd.Series([own.score(bytes(t).decode("utf-8", "replace")) if t is not None else 0.0 for t in texts], dtype=float)
+        own, rows, out, size = held.value, [], [], 0
+        for t in texts:
+            rows.append(bytes(t) if t is not None else None)
+            size += len(rows[-1] or b"")
+            if size > 4 << 20:
+                out.append(own.score(rows))
+                rows, size = [], 0
+        if rows:
+            out.append(own.score(rows))
+        return pd.Series(np.concatenate(out) if out else np.empty(0), dtype=float)
 
     return docs.withColumn("quality_score", score(F.col(text_col).cast("binary")))
 
