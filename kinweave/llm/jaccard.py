@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ._common import U64, hash_words, mix64, shuffle_parts, slices, write_table
 
-#: Hash buckets in which shingles are counted to tell common from rare ones.
-BUCKETS = 1 << 18
+#: Hash buckets in which shingles are counted to tell common from rare ones, and buckets in a row of counts.
+BUCKETS, ROW = 1 << 21, 1 << 12
 #: Shingles of a region that one task holds, and sets above which it is split into cells.
 HELD, CELL = 4_000_000, 512
 PIVOTS = 8
@@ -82,7 +82,7 @@ def signature(shingles: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(46)).astype(np.int64)
+    return (h >> U64(43)).astype(np.int64)
 
 
 def similar(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, t: Fraction):
@@ -224,11 +224,11 @@ def in_reach(sizes: np.ndarray, outlines: np.ndarray, t: Fraction) -> Iterator[t
             yield int(order[i]), order[i + 1 : last[i]][ok]
 
 
-_FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())])
+_FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
 
 
 def _profile(n: int, seed: int):
-    """Kind 0: a document with its set's signature and size; kind 1: a bucket and its number of shingles."""
+    """Kind 0: a document with its set's signature and size; kind 1: a row of buckets with their numbers of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, counts = Shingler(n), np.zeros(BUCKETS, dtype=np.int64)
@@ -237,16 +237,26 @@ def _profile(n: int, seed: int):
                 sets = cut(batch.column(1).to_pylist())
                 names = [signature(s, seed) if len(s) else (None, None) for s in sets]
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], schema=_FIRST)
-        some = np.flatnonzero(counts)
-        zero = pa.nulls(len(some), pa.int64())
-        for i in range(0, len(some), 65536):
-            part = some[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), dtype=np.int32)), pa.array(part), zero[: len(part)], zero[: len(part)], pa.array(counts[part])], schema=_FIRST)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.binary())], schema=_FIRST)
+        packed = np.minimum(counts, 65535).astype("<u2").reshape(-1, ROW)
+        some = np.flatnonzero(packed.any(axis=1))
+        none = pa.nulls(len(some), pa.int64())
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), dtype=np.int32)), pa.array(some), none, none, none, pa.array([packed[i].tobytes() for i in some], pa.binary())], schema=_FIRST)
 
     return run
 
 
+def _crowding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of counts, as a byte a bucket: twice the logarithm. Rows are added as they come."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[i] = sums.get(i, 0) + np.frombuffer(raw, dtype="<u2").astype(np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([(2 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["id", "crowd"])
+
+
 def _offers(n: int, seed: int, t: Fraction, step: float, crowd):
     """Meeting points (shingle s, band) of classes; and with s null a class's outline in a band."""
     schema = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("home", pa.int32()), ("outline", pa.binary())])
@@ -364,7 +374,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     parts = shuffle_parts(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     for seed in range(8):
-        first = write_table(source.mapInArrow(_profile(words, seed), "kind int, id long, h1 long, h2 long, n long"), "profile")
+        first = write_table(source.mapInArrow(_profile(words, seed), "kind int, id long, h1 long, h2 long, n long, counts binary"), "profile")
         rows = first.where("kind = 0").select("id", "h1", "h2", "n")
         classes = rows.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
         classes = write_table(classes, "classes")
@@ -372,10 +382,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
             break  # h1 alone names a class; else another seed is tried
     else:
         raise RuntimeError("64-bit names of sets collide under every seed")
-    counts = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
-    crowd = np.zeros(BUCKETS, dtype=np.int64)
-    crowd[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
-    crowd = spark.sparkContext.broadcast((2 * np.log2(np.maximum(crowd, 1))).astype(np.uint8))
+    crowd = np.zeros((BUCKETS // ROW, ROW), dtype=np.uint8)
+    for r in first.where("kind = 1").select("id", "counts").repartition(parts, "id").mapInArrow(_crowding, "id long, crowd binary").collect():  # a byte a bucket
+        crowd[r["id"]] = np.frombuffer(bytes(r["crowd"]), dtype=np.uint8)
+    crowd = spark.sparkContext.broadcast(crowd.ravel())
 
     # bands are wider than 1 / t, so sizes in reach lie in one band or the next
     step = -3 * math.log(float(t)) if t < 1 else 1.0
