@@ -69,7 +69,7 @@ def tile_grid(sizes: DataFrame, id_col: str = "id", width_col: str = "width", he
 def non_maximum_suppression(boxes: DataFrame, threshold: float = DEFAULT.merge_iou) -> DataFrame:
     """Of boxes (photo, position, x, y, w, h, rank) those that no kept box of higher rank in the photo overlaps by more than threshold.
 
-    Equal ranks go by position. A photo's boxes are folded in order in one row, since each depends on those kept before.
+    Equal ranks go by position, then by the box. A photo's boxes are folded in order in one row, since each depends on those kept before.
     """
     fields = ["position", "x", "y", "w", "h", "rank"]
     box = F.struct((-F.col("rank")).alias("order"), *fields)

@@ -498,7 +498,7 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return geo.iou_pairs(boxes(spark, d)).withColumn("iou", r6("iou"))
 
 
-@query(f"""WITH RECURSIVE {BOXES_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY CASE WHEN position > 1 THEN 1400 ELSE 1600 END * 1000 + score * 100 DESC, position) AS k FROM boxes),
+@query(f"""WITH RECURSIVE {BOXES_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY CASE WHEN position > 1 THEN 1400 ELSE 1600 END * 1000 + score * 100 DESC, position, x, y, w, h) AS k FROM boxes),
     ov AS (SELECT a.photo, a.k AS ka, b.k AS kb FROM rk a JOIN rk b ON a.photo = b.photo AND a.k < b.k WHERE {_IOU} > {C.merge_iou}),
     w(photo, k, kept) AS (SELECT photo, 0::BIGINT, []::BIGINT[] FROM rk GROUP BY photo UNION ALL
         SELECT w.photo, w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.photo = w.photo AND ov.kb = w.k + 1 AND list_contains(w.kept, ov.ka)) THEN w.kept ELSE list_append(w.kept, w.k + 1) END FROM w JOIN rk ON rk.photo = w.photo AND rk.k = w.k + 1),
