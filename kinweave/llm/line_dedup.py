@@ -9,7 +9,8 @@
    text moves, and lines are not joined with lines.
 
 Keys that make up a ten-thousandth of all lines or more (at most 10,000 keys, whatever the corpus)
-form one further shard. Its arrays are replicated to all tasks, so that a very common line is never sent.
+form one further shard. Its arrays are replicated to all tasks, so that a very common line is never sent. Most keys that
+probe it are foreign, so it holds the 128-bit hashes instead of fingerprints; a key that isn't equal goes to its shard as usual.
 
 Defined results: a null or empty text is one empty line. Lines whose key is shorter than
 `min_chars` code points always stay. Rows are documents: a row that repeats another counts again. Null ids are allowed.
@@ -18,6 +19,7 @@ A text whose every line goes becomes the empty text.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -86,8 +88,8 @@ class PerfectHash:
         held[order] = np.minimum(counts, SATURATED).astype(np.uint8)
         return cls(levels, prints, held)
 
-    def probe(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """The saturated count of each key; 0 for keys that the fingerprints show to be foreign."""
+    def numbers(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The number of each key; a foreign key has that of some other key, or -1."""
         a, b = h1.astype(np.int64).view(U64), h2.astype(np.int64).view(U64)
         number = np.full(len(a), -1, dtype=np.int64)
         left = np.arange(len(a))
@@ -98,6 +100,12 @@ class PerfectHash:
             hit = bits[slot] == 1
             number[left[hit]] = self.ranks[i][slot[hit]]
             left = left[~hit]
+        return number
+
+    def probe(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The saturated count of each key; 0 for keys that the fingerprints show to be foreign."""
+        a, b = h1.astype(np.int64).view(U64), h2.astype(np.int64).view(U64)
+        number = self.numbers(h1, h2)
         out = np.zeros(len(a), dtype=np.uint8)
         ok = np.flatnonzero(number >= 0)
         ok = ok[self.prints[number[ok]] == self._print(a[ok], b[ok])]
@@ -120,6 +128,25 @@ class PerfectHash:
         return cls(levels, np.frombuffer(raw, "<u2", n, at), np.frombuffer(raw, np.uint8, n, at + 2 * n))
 
 
+class HotLines:
+    """The replicated shard: a perfect hash whose slots hold the whole keys, so that no foreign key passes."""
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray):
+        self.blob = PerfectHash.build(h1, h2, np.ones(len(h1))).pack()
+        order = np.argsort(PerfectHash.unpack(self.blob).numbers(h1, h2))
+        self.h1, self.h2 = h1[order], h2[order]
+
+    def reader(self):
+        """A function that says which keys are of these."""
+        arrays = PerfectHash.unpack(self.blob)
+
+        def holds(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+            number = arrays.numbers(h1, h2)
+            return (number >= 0) & (self.h1[number] == h1) & (self.h2[number] == h2)
+
+        return holds
+
+
 def _keys_of(texts: list[bytes | None], min_chars: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Keys that count, with the row and the line number of each."""
     keys, rows, lines = [], [], []
@@ -172,11 +199,11 @@ _BLOB_ARROW = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("blob", p
 PACKED = 8192
 
 
-def _probe_batches(hot: bytes | None, shards: int, min_docs: int, min_chars: int):
+def _probe_batches(hot: HotLines | None, shards: int, min_chars: int):
     """Packed probes (kind 1) of the shards, and packed hits (kind 2) of the replicated arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replicated = PerfectHash.unpack(hot) if hot else None
+        replicated = hot.reader() if hot else None
         for whole in batches:
             for batch in slices(whole, 2):
                 keys, rows, lines = _keys_of(batch.column(2).to_pylist(), min_chars)
@@ -190,14 +217,14 @@ def _probe_batches(hot: bytes | None, shards: int, min_docs: int, min_chars: int
                 out["doc"], out["null"], out["text"], out["line"] = doc[rows], null[rows], texts[rows], lines
                 got = []
                 if replicated:
-                    n = replicated.probe(out["h1"], out["h2"])
-                    hits, out = out[n >= min_docs], out[n == 0]
+                    common = replicated(out["h1"], out["h2"])
+                    hits, out = out[common], out[~common]
                     got += [(int(x["h1"][0]) & (shards - 1), 2, x.tobytes()) for i in range(0, len(hits), PACKED) if len(x := hits[i : i + PACKED])]
                 shard = out["h1"] & (shards - 1)
                 order = np.argsort(shard, kind="stable")
                 out, shard = out[order], shard[order]
                 cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
-                for start, end in zip(cuts, [*cuts[1:], len(shard)], strict=True):
+                for start, end in itertools.pairwise([*cuts, len(shard)]):
                     got += [(int(shard[start]), 1, out[i : min(end, i + PACKED)].tobytes()) for i in range(start, end, PACKED)]
                 for i in range(0, len(got), 256):
                     part = got[i : i + 256]
@@ -257,10 +284,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
         shards *= 2
     common = F.col("n") >= max(min_docs, total // HOT_KEYS + 1)
     hot = counts.where(common).toPandas()  # under HOT_KEYS rows, since each has over total / HOT_KEYS of the lines
-    blob = PerfectHash.build(hot["h1"].to_numpy(), hot["h2"].to_numpy(), hot["n"].to_numpy()).pack() if len(hot) else None
+    replicated = HotLines(hot["h1"].to_numpy(dtype=np.int64), hot["h2"].to_numpy(dtype=np.int64)) if len(hot) else None
     arrays = counts.where(~common).withColumn("shard", F.col("h1").bitwiseAND(F.lit(shards - 1))).groupBy("shard").applyInPandas(_build_shard, _BLOB)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).cast("binary").alias("t"))
-    probes = source.mapInArrow(_probe_batches(blob, shards, min_docs, min_chars), _BLOB)
+    probes = source.mapInArrow(_probe_batches(replicated, shards, min_chars), _BLOB)
     hits = arrays.union(probes).repartition(shuffle_parts(spark), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(min_docs), "doc long, text long, line int")
     drops = hits.groupBy(F.col("doc").alias("__doc"), F.col("text").alias("__h")).agg(F.collect_set("line").alias("__drops"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

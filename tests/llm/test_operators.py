@@ -93,6 +93,20 @@ def test_line_counts_of_a_hot_line(spark):
     assert {r["text"] for r in got.collect()} == {f"own {i}\nown {i}" for i in range(300)}
 
 
+def test_rare_lines_with_the_fingerprint_of_a_hot_one_stay(spark):
+    hot, others = [f"hot {i}" for i in range(200)], [f"own {i}" for i in range(1_000_000)]
+    made = line_dedup.PerfectHash.build(*line_dedup.digest128(x.encode() for x in hot), np.full(len(hot), 10))
+    alike = [others[i] for i in np.flatnonzero(made.probe(*line_dedup.digest128(x.encode() for x in others)))]
+    rows = [(i, "\n".join([*hot, f"only {i}"])) for i in range(10)] + [(100, "\n".join([*alike, *hot]))]
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(docs(spark, rows), min_docs=10).collect()}
+    assert alike and got == {i: (200, f"only {i}") for i in range(10)} | {100: (200, "\n".join(alike))}
+
+
+def test_documents_of_hot_lines_alone(spark):
+    got = line_dedup.dedup_lines(docs(spark, [(i, "common\ncommon too") for i in range(30)]), min_docs=10).collect()
+    assert [(r["n_dropped"], r["text"]) for r in got] == [(2, "")] * 30
+
+
 # tokens
 
 
