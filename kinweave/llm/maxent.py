@@ -6,8 +6,8 @@ other tokens are the class RARE. The chance of a token given its context is
     P(class | context) * P(token | class, context),
 
 both softmaxes over weights of hashed features: the previous token (n-gram), the token before it (skip) and
-the pair of both, hashed to PAIRS slots. Within RARE a token has its smoothed unigram share, with room for
-one unknown token; so the chances of all tokens sum to 1.
+the pair of both, hashed to PAIRS slots. Within RARE a tree of classes that grows with the vocabulary gives each token
+its chance by the same kinds of features, from the context's own hashes (see tail.py); so the chances of all tokens sum to 1.
 
 Training gathers, from all training documents, the counts of (context, next token) by one aggregation;
 the distinct ones are held as arrays by a fixed number of partitions. In each round every partition sums the
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tail
 from ._common import U64, hash_words, mix64, slices, write_table
 
 SHOWN, CLASSES, PAIRS = 512, 16, 8192
@@ -246,7 +247,7 @@ def _sum_slices(pdf: pd.DataFrame) -> pd.DataFrame:
 _SCORED = "kind int, id long, th long, h long, n_tokens long, n_known long, base double, score double"
 
 
-def _score_batches(common, shown, shown_ids, model, base_of_none: float, tokens_all: int, kinds: int, rare_mass: float):
+def _score_batches(common, shown, shown_ids, model, base_of_none: float, tokens_all: int, kinds: int):
     """Kind 0: a document with the sums over its common tokens; kind 1: a rare token of it, with its number."""
     names = ["kind", "id", "th", "h", "n_tokens", "n_known", "base", "score"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -254,7 +255,7 @@ def _score_batches(common, shown, shown_ids, model, base_of_none: float, tokens_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, counts), ids, ranks, own = common.value, shown.value, shown_ids.value, model.value
         logs = np.log10((counts + 0.1) / base_of_none)
-        rare_logs = np.log10((counts + 0.1) / rare_mass)
+        rare_logs = np.log10(counts + 0.1)  # over the mass of its leaf, which the tree adds
         for whole in batches:
             for batch in slices(whole, 2, 8 << 20):
                 tokens, starts = code(batch.column(2).to_pylist())
@@ -310,14 +311,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = np.lexsort((h, -c))[:SHOWN]
     shown, order = h[top], np.argsort(h[top], kind="stable")
     model = train(training, shown, c[top], float(n - c[top].sum()), rounds)
-    # smoothed mass within the class of rare tokens, with one unknown token
-    rare_mass = float(n - c[top].sum()) + 0.1 * (v - len(top) + 1)
-    base_mass = n + 0.1 * (v + 1)
-    if not n:
-        base_mass = rare_mass = 0.1
+    base_mass = n + 0.1 * (v + 1) if n else 0.1
+    bits = tail.bits_of(v - len(top))
     by_hash = np.argsort(h, kind="stable")
     common = sc.broadcast((h[by_hash], c[by_hash]))
-    scored = source.select("id", "th", "t").mapInArrow(_score_batches(common, sc.broadcast(shown[order]), sc.broadcast(order.astype(np.int64)), sc.broadcast(model), base_mass, n, v, rare_mass), _SCORED)
+    scored = source.select("id", "th", "t").mapInArrow(_score_batches(common, sc.broadcast(shown[order]), sc.broadcast(order.astype(np.int64)), sc.broadcast(model), base_mass, n, v), _SCORED)
     scored = write_table(scored, "scored")
     rare = scored.where("kind = 1").select("id", "th", "h", F.col("n_tokens").alias("k"))
     others = counts.where(F.col("c") < bar) if bar is not None else counts
@@ -326,12 +324,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sums = looked.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("r_known"),
         F.sum(F.col("k") * F.log10(smooth / F.lit(base_mass))).alias("r_base"),
-        F.sum(F.col("k") * F.log10(smooth / F.lit(rare_mass))).alias("r_score"),
+        F.sum(F.col("k") * F.log10(smooth)).alias("r_score"),
     )
     rows = scored.where("kind = 0")
     copies = rows.groupBy(F.col("id").alias("cid"), F.col("th").alias("cth")).agg(F.count("*").alias("copies")).where("copies > 1")
     out = rows.join(sums, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
     out = out.join(copies, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
+    ref = F.xxhash64("id", "th")
+    if n:
+        leaves = tail.tail_scores(source.select(ref.alias("ref"), "out", "t"), code, shown, tail.masses(counts, shown, bits), int(n - c[top].sum()), rounds)
+        out = out.join(leaves, ref == F.col("ref"), "left")
+    else:
+        out = out.withColumn("tail", -F.coalesce("r_score", F.lit(0.0)))  # every token has the chance 1
     share = F.coalesce(F.col("copies"), F.lit(1))  # rows that repeat have sent their tokens each
 
     def whole(own: str, rest: str) -> F.Column:
@@ -339,5 +343,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     return out.select(
         F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", whole("n_known", "r_known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), whole("base", "r_base").alias("base_score"), whole("score", "r_score").alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), whole("base", "r_base").alias("base_score"), (whole("score", "r_score") + F.coalesce(F.col("tail") / share, F.lit(0))).alias("score"),
     )

@@ -1,0 +1,192 @@
+"""The tokens that the language model doesn't show each, as leaves of a tree of classes.
+
+A token's leaf is given by the first bits of its mixed hash, four a level; the tree has as many leaves as
+the vocabulary has tokens or more (fewer than twice as many), so it grows with the corpus. The chance of a token given its context and that it is rare is
+
+    product over the levels of P(child | node, context) * (count + 0.1) / mass of the leaf.
+
+Each node is a softmax over its children: their share of the counts, times weights of the previous token, the token before it
+and the pair of both, which are all told apart by their own hashes. A leaf's mass has room for one unknown token, so chances sum to 1.
+
+Contexts are dealt to shards by the previous token (by both, where the previous is one of the most frequent), and the number of shards
+grows with the corpus. A shard holds all weights that its contexts use, so it is trained and its documents are scored in one
+task without any exchange of gradients; the weights of the token before the previous are a shard's own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import U64, mix64, shuffle_parts, slices
+
+#: Bits that a level tells apart.
+WIDE = 4
+#: Events of one shard on average.
+EVENTS = 100_000
+RATE = 0.5
+#: The hash that stands before a text.
+EDGE = U64(0x9D39247E33776D41)
+_EVENT = np.dtype([("ref", "<i8"), ("out", "u1"), ("one", "<u4"), ("two", "<u4"), ("leaf", "<u4")])
+_SALTS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3))
+
+
+def bits_of(vocabulary: int) -> int:
+    """Bits that name a leaf, so that there is one for each token."""
+    return min(32, max(1, (vocabulary - 1).bit_length()))
+
+
+def leaves(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(tokens ^ U64(0x1D8E4E27C47D124F)) >> U64(64 - bits)).astype(np.int64)
+
+
+def masses(counts: DataFrame, shown: np.ndarray, bits: int) -> np.ndarray:
+    """The smoothed mass of every leaf, from counts (h, c) of the whole vocabulary."""
+    known = np.sort(shown)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+            own = ~np.isin(h, known)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves(h[own], bits)), pa.array(c[own] + 0.1)], names=["leaf", "m"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_numpy().astype("<u4"), batch.column(1).to_numpy().astype("<f4")
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["leaf", "m"])
+
+    out = np.full(1 << bits, 0.1, dtype=np.float32)
+    sums = counts.select("h", "c").mapInArrow(coded, "leaf long, m double").groupBy("leaf").agg(F.sum("m").alias("m"))
+    for r in sums.mapInArrow(packed, "leaf binary, m binary").toLocalIterator():
+        out[np.frombuffer(r["leaf"], "<u4")] += np.frombuffer(r["m"], "<f4")
+    return out
+
+
+def before(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the previous token and of the one before it, for texts laid end to end."""
+    one = np.r_[EDGE, tokens[:-1]]
+    one[starts] = EDGE
+    two = np.r_[EDGE, one[:-1]]
+    two[starts] = EDGE
+    return one, two
+
+
+def levels(mass: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """For each level the bits below its children, the number of children of a node, and the logarithm of each child's share."""
+    bits, out = len(mass).bit_length() - 1, []
+    for done in range(0, bits, WIDE):
+        width = min(WIDE, bits - done)
+        share = mass.reshape(1 << (done + width), -1).sum(axis=1, dtype=np.float64).reshape(-1, 1 << width)
+        out.append((bits - done - width, 1 << width, np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)))
+    return out
+
+
+def train_and_score(one: np.ndarray, two: np.ndarray, leaf: np.ndarray, fits: np.ndarray, mass: np.ndarray, tree: list[tuple[int, int, np.ndarray]], rounds: int) -> np.ndarray:
+    """log10 of the chance of each event's leaf, over its mass, after a pass of `rounds` steps over the events that `fits` selects."""
+    one, two = one.astype(U64), two.astype(U64)
+    contexts = (mix64(one ^ _SALTS[0]), mix64(two ^ _SALTS[1]), mix64((one << U64(32) | two) ^ _SALTS[2]))
+    # by the event, so that the order of arrival doesn't matter
+    step = (mix64(contexts[2] + leaf.astype(U64)) % U64(max(1, rounds))).astype(np.int64)
+    step[~fits] = -1
+    parts = [np.flatnonzero(step == i) for i in range(rounds)]
+    out = -np.log(mass[leaf].astype(np.float64))
+    for below, fan, prior in tree:
+        child = leaf >> below
+        node, child = child // fan, child % fan
+        where, total = [], 0
+        for c in contexts:
+            names, at = np.unique(c ^ mix64(node.astype(U64) + U64(1)), return_inverse=True)
+            where.append(at + total)
+            total += len(names)
+        weights, seen = np.zeros((total, fan), dtype=np.float32), np.ones((total, fan), dtype=np.float32)
+
+        def chances(x: np.ndarray, node=node, where=where, prior=prior, weights=weights) -> np.ndarray:
+            z = prior[node[x]] + weights[where[0][x]] + weights[where[1][x]] + weights[where[2][x]]
+            z -= z.max(axis=1, keepdims=True)
+            return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+        for x in parts:
+            if not len(x):
+                continue
+            slope = -np.exp(chances(x))
+            slope[np.arange(len(x)), child[x]] += 1
+            rows = np.concatenate([w[x] for w in where])
+            order = np.argsort(rows, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
+            g = np.add.reduceat(slope[order % len(x)], first, axis=0)
+            at = rows[order][first]
+            seen[at] += g**2
+            weights[at] += np.float32(RATE) * g / np.sqrt(seen[at])
+        for lo in range(0, len(leaf), 1 << 16):
+            x = np.arange(lo, min(len(leaf), lo + (1 << 16)))
+            out[x] += chances(x)[np.arange(len(x)), child[x]]
+    return out / np.log(10)
+
+
+def tail_scores(source: DataFrame, code, shown: np.ndarray, mass: np.ndarray, tokens: int, rounds: int) -> DataFrame:
+    """ref and tail: the sum over a document's rare tokens. source: ref, out, t; code: cuts texts into tokens and starts."""
+    spark = source.sparkSession
+    shards, bits = max(64, -(-tokens // EVENTS)), len(mass).bit_length() - 1
+    held = spark.sparkContext.broadcast((np.sort(shown), mass))
+
+    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value[0]
+        for whole in batches:
+            for batch in slices(whole, 2, 16 << 20):
+                found, starts = code(batch.column(2).to_pylist())
+                one, two = before(found, starts)
+                doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(found)]))
+                rare = np.flatnonzero(~np.isin(found, known))
+                out = np.empty(len(rare), dtype=_EVENT)
+                out["ref"] = batch.column(0).to_numpy()[doc[rare]]
+                out["out"] = batch.column(1).to_numpy(zero_copy_only=False)[doc[rare]]
+                out["leaf"], out["one"], out["two"] = leaves(found[rare], bits), one[rare] >> U64(32), two[rare] >> U64(32)
+                often = np.isin(one[rare], known) | (one[rare] == EDGE)
+                shard = (mix64(one[rare] ^ np.where(often, mix64(two[rare]), U64(0))) % U64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                out, shard = out[order], shard[order]
+                cuts = np.flatnonzero(np.r_[len(shard) > 0, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, dtype=np.int64)
+                ends = np.r_[cuts[1:], len(shard)]
+                for lo in range(0, len(cuts), 256):
+                    part = [out[a:b].tobytes() for a, b in zip(cuts[lo : lo + 256], ends[lo : lo + 256], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[lo : lo + 256]]), pa.array(part, pa.binary())], names=["shard", "blob"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, at, blobs, refs, sums, size = held.value[1], None, [], [], [], 0
+        tree = levels(table)
+
+        def close() -> None:
+            nonlocal size
+            x = np.frombuffer(b"".join(blobs), dtype=_EVENT)
+            x = x[np.lexsort((x["ref"], x["two"], x["one"], x["leaf"]))]
+            got = train_and_score(x["one"], x["two"], x["leaf"].astype(np.int64), x["out"] == 0, table, tree, rounds)
+            ref, back = np.unique(x["ref"], return_inverse=True)
+            refs.append(ref)
+            sums.append(np.bincount(back, got))
+            size += len(ref)
+
+        def flush() -> pa.RecordBatch:
+            ref, back = np.unique(np.concatenate(refs), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(ref), pa.array(np.bincount(back, np.concatenate(sums)))], names=["ref", "tail"])
+
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != at and blobs:
+                    close()
+                    blobs = []
+                    if size > 2_000_000:
+                        yield flush()
+                        refs, sums, size = [], [], 0
+                at = shard
+                blobs.append(blob)
+        if blobs:
+            close()
+        if refs:
+            yield flush()
+
+    sent = source.select("ref", "out", "t").mapInArrow(events, "shard long, blob binary")
+    return sent.repartition(shuffle_parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(scored, "ref long, tail double").groupBy("ref").agg(F.sum("tail").alias("tail"))

@@ -409,6 +409,40 @@ def test_gradient_is_the_slope():
         assert (up - down) / 2e-3 == pytest.approx(slope[at], rel=0.02)
 
 
+def test_rare_tokens_follow_their_context(spark):
+    rnd = random.Random(8)
+    pairs = [(f"first{i}", f"second{i}") for i in range(3000)]
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, " ".join(f"{a} {b}" for a, b in rnd.sample(pairs, 20))) for i in ids[:3000]]
+    held = [i for i in range(9000) if i not in set(ids)][:40]
+    for k, i in enumerate(held):
+        own = rnd.sample(pairs, 50) if k % 2 == 0 else own
+        seconds = [own[j - 1][1] if k % 2 else own[j][1] for j in range(50)]
+        rows.append((i, " ".join(f"{a} {b}" for (a, _), b in zip(own, seconds, strict=True))))
+    got = {r["doc_id"]: r for r in maxent.score_documents(docs(spark, rows)).collect()}
+    for right, wrong in zip(held[::2], held[1::2], strict=True):
+        assert got[right]["base_score"] == pytest.approx(got[wrong]["base_score"])
+        assert got[right]["score"] > got[wrong]["score"] + 25
+
+
+@pytest.mark.parametrize("bits", [1, 4, 6, 9])
+def test_chances_of_leaves_sum_to_one(bits):
+    from kinweave.llm import tail
+
+    rng = np.random.default_rng(bits)
+    mass = rng.random(1 << bits).astype(np.float32) + 0.1
+    n, every = 5000, np.arange(1 << bits)
+    one, two = np.r_[rng.integers(0, 9, n), np.full(len(every), 3)], np.r_[rng.integers(0, 9, n), np.full(len(every), 5)]
+    leaf, fits = np.r_[one[:n] * 7 % len(every), every], np.r_[np.full(n, True), np.full(len(every), False)]
+    got = 10 ** tail.train_and_score(one.astype(np.uint32), two.astype(np.uint32), leaf, fits, mass, tail.levels(mass), 8)[n:] * mass
+    assert got.sum() == pytest.approx(1, abs=1e-4) and got[21 % len(every)] > 1.5 * mass[21 % len(every)] / mass.sum()
+
+
+def test_language_model_without_training(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    assert {r["base_score"] for r in maxent.score_documents(docs(spark, [(i, "a b c") for i in held])).collect()} == {0}
+
+
 def test_language_model_without_rows(spark):
     assert maxent.score_documents(docs(spark, [])).count() == 0
 
