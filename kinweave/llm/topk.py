@@ -8,8 +8,8 @@ starts from the kth scores that the earlier ones reached, so later shards are mo
 a query gathers about k rows a wave.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part. Components are
-floor(scale * x) as integers, clipped to +-2**26 so that no sum of up to 1024 products overflows. Vectors of
-different lengths are never compared. A candidate with the query's own id is left out, also where rows
+floor(scale * x) as integers. Only of vectors with a norm of 2**31.5 or more, whose sums of products could overflow, components are clipped
+to the square root of 2**63 / length (and to +-2**31). Vectors of different lengths are never compared. A candidate with the query's own id is left out, also where rows
 repeat; rows that repeat an id and vector are one candidate. Ties go to the smaller id. Null ids take no part.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import write_table
 
 LEAF = 128
-CLIP = 1 << 26
+CLIP = 1 << 31
 
 
 class BallTree:
@@ -125,7 +125,10 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float =
     queries: a condition on the id, as F.col("id") % 20 == 0.
     """
     fine = F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.col(id_col).isNotNull()
-    whole = F.transform(vec_col, lambda x: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.floor(F.lit(float(scale)) * x.cast("double")))).cast("long"))
+    scaled = F.transform(vec_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    norm = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    most = F.least(F.lit(CLIP), F.floor(F.sqrt(F.lit(2.0**63) / F.greatest(F.size(vec_col), F.lit(1)))) - 1)
+    whole = F.when(norm < 2.0**63 * (1 - 1e-9), scaled).otherwise(F.transform(scaled, lambda x: F.greatest(-most, F.least(most, x))))
     base = write_table(vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).withColumn("dim", F.size("v")).distinct(), "vectors")
     total = base.count()
     asked = base.where(queries)

@@ -278,6 +278,16 @@ def test_top_k(spark):
     assert topk.exact_top_k(table.limit(0), F.col("id") % 2 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(rng.normal(0, 4e6, (40, 16)))]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 2 == 0, 5).collect()}
+    whole = [[math.floor(64 * v) for v in p] for _, p in rows]
+    for q in range(0, 40, 2):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(40) if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in best]
+
+
 # similarity
 
 
