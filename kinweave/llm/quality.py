@@ -69,7 +69,10 @@ def measure(texts: list[bytes | None]) -> tuple[dict[str, np.ndarray], np.ndarra
     n = np.maximum(words, 1)
     if len(starts):
         packed = np.add.reduceat(_ADDS[raw[at]], np.r_[0, np.cumsum(sizes)[:-1]])
-        chars, upper, small, other = ((packed >> U64(s) & U64(0xFFFF)).astype(np.int64) for s in (0, 16, 32, 48))
+        chars, upper, small, other = [(packed >> U64(s) & U64(0xFFFF)).astype(np.int64) for s in (0, 16, 32, 48)]
+        for i in np.flatnonzero(sizes > 0xFFFF):  # too long for 16 bits
+            adds = _ADDS[raw[starts[i] : starts[i] + sizes[i]]]
+            chars[i], upper[i], small[i], other[i] = (int((adds >> U64(s) & U64(1)).sum()) for s in (0, 16, 32, 48))
         bare = word_hash(raw, starts, sizes, at, _BARE)
         last, third = raw[starts + sizes - 1], raw[starts + np.maximum(sizes - 3, 0)]
         second = np.where(sizes > 1, raw[starts + np.maximum(sizes - 2, 0)], 0).astype(np.uint8)

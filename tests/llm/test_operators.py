@@ -469,6 +469,12 @@ def test_quality_on_labelled_texts(spark):
     assert n[0, False] / (n[0, False] + n.get((0, True), 0)) >= 0.85
 
 
+def test_figures_of_very_long_words():
+    for word, chars in [(b"a" * 70_000, 70_000), ("é".encode() * 70_000, 70_000), (b"aB" * 70_000, 140_000)]:
+        figures = quality.measure([word, b"a b", word + b" x"])[0]
+        assert figures["mean"].tolist() == [chars, 1, (chars + 1) / 2] and figures["letters"][0] == 1
+
+
 def test_weak_model_recovers_accuracies():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.2
