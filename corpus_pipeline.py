@@ -26,10 +26,14 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 over five-word shingles, the one with the smallest id."""
-    found = jaccard.near_duplicates(docs, words=5, similarity="0.8")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of rows linked by a similarity of 0.8 over five-word shingles, the one with the smallest id; null ids come last.
+
+    Rows are told apart by a number of their own, so each group keeps exactly one row, also where ids repeat or are null.
+    """
+    rows = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard.near_duplicates(rows, words=5, similarity="0.8", id_col="__row").join(rows.select("__row", "doc_id"), "__row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    return rows.join(first.select("first.__row"), "__row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

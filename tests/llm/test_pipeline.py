@@ -48,5 +48,13 @@ def test_stages(spark, sf):
         assert r["ids"] == theirs.encode_ordinary(texts[r["doc_id"]])
 
 
+def test_near_duplicates_by_row(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, "only " + b[::-1]), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs, sf).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (5, b), (7, c), (None, "only " + b[::-1]), (8, ""), (9, None)], key=repr)
+
+
 def test_names():
     assert [n for n, _ in P.STAGES] == ["quality classifier", "line dedup", "n-gram jaccard", "poisson mixing", "byte bpe"] and P.ORACLE_SQL is None
