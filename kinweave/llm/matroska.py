@@ -101,7 +101,7 @@ def lace(frames: list[bytes], kind: int) -> bytes:
     if kind == XIPH:
         for f in frames[:-1]:
             out += b"\xff" * (len(f) // 255) + bytes([len(f) % 255])
-    elif kind == EBML_LACING:
+    elif kind == EBML_LACING and len(frames) > 1:  # a single frame's size is that of the rest
         out += vint(len(frames[0]))
         for a, b in zip(frames, frames[1:-1], strict=False):
             d = len(b) - len(a)
