@@ -1,16 +1,17 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote on each text: 1 (junk), 0 (fine) or -1 (abstain). Expectation-maximisation
-over the table of vote patterns of all documents (at most 3 ** labellers rows, so its size doesn't grow with the
-corpus) estimates how often each labeller votes what on junk and on fine texts, and how much junk there is. A text's posterior then
-follows from its pattern. The posteriors train a logistic scorer on hashed features of the
-text, which judges every document, also where all labellers abstain.
+Heuristic labellers vote on each text: 1 (junk), 0 (fine) or -1 (abstain). Labellers overlap, and junk comes in kinds: a
+kind is found by some labellers and held for fine by the others. So a text is fine or of one of as many kinds of junk as there are labellers.
+Expectation-maximisation over the table of vote patterns of all documents (at most 3 ** labellers rows, so its
+size doesn't grow with the corpus) estimates how often each labeller objects to fine texts and to each kind, and how common
+each kind is; every round raises the posterior density. A text's chance of junk then follows from its pattern. These chances train a
+logistic scorer on hashed features of the text, which judges every document, also where all labellers abstain.
 
-The scorer is fitted on a bounded sample: the `sample` documents with the smallest hash of their id, and as
-many of those that the labellers hold for junk, so that rare junk is learnt. All counts are over all documents.
+The scorer is fitted on a bounded sample: about `sample` documents with the smallest hashes of id and text, and as
+many of those that the labellers hold for junk, so that rare junk is learnt; rows that repeat are one. All counts are over all documents.
 
 Defined results: a null or empty text counts as junk with score 0 and isn't kept (parameter keep_empty). Rows that repeat are
-judged each alike. If no document has a vote, all are kept.
+judged each alike. If no document has a vote, all are kept. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ ABSTAIN, FINE, JUNK = -1, 0, 1
 #: Width of the hashed features.
 WIDTH = 1 << 12
 SAMPLE = 4000
-#: Labellers overlap: most of them find any text fine that has not their own kind of junk. So all their votes for fine weigh as many as this.
-FINE_WEIGHT = 2
+#: Bytes of text that are measured at once; the arrays made of them are some 50 times larger.
+PIECE = 1 << 20
+#: What each chance of an objection has seen beforehand, of objections and of approvals.
+SEEN = 0.5
 #: Signs that prose rarely ends words with, punctuation around words, and the widest word end that a feature names.
 ODD = b"#$%&*@^~|<>{}[]\\=+_"
 AROUND = b".,;:!?\"'()"
@@ -157,56 +160,65 @@ def unpack(pattern: int) -> tuple[int, ...]:
 
 
 class WeakModel:
-    """Two classes, labellers independent given the class; each has its chances of voting junk or fine in each class.
+    """A text is fine (class 0) or of a kind of junk, one for each labeller; labellers are independent given the class.
 
-    An abstention says nothing: short texts, on which most labellers abstain, aren't junk for that.
-    fine_weight: what all votes for fine weigh together at most; None for labellers that don't overlap.
+    An abstention says nothing: short texts, on which most labellers abstain, aren't junk for that. Rounds start from the texts
+    to which nobody objects as fine, and the others shared among the kinds of their objectors. The likelihood, with the
+    density of the beta prior that SEEN stands for, rises in every round; the rounds end when it rises by a 1e-8th or less.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, fine_weight: float | None = FINE_WEIGHT):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 300):
         k = patterns.shape[1] if len(patterns) else len(LABELLERS)
-        self.prior, self.chances = 0.1, np.full((2, k, 3), 1.0)
-        self.rounds, self.fine_weight = 0, fine_weight
+        self.shares, self.objects, self.rounds = np.full(k + 1, 1 / (k + 1)), np.full((k + 1, k), 0.5), 0
+        self.densities: list[float] = []
         if not len(patterns):
             return
-        told = (patterns == JUNK).sum(axis=1) - (0.25 if fine_weight else 1) * (patterns == FINE).sum(axis=1)
-        post = np.where((patterns == JUNK).any(axis=1), 1 / (1 + np.exp(-told)), 0.02)
-        weight = counts.astype(float)
-        before = -math.inf
+        junk, fine, weight = (patterns == JUNK).astype(float), (patterns == FINE).astype(float), counts.astype(float)
+        post = np.concatenate([(junk.sum(axis=1, keepdims=True) == 0).astype(float), junk / np.maximum(junk.sum(axis=1, keepdims=True), 1)], axis=1)
+        post = 0.98 * post + 0.02 / (k + 1)  # no class is closed to any text
         for self.rounds in range(1, rounds + 1):
-            for c, p in ((JUNK, post), (FINE, 1 - post)):
-                w = weight * p
-                for v in (FINE, JUNK):
-                    self.chances[c, :, v + 1] = ((patterns == v) * w[:, None]).sum(axis=0) + 0.5
-                self.chances[c, :, 1:] /= self.chances[c, :, 1:].sum(axis=1, keepdims=True)
-            self.prior = float(np.clip((weight * post).sum() / weight.sum(), 1e-4, 0.5))
+            mass = weight[:, None] * post
+            self.shares = mass.sum(axis=0) / weight.sum()
+            bad = mass.T @ junk + SEEN
+            self.objects = bad / (bad + mass.T @ fine + SEEN)
             joint = self._joint(patterns)
-            top = joint.max(axis=0)
-            post = np.exp(joint[JUNK] - top) / np.exp(joint - top).sum(axis=0)
-            now = float((weight * (top + np.log(np.exp(joint - top).sum(axis=0)))).sum())
-            if now - before < 1e-6 * abs(now):
+            whole = _log_sum(joint)
+            post = np.exp(joint - whole[:, None])
+            prior = SEEN * (np.log(self.objects) + np.log1p(-self.objects)).sum()
+            self.densities.append(float((weight * whole).sum() + prior))
+            if self.rounds > 1 and self.densities[-1] - self.densities[-2] <= 1e-8 * abs(self.densities[-2]):
                 break
-            before = now
+
+    @property
+    def prior(self) -> float:
+        """The share of junk."""
+        return float(self.shares[1:].sum())
 
     def _joint(self, patterns: np.ndarray) -> np.ndarray:
-        fine = (patterns == FINE).sum(axis=1)
-        out = np.empty((2, len(patterns)))
-        for c, p in ((JUNK, self.prior), (FINE, 1 - self.prior)):
-            out[c] = math.log(p)
-            logs = np.log(self.chances[c])
-            for v, weight in ((JUNK, 1.0), (FINE, self.fine_weight / np.maximum(self.fine_weight, fine) if self.fine_weight else 1.0)):
-                out[c] += weight * sum((patterns[:, j] == v) * logs[j, v + 1] for j in range(patterns.shape[1]))
-        return out
+        """Logarithms of the chance of each class together with the votes, a row per pattern."""
+        votes = (patterns == JUNK) @ np.log(self.objects).T + (patterns == FINE) @ np.log1p(-self.objects).T
+        return votes + np.log(np.maximum(self.shares, 1e-300))
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """The chance of junk for each row of votes."""
+        if not len(patterns):
+            return np.empty(0)
         joint = self._joint(patterns)
-        return 1 / (1 + np.exp(np.clip(joint[FINE] - joint[JUNK], -50, 50)))
+        return np.exp(_log_sum(joint[:, 1:]) - _log_sum(joint))
+
+    def accuracy(self, patterns: np.ndarray, counts: np.ndarray) -> dict[int, float]:
+        """For each labeller by number, the estimated share of right votes among those it gives."""
+        bad = self.posterior(patterns)
+        out = {}
+        for j in range(patterns.shape[1]):
+            right = np.where(patterns[:, j] == JUNK, bad, 1 - bad) * (patterns[:, j] != ABSTAIN) * counts
+            out[j] = float(right.sum() / max(1.0, float((counts * (patterns[:, j] != ABSTAIN)).sum())))
+        return out
+
 
-    def accuracy(self) -> dict[str, float]:
-        """Estimated share of right votes among the votes that each labeller gives."""
-        right = (1 - self.prior) * self.chances[FINE, :, FINE + 1] + self.prior * self.chances[JUNK, :, JUNK + 1]
-        return {name: float(r) for (name, _), r in zip(LABELLERS, right, strict=True)}
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
 _STEPS = {
@@ -279,32 +291,29 @@ class Scorer:
         return np.where(words > 0, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), 0.0)
 
 
-_TEXT = "__text"
-
-
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, 1, 4 << 20):
+        for batch in slices(whole, 1, PIECE):
             made = patterns_of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int32())], names=["h", "pattern"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, 1, 4 << 20):
-            made = features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(m) for m in made], pa.list_(pa.int32())), pa.array([list(m.values()) for m in made], pa.list_(pa.float64()))], names=["pattern", "slots", "parts"])
+        for batch in slices(whole, 1, PIECE):
+            texts = batch.column(1).to_pylist()
+            made = features(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(patterns_of(texts), pa.int32()), pa.array([list(m) for m in made], pa.list_(pa.int32())), pa.array([list(m.values()) for m in made], pa.list_(pa.float64()))], names=["h", "pattern", "slots", "parts"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[WeakModel, Scorer]:
     """The weak-label model over all documents, and the scorer that its posteriors train on the bounded sample."""
-    keyed = docs.select(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(text_col).cast("binary").alias(_TEXT))
+    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).cast("binary").alias("t"))
     voted = keyed.mapInArrow(_patterns, "h long, pattern int").where("pattern >= 0")
-    # the patterns of all documents, and with each the bounded list of the smallest hashes that have it
-    table = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas().sort_values("pattern")
+    table = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas().sort_values("pattern")  # 3 ** labellers rows at most
     patterns = np.array([unpack(p) for p in table["pattern"]], dtype=np.int64).reshape(len(table), len(LABELLERS))
     model = WeakModel(patterns, table["n"].to_numpy())
-    post = model.posterior(patterns) if len(table) else np.empty(0)
+    post = model.posterior(patterns)
     chance = dict(zip(table["pattern"].tolist(), post.tolist(), strict=True))
     total = int(table["n"].sum()) if len(table) else 0
     bad = sum(n for n, p in zip(table["n"], post, strict=True) if p >= 0.5)
@@ -319,17 +328,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         in_sample = F.when(F.col("pattern").isin(junk), F.col("h") <= bar(bad)).otherwise(in_sample)
     # a second look only at the texts that the sample can hold
     near = keyed.where(F.col("h") <= max(bar(total - bad), bar(bad)))
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
-                texts = batch.column(1)
-                made = patterns_of(texts.to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int32()), texts], names=["h", "pattern", "text"])
-
-    chosen = near.mapInArrow(both, "h long, pattern int, text binary").where(F.col("pattern") >= 0).where(in_sample).select("pattern", "text").limit(3 * sample)
-    got = chosen.mapInArrow(_sampled, "pattern int, slots array<int>, parts array<double>").collect()
-    got.sort(key=lambda r: (r["pattern"], r["slots"], r["parts"]))
+    chosen = near.mapInArrow(_sampled, "h long, pattern int, slots array<int>, parts array<double>").where(F.col("pattern") >= 0).where(in_sample)
+    got = chosen.dropDuplicates(["h", "pattern"]).collect()  # about 2 * sample rows
+    got.sort(key=lambda r: (r["h"], r["pattern"]))
     rows = [dict(zip(r["slots"], r["parts"], strict=True)) for r in got]
     scorer = Scorer.fit(rows, np.array([chance.get(r["pattern"], model.prior) for r in got]))
     return model, scorer
@@ -345,7 +346,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, text_col: str = "text") ->
         for t in texts:
             rows.append(bytes(t) if t is not None else None)
             size += len(rows[-1] or b"")
-            if size > 4 << 20:
+            if size > PIECE:
                 out.append(own.score(rows))
                 rows, size = [], 0
         if rows:
