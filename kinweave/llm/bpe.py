@@ -25,8 +25,8 @@ from ._common import slices
 
 #: Pieces up to so many characters are remembered, and so many of them at most.
 MEMO_CHARS, MEMO_PIECES = 40, 400_000
-#: Pieces that share one queue.
-MERGED = 50_000
+#: Pieces that share one queue, and bytes of text that are encoded at once.
+MERGED, PIECE = 50_000, 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -97,7 +97,7 @@ class Encoder:
         """The tokens of each piece. One queue serves them all: merges in different pieces don't touch."""
         ranks, text = self.ranks, b"".join(pieces)
         n = len(text)
-        get, push, pop = ranks.get, self.queue.push, self.queue.pop
+        get, push, pop, bucket = ranks.get, self.queue.push, self.queue.pop, self.queue.buckets.get
         ahead = list(range(1, n + 1))  # where the part at a position ends
         before = list(range(-1, n))  # where the part before it starts; -1 at a piece's start
         waits = [-1] * n  # the rank of the pair that starts at a position; -1: none, or no part starts there
@@ -115,7 +115,10 @@ class Encoder:
                 r = get(text[q : q + 2])
                 if r is not None:
                     waits[q] = r
-                    push(r, q)
+                    if (waiting := bucket(r)) is None:
+                        push(r, q)
+                    else:  # the bitmap knows the bucket
+                        waiting.append(q)
         while (found := pop()) is not None:
             rank, positions = found
             if len(positions) > 1:
@@ -136,9 +139,11 @@ class Encoder:
                     if r is None:
                         waits[p] = -1
                     else:
-                        waits[p] = r
-                        push(r, p)
-                        least = r
+                        waits[p] = least = r
+                        if (waiting := bucket(r)) is None:
+                            push(r, p)
+                        else:
+                            waiting.append(p)
                 q = before[p]
                 if q >= 0:
                     r = get(text[q:end])
@@ -146,8 +151,12 @@ class Encoder:
                         waits[q] = -1
                     elif r != waits[q]:
                         waits[q] = r
-                        push(r, q)
-                        least = min(least, r)
+                        if (waiting := bucket(r)) is None:
+                            push(r, q)
+                        else:
+                            waiting.append(q)
+                        if r < least:
+                            least = r
                 if least <= rank and k + 1 < len(positions):  # possible only with ranks that no training gives
                     for x in positions[k + 1 :]:
                         push(rank, x)
@@ -179,13 +188,14 @@ class Encoder:
         for i in range(0, len(pieces), MERGED):
             part = pieces[i : i + MERGED]
             got.update(zip(part, self.merge([x.encode() for x in part]), strict=True))
-        known = dict(zip(new, (got[xs[0]] if len(xs) == 1 else tuple(chain.from_iterable(map(got.__getitem__, xs))) for xs in split), strict=True))
-        out = []
-        for xs in cuts:
-            out.append(list(chain.from_iterable([memo[x] if x in memo else known[x] for x in xs])) if known else list(chain.from_iterable(map(memo.__getitem__, xs))))
-        if len(memo) + len(known) > MEMO_PIECES:
+        memo.update(zip(new, (got[xs[0]] if len(xs) == 1 else tuple(chain.from_iterable(map(got.__getitem__, xs))) for xs in split), strict=True))
+        find = memo.__getitem__
+        out = [list(chain.from_iterable(map(find, xs))) for xs in cuts]
+        for x in new:
+            if len(x) > MEMO_CHARS:
+                del memo[x]
+        if len(memo) > MEMO_PIECES:
             memo.clear()
-        memo.update((x, ids) for x, ids in known.items() if len(x) <= MEMO_CHARS)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -222,7 +232,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         coder = _encoder(digest, held.value, pattern, parted)
         names = coder.names
         for whole in batches:
-            for batch in slices(whole, 1, 8 << 20):
+            for batch in slices(whole, 1, PIECE):
                 cols: dict[str, list] = {name: [] for name, _ in fields}
                 for got in coder.encode_all([(raw or b"").decode("utf-8", "replace") for raw in batch.column(1).to_pylist()]):
                     cols["n_tokens"].append(len(got))

@@ -1,47 +1,44 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The SHOWN most frequent training tokens are modelled each; they are dealt to CLASSES classes, and all
-other tokens are the class RARE. The chance of a token given its context is
-
-    P(class | context) * P(token | class, context),
-
-both softmaxes over weights of hashed features: the previous token (n-gram), the token before it (skip) and
-the pair of both, hashed to PAIRS slots. Within RARE a tree of classes that grows with the vocabulary gives each token
-its chance by the same kinds of features, from the context's own hashes (see tail.py); so the chances of all tokens sum to 1.
-
-Training gathers, from all training documents, the counts of (context, next token) by one aggregation;
-the distinct ones are held as arrays by a fixed number of partitions. In each round every partition sums the
-gradient over its own counts in numpy, the slices of the gradients are added by a shuffle, and the driver takes
-an AdaGrad step. Scoring runs over batches of texts: distinct contexts are scored once, and frequent tokens' counts come
-from a table of bounded size. Rare tokens are sent to the counts by hash and come back as sums per document.
-
-Defined results: a null or empty text is the end token alone. Rows that repeat get equal scores. With no training document all
-counts are 0 and every token has the chance 1 (base and model). A null id is hashed as the empty string.
+The chance of a token is a product of softmaxes over classes, from the whole vocabulary down to the token (tree.py).
+Each softmax has weights for hashed features: the previous token (n-gram), the token before it (skip) and both. The COMMON
+most frequent training tokens are leaves of their own. All others share classes by their hash, at most FAN ** DEEPEST; within
+its class a token has the chance (count + 0.1) / mass, where the mass leaves room for one unknown token. So the chances of all tokens sum to 1.
+
+1. Tokens are counted over all training documents. The counts of frequent tokens and the masses of the classes go to all tasks; both are bounded.
+2. Each document is coded once: three bytes a token, and the hashes of its other tokens. The coded documents are a table.
+3. Events (previous, token before it, token) are dealt to shards by the previous token. A token that precedes more events than a shard is to
+   hold is dealt on by the token before it, and a pair of two such by the document, so no context is hot. A shard holds all
+   weights of its features: gradient steps are made where their events are, and the shard then scores its events.
+4. Other tokens find their counts in shards of sorted hashes. All sums per document meet as packed arrays.
+
+Defined results: a null or empty text is the end token alone. Equal texts get equal scores, also where ids repeat or are null. With no training
+document all counts are 0 and every token has the chance 1 (base and model). A null id is hashed as the empty string. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tail
-from ._common import U64, hash_words, mix64, slices, write_table
+from . import tree as T
+from ._common import U64, fresh_path, hash_words, mix64, shuffle_parts, slices, write_table
 
-SHOWN, CLASSES, PAIRS = 512, 16, 8192
-#: Tokens whose counts all tasks hold: 16 bytes each.
-COMMON = 200_000
-ROUNDS, RATE = 8, 0.5
+#: Tokens whose counts and places in the tree all tasks hold: about 30 bytes each.
+COMMON = 1 << 19
+ROUNDS = 4
+#: Events of a shard on average, and shards at least.
+EVENTS, SHARDS = 200_000, 32
+#: Events or lookups that a task gathers before it deals them out, and counts in a shard of lookups.
+HELD, LOOKUPS = 2_000_000, 1 << 17
 #: The hash of the end token.
 END = U64(0x5851F42D4C957F2D)
-#: Contexts at a text's start.
-IDS = SHOWN + CLASSES + 1
-EDGE = IDS - 1
-SLICES = 16
 
 
 def held_out(id_col: str) -> F.Column:
@@ -55,115 +52,41 @@ def code(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.r_[0, np.cumsum(counts + 1)[:-1]].astype(np.int64)
 
 
-def short_ids(tokens: np.ndarray, shown: np.ndarray, shown_ids: np.ndarray) -> np.ndarray:
-    """0..SHOWN-1 for modelled tokens, else SHOWN plus a hash class."""
-    at = np.minimum(np.searchsorted(shown, tokens), max(len(shown) - 1, 0))
-    hit = shown[at] == tokens if len(shown) else np.zeros(len(tokens), dtype=bool)
-    rare = SHOWN + (tokens >> U64(40)).astype(np.int64) % CLASSES
-    return np.where(hit, shown_ids[at] if len(shown) else 0, rare)
-
-
-def contexts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """previous * IDS + the one before, for each token of texts laid end to end."""
-    one = np.r_[EDGE, ids[:-1]]
-    two = np.r_[EDGE, EDGE, ids[:-2]][: len(ids)]
-    one[starts] = EDGE
-    two[starts] = EDGE
-    after = starts[1:] if len(starts) else starts
-    second = starts + 1
-    second = second[(second < len(ids)) & ~np.isin(second, after)]
-    two[second] = EDGE
-    return one * IDS + two
-
-
-class Model:
-    """Weights: classes x features for the class, and per class members x (previous, skip) for the token."""
-
-    def __init__(self, counts: np.ndarray | None = None, rare: float = 1.0) -> None:
-        """counts: of the modelled tokens; without any features the model has these frequencies."""
-        held = np.full(SHOWN, 0.1)
-        held[: 0 if counts is None else len(counts)] += 0 if counts is None else counts
-        classes = [held[c::CLASSES].sum() for c in range(CLASSES)]
-        self.outer_prior = np.log([*classes, max(rare, 0.1)]).astype(np.float32)
-        self.inner_prior = np.log(held).astype(np.float32)
-        self.outer = np.zeros((2 * IDS + PAIRS, CLASSES + 1), dtype=np.float32)
-        self.inner = np.zeros((2 * IDS, SHOWN), dtype=np.float32)
-
-    @property
-    def size(self) -> int:
-        return self.outer.size + self.inner.size
-
-    @staticmethod
-    def slots(context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one, two = context // IDS, context % IDS
-        pair = (mix64(context.astype(U64)) % U64(PAIRS)).astype(np.int64)
-        return one, IDS + two, 2 * IDS + pair
-
-    def classes(self, context: np.ndarray) -> np.ndarray:
-        """Log chances of the classes, a row per context."""
-        one, two, pair = self.slots(context)
-        return _log_softmax(self.outer_prior + self.outer[one] + self.outer[two] + self.outer[pair])
-
-    def members(self, context: np.ndarray, c: int) -> np.ndarray:
-        """Log chances of the tokens of class c. A token's class is its id modulo CLASSES."""
-        one, two, _ = self.slots(context)
-        w = self.inner[:, c::CLASSES]
-        return _log_softmax(self.inner_prior[c::CLASSES] + w[one] + w[two])
-
-    def log_chance(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms; for rare targets (ids from SHOWN on) of their class alone."""
-        out = np.empty(len(context))
-        for lo in range(0, len(context), 65536):
-            x, y = context[lo : lo + 65536], target[lo : lo + 65536]
-            own = np.where(y < SHOWN, y % CLASSES, CLASSES)
-            part = self.classes(x)[np.arange(len(x)), own].astype(np.float64)
-            for c in range(CLASSES):
-                at = np.flatnonzero(own == c)
-                if len(at):
-                    part[at] += self.members(x[at], c)[np.arange(len(at)), y[at] // CLASSES]
-            out[lo : lo + 65536] = part
-        return out
-
-    def gradient(self, context: np.ndarray, target: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-        """The slope of the summed log chance and the sum; rows are sorted by context."""
-        outer, inner, total = np.zeros_like(self.outer), np.zeros_like(self.inner), 0.0
-        cuts = np.searchsorted(context, np.unique(context[::1])[:: 1 << 14]) if len(context) else []
-        for lo, hi in zip(cuts, [*cuts[1:], len(context)], strict=True):
-            x, y, k = context[lo:hi], target[lo:hi], n[lo:hi].astype(np.float32)
-            u, at = np.unique(x, return_inverse=True)
-            own = np.where(y < SHOWN, y % CLASSES, CLASSES)
-            logs = self.classes(u)
-            seen = np.bincount(at * (CLASSES + 1) + own, k, len(u) * (CLASSES + 1)).reshape(len(u), -1)
-            total += float((seen * logs).sum())
-            slope = (seen - seen.sum(axis=1, keepdims=True) * np.exp(logs)).astype(np.float32)
-            for slot in self.slots(u):
-                _add_rows(outer, slot, slope)
-            one, two, _ = self.slots(u)
-            for c in range(CLASSES):
-                rows = np.flatnonzero(own == c)
-                if not len(rows):
-                    continue
-                v, where = np.unique(at[rows], return_inverse=True)
-                logs = self.members(u[v], c)
-                width = logs.shape[1]
-                seen = np.bincount(where * width + y[rows] // CLASSES, k[rows], len(v) * width).reshape(len(v), width)
-                total += float((seen * logs).sum())
-                slope = (seen - seen.sum(axis=1, keepdims=True) * np.exp(logs)).astype(np.float32)
-                for slot in (one[v], two[v]):
-                    _add_rows(inner[:, c::CLASSES], slot, slope)
-        return np.concatenate([outer.ravel(), inner.ravel()]), total
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _add_rows(into: np.ndarray, slot: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(slot, kind="stable")
-    slot = slot[order]
-    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-    into[slot[first]] += np.add.reduceat(rows[order], first, axis=0)
+class Vocabulary:
+    """What all tasks hold: frequent tokens by falling count, the classes of the others, and their tree."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, masses: np.ndarray, total: int, distinct: int, events: int):
+        order = np.lexsort((hashes, -counts))
+        self.counts, self.masses, self.total = counts[order], masses, total
+        self.base_mass = total + 0.1 * (distinct + 1) if total else 0.1
+        self.depth = len(masses).bit_length() // 3
+        by_hash = np.argsort(hashes[order], kind="stable")
+        self.hashes, self.ranks = hashes[order][by_hash], by_hash.astype(np.int32)
+        self.tree = T.Tree(self.counts, masses)
+        self.edge = len(self.tree.leaf)  # the context before a text
+        end = self.codes(np.array([END]))[0][0]
+        seen = np.concatenate([self.counts, masses])
+        self.spread = np.ceil(np.r_[seen, seen[end]] / events).astype(np.int64)  # shards that the events behind a token are to fill
+        self.shards = max(SHARDS, -(-(total + total // 9) // events))
+
+    def codes(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each token, and whether it is a frequent one."""
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
+            known = self.hashes[at] == tokens
+            leaf = self.ranks[at].astype(np.int64)
+        else:
+            known, leaf = np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=np.int64)
+        away = np.flatnonzero(~known)
+        leaf[away] = len(self.counts) + T.rare_class(tokens[away], self.depth)
+        return leaf, known
+
+    def shard(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Where an event is trained; doc: a hash of the event's document."""
+        lane = np.where(self.spread[one] > 1, mix64(two.astype(U64)) % (4 * self.spread[one]).astype(U64), U64(0))
+        both = np.minimum(self.spread[one], self.spread[two])
+        lane = mix64(lane + (one.astype(U64) << U64(32))) + np.where(both > 1, doc % both.astype(U64), U64(0))
+        return (mix64(lane) % U64(self.shards)).astype(np.int64)
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,164 +107,332 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def _pair_counts(shown, shown_ids):
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 24 as three bytes each, all low bytes first."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+
+
+def _unplanes(raw: np.ndarray) -> np.ndarray:
+    low, mid, high = raw.reshape(3, -1).astype(np.int64)
+    return low | mid << 8 | high << 16
+
+
+_CODED = "id long, out boolean, n_tokens long, n_known long, base double, score double, codes binary, others binary"
+
+
+def _coded(held):
+    """A document's sums over frequent tokens, its codes, and the hashes of its other tokens."""
+    names = [c.split()[0] for c in _CODED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ranks = shown.value, shown_ids.value
+        own: Vocabulary = held.value
+        logs, masses = np.log10((own.counts + 0.1) / own.base_mass), -np.log10(own.masses)
         for whole in batches:
-            for batch in slices(whole, 0):
-                tokens, starts = code(batch.column(0).to_pylist())
-                y = short_ids(tokens, ids, ranks)
-                key = contexts(y, starts) * IDS + np.where(y < SHOWN, y, SHOWN)
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["k", "n"])
+            for batch in slices(whole, 2, 2 << 20):
+                tokens, starts = code(batch.column(2).to_pylist())
+                leaf, known = own.codes(tokens)
+                ends, n = np.r_[starts[1:], len(tokens)], len(starts)
+                doc = np.repeat(np.arange(n), ends - starts)
+                frequent = np.flatnonzero(known)
+                base = np.bincount(doc[frequent], logs[leaf[frequent]], n).astype(float)  # of no rows, the sums are whole numbers
+                away = np.flatnonzero(~known)
+                score = np.bincount(doc[away], masses[leaf[away] - len(own.counts)], n).astype(float)
+                others, cuts = tokens[away], np.searchsorted(doc[away], np.arange(n + 1))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), batch.column(1), pa.array(ends - starts), pa.array(np.bincount(doc, known, n).astype(np.int64)), pa.array(base), pa.array(score),
+                    pa.array([_planes(leaf[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([others[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                ], names=names)
 
     return run
 
 
-def train(texts: DataFrame, shown: np.ndarray, known: np.ndarray, rare: float, rounds: int = ROUNDS, partitions: int = 12) -> Model:
-    """A model of the texts (column t, binary) whose modelled tokens are `shown`, with their counts `known`, most frequent first."""
-    spark = texts.sparkSession
-    order = np.argsort(shown, kind="stable")
-    sc = spark.sparkContext
-    counts = texts.mapInArrow(_pair_counts(sc.broadcast(shown[order]), sc.broadcast(order.astype(np.int64))), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    # a fixed number of partitions by context, so that the gradients that are summed don't grow with the corpus
-    counts = counts.withColumn("part", F.pmod(F.xxhash64(F.floor(F.col("k") / IDS)), F.lit(partitions)).cast("int"))
-    counts = write_table(counts.repartitionById(partitions, F.col("part")).sortWithinPartitions("k").select("part", "k", "n"), "context-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = Model(known, rare)
-    if not total:
-        return model
-    flat, seen = np.zeros(model.size, dtype=np.float32), np.full(model.size, 1e-6, dtype=np.float32)
-    for _ in range(rounds):
-        held = sc.broadcast(flat)
-
-        def slope(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = Model(known, rare)
-            own.outer[:] = held.value[: own.outer.size].reshape(own.outer.shape)
-            own.inner[:] = held.value[own.outer.size :].reshape(own.inner.shape)
-            sums, n = None, 0
-            for batch in batches:
-                k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                order = np.argsort(k, kind="stable")
-                part, _ = own.gradient(k[order] // IDS, k[order] % IDS, c[order])
-                sums, n = part if sums is None else sums + part, n + 1
-            if sums is not None:
-                cut = np.array_split(sums, SLICES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["slice", "g"])
-
-        got = counts.select("k", "n").mapInArrow(slope, "slice int, g binary").groupBy("slice").applyInPandas(_sum_slices, "slice int, g binary").collect()
-        step = np.concatenate([np.frombuffer(r["g"], dtype=np.float32) for r in sorted(got, key=lambda r: r["slice"])]) / np.float32(total)
-        seen += step**2
-        flat = flat + np.float32(RATE) * step / np.sqrt(seen)
-        held.unpersist()
-    model.outer[:] = flat[: model.outer.size].reshape(model.outer.shape)
-    model.inner[:] = flat[model.outer.size :].reshape(model.inner.shape)
-    return model
-
-
-def _sum_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(bytes(g), dtype=np.float32) for g in pdf["g"]], axis=0, dtype=np.float32)
-    return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "g": [total.tobytes()]})
-
-
-_SCORED = "kind int, id long, th long, h long, n_tokens long, n_known long, base double, score double"
-
-
-def _score_batches(common, shown, shown_ids, model, base_of_none: float, tokens_all: int, kinds: int):
-    """Kind 0: a document with the sums over its common tokens; kind 1: a rare token of it, with its number."""
-    names = ["kind", "id", "th", "h", "n_tokens", "n_known", "base", "score"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+_PACKED, _PACKED_ARROW = "shard long, kind int, first long, blob binary", pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("first", pa.int64()), ("blob", pa.binary())])
+
+
+def _dealt(shard: np.ndarray, kind: int, first: int, pack: Callable[[np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:
+    """A blob per shard; pack gets the places of the shard's rows."""
+    order = np.argsort(shard, kind="stable")
+    names, cuts = np.unique(shard[order], return_index=True)
+    ends = np.r_[cuts[1:], len(order)]
+    for lo in range(0, len(names), 256):
+        blobs = [pack(order[a:b]) for a, b in zip(cuts[lo : lo + 256], ends[lo : lo + 256], strict=True)]
+        k = len(blobs)
+        yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 256]), pa.array([kind] * k, pa.int32()), pa.array([first] * k, pa.int64()), pa.array(blobs, pa.binary())], schema=_PACKED_ARROW)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches whose byte column sums to about `most`."""
+    held, size = [], 0
+    for whole in batches:
+        for batch in slices(whole, column, most):
+            held.append(batch)
+            size += batch.column(column).nbytes
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _runs(refs: np.ndarray) -> bytes:
+    """References as runs of consecutive numbers: how many runs, where each begins and its first number."""
+    at = np.flatnonzero(np.r_[True, np.diff(refs) != 1])
+    return struct.pack("<I", len(at)) + at.astype("<u4").tobytes() + refs[at].astype("<i8").tobytes()
+
+
+def _unruns(raw: bytes, places: np.ndarray) -> np.ndarray:
+    k = struct.unpack_from("<I", raw)[0]
+    at, first = np.frombuffer(raw, "<u4", k, 4).astype(np.int64), np.frombuffer(raw, "<i8", k, 4 + 4 * k)
+    run = np.searchsorted(at, places, side="right") - 1
+    return first[run] + places - at[run]
+
+
+def _events(held):
+    """Coded documents (ref, out, codes) to packed events by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, counts), ids, ranks, own = common.value, shown.value, shown_ids.value, model.value
-        logs = np.log10((counts + 0.1) / base_of_none)
-        rare_logs = np.log10(counts + 0.1)  # over the mass of its leaf, which the tree adds
-        for whole in batches:
-            for batch in slices(whole, 2, 8 << 20):
-                tokens, starts = code(batch.column(2).to_pylist())
-                doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(tokens)]))
-                at = np.minimum(np.searchsorted(keys, tokens), max(len(keys) - 1, 0))
-                hit = keys[at] == tokens if len(keys) else np.zeros(len(tokens), dtype=bool)
-                y = short_ids(tokens, ids, ranks)
-                joint = contexts(y, starts) * IDS + np.where(y < SHOWN, y, SHOWN)
-                u, back = np.unique(joint, return_inverse=True)
-                part = (own.log_chance(u // IDS, u % IDS) / np.log(10))[back]
-                part = part + np.where(hit & (y >= SHOWN), rare_logs[at] if len(keys) else 0.0, 0.0)
-                n = len(starts)
-                base = np.bincount(doc, np.where(hit, logs[at] if len(keys) else 0.0, 0.0), n)
-                score, known = np.bincount(doc, part, n), np.bincount(doc, hit, n).astype(np.int64)
-                sizes = np.bincount(doc, minlength=n)
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), batch.column(0), batch.column(1), none, pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
-                away = np.flatnonzero(~hit)
-                if len(away):
-                    order = away[np.lexsort((tokens[away], doc[away]))]
-                    d, t = doc[order], tokens[order]
-                    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-                    k = np.diff(np.r_[first, len(d)])
-                    take = pa.array(d[first])
-                    m = len(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, dtype=np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(t[first].view(np.int64)), pa.array(k), *(pa.nulls(m, x) for x in types[5:])], names=names)
+        own: Vocabulary = held.value
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for group in _gathered(batches, 2, 3 * HELD):
+            refs = np.concatenate([b.column(0).to_numpy() for b in group])
+            out = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in group])
+            parts = [_unplanes(np.frombuffer(raw, np.uint8)) for b in group for raw in b.column(2).to_pylist()]
+            sizes = np.array([len(p) for p in parts])
+            leaf = np.concatenate(parts)
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            del parts
+            one = np.r_[own.edge, leaf[:-1]]
+            one[starts] = own.edge
+            two = np.r_[own.edge, one[:-1]]
+            two[starts] = own.edge
+            doc = np.repeat(np.arange(len(refs)), sizes)
+            named = mix64(np.add.reduceat(mix64(leaf.astype(U64)), starts))  # equal texts, equal shards
+            shard = own.shard(one, two, named[doc])
+            marked, head = leaf | np.where(out[doc], 1 << 23, 0), _runs(refs)
+
+            def pack(x: np.ndarray, one=one, two=two, marked=marked, doc=doc, head=head) -> bytes:
+                body = _planes(one[x]) + _planes(two[x]) + _planes(marked[x]) + doc[x].astype("<u4").tobytes()
+                return struct.pack("<I", len(x)) + squeeze(head + body)
+
+            yield from _dealt(shard, 0, int(refs[0]), pack)
 
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, common_tokens: int = COMMON) -> DataFrame:
-    """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """one, two, leaf with its mark, and the document's reference, of packed events."""
+    n = struct.unpack_from("<I", blob)[0]
+    raw = zstandard.ZstdDecompressor().decompress(blob[4:])
+    at = len(raw) - 13 * n
+    one, two, leaf = (_unplanes(np.frombuffer(raw, np.uint8, 3 * n, at + 3 * n * i)) for i in range(3))
+    return one, two, leaf, _unruns(raw, np.frombuffer(raw, "<u4", n, at + 9 * n).astype(np.int64))
 
-    Documents whose crc32(id as text) mod 10 is 0 are held out of training; all are scored.
-    """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).cast("binary").alias("t"), held_out(id_col).alias("out"))
-    training = source.where(~F.col("out")).select("t")
-    counts = write_table(training.mapInArrow(_token_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "token-counts")
+
+class _Sums:
+    """Sums per document, sent on as packed arrays by the document's part."""
+
+    columns = 4  # the score by the tree, and of looked-up tokens the number known, the base and the score
+
+    def __init__(self, parts: int):
+        self.parts, self.refs, self.values, self.size = parts, [], [], 0
+
+    def add(self, refs: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """values: a row for each column."""
+        ref, back = np.unique(refs, return_inverse=True)
+        self.refs.append(ref)
+        self.values.append(np.stack([np.bincount(back, v, len(ref)).astype(float) for v in values]))
+        self.size += len(ref)
+        if self.size > HELD // 4:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        ref, values = add_up(self.refs, self.values)
+        self.refs, self.values, self.size = [], [], 0
+
+        def pack(x: np.ndarray) -> bytes:
+            return ref[x].tobytes() + np.ascontiguousarray(values[:, x]).tobytes()
+
+        yield from _dealt((mix64((ref >> 10).astype(U64)) % U64(self.parts)).astype(np.int64), 0, 0, pack)
+
+
+def add_up(refs: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, columns = np.concatenate(refs), np.concatenate(values, axis=1)
+    ref, back = np.unique(every, return_inverse=True)
+    return ref, np.stack([np.bincount(back, c, len(ref)) for c in columns])
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """Blobs that come sorted by shard, gathered by it."""
+    at, blobs = None, []
+    for batch in batches:
+        for shard, kind, first, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != at and blobs:
+                yield at, blobs
+                blobs = []
+            at = shard
+            blobs.append((kind, first, blob))
+    if blobs:
+        yield at, blobs
+
+
+def _trained(held, rounds: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Vocabulary = held.value
+        sums = _Sums(parts)
+        for _, blobs in _by_shard(batches):
+            blobs.sort(key=lambda b: b[1])
+            one, two, leaf, ref = (np.concatenate(x) for x in zip(*(_open(b) for _, _, b in blobs), strict=True))
+            fits = leaf < 1 << 23
+            got = T.train_and_score(own.tree, one, two, leaf & ((1 << 23) - 1), fits, rounds) / np.log(10)
+            yield from sums.add(ref, np.stack([got, *np.zeros((_Sums.columns - 1, len(got)))]))
+        yield from sums.flush()
+
+    return run
+
+
+def _packed_counts(shards: int):
+    """Counts (h, c) of tokens that aren't frequent, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from _dealt((mix64(h) % U64(shards)).astype(np.int64), 0, 0, lambda x: h[x].tobytes() + c[x].tobytes())
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()))
+            size += len(held[-1][0])
+            if size > HELD // 2:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return run
+
+
+def _asked(shards: int):
+    """Coded documents (ref, others) to packed lookups by shard: distinct tokens of each document with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _gathered(batches, 1, 4 * HELD):
+            refs = np.concatenate([b.column(0).to_numpy() for b in group])
+            parts = [np.frombuffer(raw, U64) for b in group for raw in b.column(1).to_pylist()]
+            h, doc = np.concatenate(parts), np.repeat(np.arange(len(refs)), [len(p) for p in parts])
+            if not len(h):
+                continue
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+            h, ref, k = h[first], refs[doc[first]], np.diff(np.r_[first, len(h)])
+            yield from _dealt((mix64(h) % U64(shards)).astype(np.int64), 1, 0, lambda x, h=h, ref=ref, k=k: h[x].tobytes() + ref[x].tobytes() + k[x].tobytes())
+
+    return run
+
+
+def _looked_up(held, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass, sums = held.value.base_mass, _Sums(parts)
+        at, known, hashes, counts = None, [], np.empty(0, U64), np.empty(0, np.int64)
+        for batch in batches:
+            for shard, kind, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    at, known, hashes, counts = shard, [], np.empty(0, U64), np.empty(0, np.int64)
+                if kind == 0:
+                    known.append(np.frombuffer(blob, "<i8").reshape(2, -1))
+                    continue
+                if known:
+                    pairs = np.concatenate(known, axis=1)
+                    order = np.argsort(pairs[0].view(U64))
+                    known, hashes, counts = [], pairs[0].view(U64)[order], pairs[1][order]
+                h, ref, k = np.frombuffer(blob, "<i8").reshape(3, -1)
+                c = np.zeros(len(h), dtype=np.int64)
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, h.view(U64)), len(hashes) - 1)
+                    c = np.where(hashes[place] == h.view(U64), counts[place], 0)
+                score = k * np.log10(c + 0.1)
+                yield from sums.add(ref, np.stack([np.zeros(len(h)), k * (c > 0), score - k * np.log10(mass), score]))
+        yield from sums.flush()
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed sums of one part after another to a row per document."""
+    for _, blobs in _by_shard(batches):
+        refs, values, size = [], [], 0
+        for _, _, blob in blobs:
+            n = len(blob) // (8 * (1 + _Sums.columns))
+            refs.append(np.frombuffer(blob, "<i8", n))
+            values.append(np.frombuffer(blob, "<f8", offset=8 * n).reshape(_Sums.columns, n))
+            size += n
+            if size > HELD:
+                refs, values = ([x] for x in add_up(refs, values))
+                size = len(refs[0])
+        ref, sums = add_up(refs, values)
+        yield pa.RecordBatch.from_arrays([pa.array(ref), *(pa.array(s) for s in sums)], names=["sums_of", "tail", "more_known", "more_base", "more_score"])
+
+
+def vocabulary(counts: DataFrame, common_tokens: int, events: int) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of counts (h, c), and the counts of tokens that aren't frequent."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the smallest bar above which COMMON tokens at most lie, from the numbers of tokens by magnitude
+    # the smallest bar above which common_tokens at most lie, from the numbers of tokens by magnitude
     sizes = counts.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 8).alias("m")).agg(F.count("*").alias("k"), F.min("c").alias("least")).orderBy(F.desc("m")).collect()
-    bar, room = None, common_tokens
+    bar, room = (1 << 63) - 1, common_tokens
     for row in sizes:
         room -= row["k"]
         if room < 0:
             break
         bar = row["least"]
-    frequent = counts.where(F.col("c") >= bar).toPandas() if bar is not None else pd.DataFrame({"h": [], "c": []})
-    h = frequent["h"].to_numpy(dtype=np.int64).view(U64)
-    c = frequent["c"].to_numpy(dtype=np.int64)
-    top = np.lexsort((h, -c))[:SHOWN]
-    shown, order = h[top], np.argsort(h[top], kind="stable")
-    model = train(training, shown, c[top], float(n - c[top].sum()), rounds)
-    base_mass = n + 0.1 * (v + 1) if n else 0.1
-    bits = tail.bits_of(v - len(top))
-    by_hash = np.argsort(h, kind="stable")
-    common = sc.broadcast((h[by_hash], c[by_hash]))
-    scored = source.select("id", "th", "t").mapInArrow(_score_batches(common, sc.broadcast(shown[order]), sc.broadcast(order.astype(np.int64)), sc.broadcast(model), base_mass, n, v), _SCORED)
-    scored = write_table(scored, "scored")
-    rare = scored.where("kind = 1").select("id", "th", "h", F.col("n_tokens").alias("k"))
-    others = counts.where(F.col("c") < bar) if bar is not None else counts
-    looked = rare.join(others.withColumnRenamed("h", "oh"), F.col("h") == F.col("oh"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    smooth = F.col("c") + F.lit(0.1)
-    sums = looked.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("k") * F.log10(smooth / F.lit(base_mass))).alias("r_base"),
-        F.sum(F.col("k") * F.log10(smooth)).alias("r_score"),
-    )
-    rows = scored.where("kind = 0")
-    copies = rows.groupBy(F.col("id").alias("cid"), F.col("th").alias("cth")).agg(F.count("*").alias("copies")).where("copies > 1")
-    out = rows.join(sums, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
-    out = out.join(copies, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
-    ref = F.xxhash64("id", "th")
-    if n:
-        leaves = tail.tail_scores(source.select(ref.alias("ref"), "out", "t"), code, shown, tail.masses(counts, shown, bits), int(n - c[top].sum()), rounds)
-        out = out.join(leaves, ref == F.col("ref"), "left")
-    else:
-        out = out.withColumn("tail", -F.coalesce("r_score", F.lit(0.0)))  # every token has the chance 1
-    share = F.coalesce(F.col("copies"), F.lit(1))  # rows that repeat have sent their tokens each
-
-    def whole(own: str, rest: str) -> F.Column:
-        return F.col(own) + F.coalesce(F.col(rest) / share, F.lit(0))
-
-    return out.select(
-        F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", whole("n_known", "r_known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), whole("base", "r_base").alias("base_score"), (whole("score", "r_score") + F.coalesce(F.col("tail") / share, F.lit(0))).alias("score"),
-    )
+    frequent = counts.where(F.col("c") >= bar).toPandas()
+    others = counts.where(F.col("c") < bar)
+    depth = T.depth_for(v - len(frequent))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(T.rare_class(batch.column(0).to_numpy().view(U64), depth)), pa.array(batch.column(1).to_numpy() + 0.1)], names=["k", "m"])
+
+    sums = others.select("h", "c").mapInArrow(classed, "k long, m double").groupBy("k").agg(F.sum("m").alias("m")).toPandas()  # FAN ** DEEPEST rows at most
+    masses = np.full(T.FAN**depth, 0.1)
+    masses[sums["k"].to_numpy(dtype=np.int64)] += sums["m"].to_numpy(dtype=float)
+    return Vocabulary(frequent["h"].to_numpy(dtype=np.int64).view(U64), frequent["c"].to_numpy(dtype=np.int64), masses, n, v, events), others
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, common_tokens: int = COMMON, events: int = EVENTS) -> DataFrame:
+    """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    Documents whose crc32(id as text) mod 10 is 0 are held out of training; all are scored.
+    """
+    spark = docs.sparkSession
+    parts = shuffle_parts(spark)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("out"), F.col(text_col).cast("binary").alias("t"))
+    counted = source.where(~F.col("out")).select("t").mapInArrow(_token_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = write_table(counted, "token-counts")
+    words, others = vocabulary(counts, common_tokens, events)
+    held = spark.sparkContext.broadcast(words)
+    path = fresh_path(spark, "coded")
+    # the references are fixed by being written
+    source.mapInArrow(_coded(held), _CODED).withColumn("ref", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    coded = spark.read.schema(f"{_CODED}, ref long").parquet(path)
+
+    def met(packed: DataFrame, *then: str) -> DataFrame:
+        return packed.repartition(parts, "shard").sortWithinPartitions("shard", *then)
+
+    lookups = max(1, -(-others.count() // LOOKUPS))
+    asked = others.select("h", "c").mapInArrow(_packed_counts(lookups), _PACKED).unionByName(coded.select("ref", "others").mapInArrow(_asked(lookups), _PACKED))
+    sums = met(asked, "kind").mapInArrow(_looked_up(held, parts), _PACKED)
+    if words.total:
+        trained = met(coded.select("ref", "out", "codes").mapInArrow(_events(held), _PACKED)).mapInArrow(_trained(held, rounds, parts), _PACKED)
+        sums = sums.unionByName(trained)
+    sums = met(sums).mapInArrow(_added, "sums_of long, tail double, more_known double, more_base double, more_score double")
+    out = coded.drop("codes", "others").join(sums, F.col("ref") == F.col("sums_of"), "left")
+
+    def plus(own: str, *rest: str) -> F.Column:
+        return sum((F.coalesce(F.col(c), F.lit(0.0)) for c in rest), F.col(own))
+
+    base = plus("base", "more_base") if words.total else F.lit(0.0)
+    score = plus("score", "tail", "more_score") if words.total else F.lit(0.0)
+    return out.select(F.col("id").alias(id_col), F.col("out").alias("held_out"), "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, jaccard, line_dedup, matroska, maxent, mixing, perspectives, quality, queries, topk, warc
+from kinweave.llm import bpe, jaccard, line_dedup, matroska, maxent, mixing, perspectives, quality, queries, topk, tree, warc
 from kinweave.llm._common import hash_words, mix64
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -364,7 +364,7 @@ def test_cells_lose_no_link(seed, monkeypatch):
 def test_language_model(spark):
     rnd = random.Random(6)
     rows = [(i, " ".join(rnd.choice(["the cat sat", "a dog ran", "THE end", f"rare{rnd.randrange(2000)}"]) for _ in range(rnd.randrange(1, 40)))) for i in range(400)] + [(i, t) for i, t in ODD]
-    got = maxent.score_documents(docs(spark, [(None if i is None else i + (1000 if (i, t) in ODD else 0), t) for i, t in rows]), common_tokens=50).collect()
+    got = maxent.score_documents(docs(spark, [(None if i is None else i + (1000 if (i, t) in ODD else 0), t) for i, t in rows]), common_tokens=50, events=2000).collect()
     rows = [(None if i is None else i + (1000 if (i, t) in ODD else 0), t) for i, t in rows]
 
     def out(i):
@@ -389,34 +389,100 @@ def test_language_model(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_chances_sum_to_one():
+def test_chances_of_all_tokens_sum_to_one():
     rng = np.random.default_rng(0)
-    counts = rng.integers(1, 50, maxent.SHOWN)
-    model = maxent.Model(counts, 300.0)
-    model.outer[:] = rng.normal(0, 1, model.outer.shape)
-    model.inner[:] = rng.normal(0, 1, model.inner.shape)
-    for context in (0, 5 * maxent.IDS + 7, maxent.EDGE * maxent.IDS + maxent.EDGE):
-        y = np.arange(maxent.SHOWN + 1)
-        assert np.exp(model.log_chance(np.full(len(y), context), y)).sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_gradient_is_the_slope():
-    rng = np.random.default_rng(1)
-    model = maxent.Model(rng.integers(1, 9, maxent.SHOWN), 50.0)
-    model.outer = rng.normal(0, 0.1, model.outer.shape)
-    model.inner = rng.normal(0, 0.1, model.inner.shape)
-    context, target = np.sort(rng.integers(0, 40, 200)) * maxent.IDS, rng.integers(0, maxent.SHOWN + 1, 200)
-    n = rng.integers(1, 4, 200)
-    slope, total = model.gradient(context, target, n)
-    assert total == pytest.approx((model.log_chance(context, target) * n).sum(), rel=1e-4)
-    for at in np.argsort(-np.abs(slope[: model.outer.size]))[:5]:
-        i = np.unravel_index(at, model.outer.shape)
-        model.outer[i] += 1e-3
-        up = (model.log_chance(context, target) * n).sum()
-        model.outer[i] -= 2e-3
-        down = (model.log_chance(context, target) * n).sum()
-        model.outer[i] += 1e-3
-        assert (up - down) / 2e-3 == pytest.approx(slope[at], rel=0.02)
+    for k, masses, seen in ((300, 64, 900), (1, 8, 50), (0, 8, 30), (9, 8, 200)):
+        made = tree.Tree(np.sort(rng.integers(1, 50, k))[::-1], rng.random(masses) + 0.1)
+        leaves = np.arange(len(made.leaf))
+        one, two = np.r_[rng.integers(0, 9, seen), np.full(len(leaves), 3)], np.r_[rng.integers(0, 9, seen), np.full(len(leaves), 5)]
+        events, fits = np.r_[(one[:seen] * 7) % len(leaves), leaves], np.r_[np.full(seen, True), np.full(len(leaves), False)]
+        got = np.exp(tree.train_and_score(made, one, two, events, fits, 4))[seen:]
+        assert got.sum() == pytest.approx(1, abs=1e-4)
+        untrained = np.exp(tree.train_and_score(made, one, two, events, fits & False, 4))[seen:]
+        assert got[21 % len(leaves)] > untrained[21 % len(leaves)] or len(leaves) < 9
+        assert untrained.sum() == pytest.approx(1, abs=1e-4)
+
+
+def naive_training(made, events, rounds):
+    """The chances of the events (one, two, leaf, fits) of a shard, event by event and feature by feature."""
+
+    def path(leaf):
+        out, node, child = [], int(made.leaf[leaf]), int(made.leaf_child[leaf])
+        while node >= 0:
+            out.append((node, child))
+            node, child = int(made.up[node]), int(made.turn[node])
+        return out
+
+    def mixed(x):
+        return int(mix64(np.array([x], dtype=np.uint64))[0])
+
+    def slots(one, two, node):
+        for x, salt in ((one, 0xA0761D6478BD642F), (two, 0xE7037ED1A0B428DB), (one << 32 | two, 0x8EBC6AF09C88C6E3)):
+            yield ((mixed(x ^ salt) + (node + 1) * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 % (1 << 64)) >> (64 - tree.TABLE)
+
+    weights, seen = collections.defaultdict(lambda: [0.0] * 8), collections.defaultdict(lambda: [1.0] * 8)
+
+    def chances(one, two, node):
+        z = [float(made.prior[node][j]) + sum(weights[s][j] for s in slots(one, two, node)) for j in range(8)]
+        total = sum(math.exp(max(x, -700)) for x in z)
+        return [math.exp(max(x, -700)) / total for x in z]
+
+    for r in range(rounds):
+        slope = collections.defaultdict(lambda: [0.0] * 8)
+        for one, two, leaf, fits in events:
+            if fits and mixed((mixed((one << 32 | two) ^ 0x8EBC6AF09C88C6E3) + leaf) % (1 << 64)) % rounds == r:
+                for node, child in path(leaf):
+                    for j, p in enumerate(chances(one, two, node)):
+                        for s in slots(one, two, node):
+                            slope[s][j] += (j == child) - p
+        for s, g in slope.items():
+            for j in range(8):
+                seen[s][j] += g[j] ** 2
+                weights[s][j] += tree.RATE * g[j] / math.sqrt(seen[s][j])
+    return [sum(math.log10(chances(one, two, node)[child]) for node, child in path(leaf)) for one, two, leaf, _ in events]
+
+
+def test_scores_are_the_naive_ones(spark):
+    rnd = random.Random(16)
+    rows = [(i, " ".join(rnd.choice(["the cat sat on", "a dog ran", "THE end", f"rare{rnd.randrange(60)}"]) for _ in range(rnd.randrange(1, 9)))) for i in range(70)] + [(200, None), (201, "new words only"), (202, "the the the the the")]
+    got = {r["doc_id"]: r["score"] for r in maxent.score_documents(docs(spark, rows), common_tokens=20, events=60).collect()}
+    tokens = {i: maxent.code([(t or "").encode()])[0] for i, t in rows}
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    counts = collections.Counter(int(h) for i, ts in tokens.items() if i not in held for h in ts)
+    sizes = collections.Counter(math.floor(math.log2(c) * 8) for c in counts.values())
+    some, bar = 0, None
+    for m in sorted(sizes, reverse=True):
+        some += sizes[m]
+        if some > 20:
+            break
+        bar = m
+    frequent = [h for h, c in counts.items() if math.floor(math.log2(c) * 8) >= bar]
+    depth = tree.depth_for(len(counts) - len(frequent))
+    masses = [0.1] * 8**depth
+
+    def classed(h):
+        return int(tree.rare_class(np.array([h], dtype=np.uint64), depth)[0])
+
+    for h, c in counts.items():
+        if h not in frequent:
+            masses[classed(h)] += c + 0.1
+    words = maxent.Vocabulary(np.array(frequent, dtype=np.uint64), np.array([counts[h] for h in frequent]), np.array(masses), sum(counts.values()), len(counts), 60)
+    order = sorted(frequent, key=lambda h: (-counts[h], h))
+    leaf = {h: order.index(h) if h in frequent else len(order) + classed(h) for ts in tokens.values() for h in map(int, ts)}
+    shards, want = collections.defaultdict(list), collections.defaultdict(float)
+    for i, ts in tokens.items():
+        path = [words.edge, words.edge, *(leaf[int(h)] for h in ts)]
+        named = sum(int(x) for x in mix64(np.array(path[2:], dtype=np.uint64))) % (1 << 64)
+        for (two, one, own), h in zip(zip(path, path[1:], path[2:], strict=False), ts, strict=True):
+            at = words.shard(np.array([one]), np.array([two]), mix64(np.array([named], dtype=np.uint64)))[0]
+            shards[int(at)].append((i, (one, two, own, i not in held)))
+            if int(h) not in frequent:
+                want[i] += math.log10((counts[int(h)] + 0.1) / masses[classed(int(h))])
+    assert len({s for s in shards}) > 5 and (words.spread > 1).any()
+    for events in shards.values():
+        for (i, _), x in zip(events, naive_training(words.tree, [e for _, e in events], maxent.ROUNDS), strict=True):
+            want[i] += x
+    assert got == pytest.approx(dict(want), abs=1e-3)
 
 
 def test_rare_tokens_follow_their_context(spark):
@@ -435,22 +501,9 @@ def test_rare_tokens_follow_their_context(spark):
         assert got[right]["score"] > got[wrong]["score"] + 25
 
 
-@pytest.mark.parametrize("bits", [1, 4, 6, 9])
-def test_chances_of_leaves_sum_to_one(bits):
-    from kinweave.llm import tail
-
-    rng = np.random.default_rng(bits)
-    mass = rng.random(1 << bits).astype(np.float32) + 0.1
-    n, every = 5000, np.arange(1 << bits)
-    one, two = np.r_[rng.integers(0, 9, n), np.full(len(every), 3)], np.r_[rng.integers(0, 9, n), np.full(len(every), 5)]
-    leaf, fits = np.r_[one[:n] * 7 % len(every), every], np.r_[np.full(n, True), np.full(len(every), False)]
-    got = 10 ** tail.train_and_score(one.astype(np.uint32), two.astype(np.uint32), leaf, fits, mass, tail.levels(mass), 8)[n:] * mass
-    assert got.sum() == pytest.approx(1, abs=1e-4) and got[21 % len(every)] > 1.5 * mass[21 % len(every)] / mass.sum()
-
-
 def test_language_model_without_training(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
-    assert {r["base_score"] for r in maxent.score_documents(docs(spark, [(i, "a b c") for i in held])).collect()} == {0}
+    assert {(r["base_score"], r["score"]) for r in maxent.score_documents(docs(spark, [(i, "a b c") for i in held])).collect()} == {(0, 0)}
 
 
 def test_language_model_without_rows(spark):
@@ -497,7 +550,7 @@ def test_weak_model_finds_kinds_of_junk_and_accuracies():
     assert ((model.posterior(votes) >= 0.5) == (truth > 0))[told].mean() > 0.94  # a lone objection can be an error or junk
     for j, share in model.accuracy(patterns, counts).items():
         gave = votes[:, j] != quality.ABSTAIN
-        assert share == pytest.approx(((votes[:, j] == 1) == (truth > 0))[gave].mean(), abs=0.03)
+        assert share == pytest.approx(((votes[:, j] == 1) == (truth > 0))[gave].mean(), abs=0.05)
 
 
 def test_weak_model_is_plain_em_and_its_density_rises():
