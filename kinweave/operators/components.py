@@ -44,20 +44,37 @@ def label_all(nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     return every.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def resolve_aliases(aliases: DataFrame, ids: DataFrame | None = None, most: int = 64) -> DataFrame:
+def _doubled(step: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """id, to: where each id of step (id, to) ends when followed 2 ** rounds times or to the end; and whether all have ended."""
+    jump = write_table(step, "jumps")
+    for _ in range(rounds):
+        further = jump.select(F.col("id").alias("via"), F.col("to").alias("beyond"))
+        hop = jump.join(further, F.col("to") == F.col("via"), "left")
+        jump = write_table(hop.select("id", F.coalesce("beyond", "to").alias("to"), F.col("via").isNotNull().alias("moved")), "jumps")
+        if jump.where("moved").isEmpty():
+            return jump.select("id", "to"), True
+        jump = jump.select("id", "to")
+    return jump, False
+
+
+def resolve_aliases(aliases: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """id, resolved: the end of each id's chain of aliases (from_id, to_id).
 
-    A chain that returns to itself ends at the last id before one that was seen. Pointers double each round, so a chain of n needs log n rounds.
+    Pointers double each round, so a chain of n ids takes log2 n rounds. A chain that runs into a circle ends at the last id
+    before one that it has seen: the circle's id before the one where it entered. Of several aliases of one id the greatest counts.
     """
-    step = aliases.where("from_id <> to_id").groupBy("from_id").agg(F.max("to_id").alias("to_id"))
-    ids = step.select(F.col("from_id").alias("id")).unionByName(step.select(F.col("to_id").alias("id"))).distinct() if ids is None else ids.select("id").distinct()
-    chase = write_table(ids.join(step, ids["id"] == step["from_id"], "left").select("id", F.coalesce("to_id", "id").alias("resolved"), F.array("id").alias("seen")), "aliases")
-    for _ in range(most):
-        nxt = chase.join(step, chase["resolved"] == step["from_id"], "left")
-        open_ = F.col("to_id").isNotNull() & ~F.array_contains(F.array_append("seen", F.col("resolved")), F.col("to_id"))
-        nxt = nxt.select("id", F.when(open_, F.col("to_id")).otherwise(F.col("resolved")).alias("resolved"), F.when(open_, F.array_append("seen", F.col("resolved"))).otherwise(F.col("seen")).alias("seen"), open_.alias("more"))
-        nxt = write_table(nxt, "aliases")
-        if nxt.where("more").isEmpty():
-            return nxt.select("id", "resolved")
-        chase = nxt.drop("more")
-    raise ValueError(f"a chain of aliases is longer than {most}")
+    step = write_table(aliases.where("from_id <> to_id").groupBy(F.col("from_id").alias("id")).agg(F.max("to_id").alias("to")), "steps")
+    rounds = max(1, step.count().bit_length())
+    ends, done = _doubled(step, rounds)
+    if not done:
+        # after so many hops, whatever still moves is on a circle; each id of a circle is where another of it has come to
+        circle = write_table(ends.join(step.select(F.col("id").alias("on")), F.col("to") == F.col("on"), "left_semi").select(F.col("to").alias("id")).distinct(), "circles")
+        inside = circle.select(F.col("id").alias("on"))
+        entries, _ = _doubled(step.join(inside, F.col("id") == F.col("on"), "left_anti"), rounds)
+        before = step.join(inside, F.col("id") == F.col("on"), "left_semi").select(F.col("to").alias("enters"), F.col("id").alias("last"))
+        every = entries.unionByName(circle.select("id", F.col("id").alias("to")))
+        ends = every.join(before, F.col("to") == F.col("enters"), "left").select("id", F.coalesce("last", "to").alias("to"))
+    if ids is None:
+        ids = step.select("id").unionByName(step.select(F.col("to").alias("id")))
+    ends = ends.select(F.col("id").alias("from_id"), "to")
+    return ids.select("id").distinct().join(ends, F.col("id") == F.col("from_id"), "left").select("id", F.coalesce("to", "id").alias("resolved"))

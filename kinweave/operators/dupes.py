@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.scalars import hamming
 from ..storage import write_table
 from .components import connected_components
+from .ranking import number_rows
 
 BITS = 64
 
 
+#: Bands that hashes are cut into, by the number of hashes: more bands make finer keys and more rows.
+BANDS = ((1 << 18, 8), (1 << 23, 9), (1 << 62, 10))
+
+
+def hash_classes(hashes: DataFrame, key: str = "idx", hash_col: str = "phash") -> DataFrame:
+    """hash, rep, n: each hash of 16 digits once, with the smallest key that has it and how many have it."""
+    known = hashes.where(F.length(hash_col) == 16)
+    return known.groupBy(F.col(hash_col).alias("hash")).agg(F.min(key).alias("rep"), F.count("*").alias("n"))
+
+
 def hamming_pairs(hashes: DataFrame, most: int = DEFAULT.hamming_dupe, key: str = "idx", hash_col: str = "phash") -> DataFrame:
-    """a, b, d: pairs of hashes that differ in `most` bits or fewer, a < b.
+    """a, b, d, na, nb: pairs of hashes that differ in `most` bits or fewer, by their smallest keys, a < b, and how many rows have each.
 
-    The bits are cut into most + 1 bands; two such hashes agree in one band at least, so an equi-join on
-    (band, value) finds them all, and the exact count drops the rest. Equal hashes are compared once, as one value.
+    Rows with equal hashes are one class; hash_classes gives the members. The bits are cut into bands; two such hashes agree in all bands but `most`, so
+    every choice of that many bands is a key, and an equi-join on the choice and its bits finds them all; the exact count drops the rest.
     """
-    known = hashes.where(F.length(hash_col) == 16).select(F.col(key).alias("k"), F.col(hash_col).alias("hash"))
-    values = known.select("hash").distinct()
+    classes = write_table(hash_classes(hashes, key, hash_col), "hash-classes")
+    total = classes.count()
+    bands = max(most + 1, next(b for n, b in BANDS if total <= n))
     bits = F.lpad(F.conv("hash", 16, 2), BITS, "0")
-    edges = [round(i * BITS / (most + 1)) for i in range(most + 2)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.substring(bits, a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
-    cut = values.select("hash", F.explode(bands).alias("x")).select("hash", "x.*")
-    other = cut.select(F.col("hash").alias("other"), F.col("band").alias("oband"), F.col("part").alias("opart"))
-    near = cut.join(other, (F.col("band") == F.col("oband")) & (F.col("part") == F.col("opart")) & (F.col("hash") < F.col("other"))).select("hash", "other").distinct()
+    edges = [round(i * BITS / bands) for i in range(bands + 1)]
+    cut = [F.substring(bits, a + 1, b - a) for a, b in itertools.pairwise(edges)]
+    keys = F.array(*(F.struct(F.lit(i).alias("pick"), F.concat(*(cut[j] for j in pick)).alias("part")) for i, pick in enumerate(itertools.combinations(range(bands), bands - most))))
+    dealt = classes.select("hash", "rep", "n", F.explode(keys).alias("x")).select("hash", "rep", "n", "x.pick", "x.part")
+    other = dealt.select(F.col("hash").alias("other"), F.col("rep").alias("orep"), F.col("n").alias("on"), F.col("pick").alias("opick"), F.col("part").alias("opart"))
+    near = dealt.join(other, (F.col("pick") == F.col("opick")) & (F.col("part") == F.col("opart")) & (F.col("rep") < F.col("orep")))
     near = near.withColumn("d", hamming(F.col("hash"), F.col("other"))).where(F.col("d") <= most)
-    left = known.select(F.col("k").alias("ka"), F.col("hash"))
-    right = known.select(F.col("k").alias("kb"), F.col("hash").alias("other"))
-    apart = near.join(left, "hash").join(right, "other").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "d")
-    same = left.join(right, F.col("hash") == F.col("other")).where("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit(0).alias("d"))
-    return apart.unionByName(same)
+    return near.select(F.col("rep").alias("a"), F.col("orep").alias("b"), "d", F.col("n").alias("na"), F.col("on").alias("nb")).distinct()
 
 
 def near_duplicate_groups(photos: DataFrame, most: int = DEFAULT.hamming_dupe, order: str = "seq", id_col: str = "photo_id", hash_col: str = "phash") -> DataFrame:
@@ -67,6 +77,6 @@ def near_duplicate_groups(photos: DataFrame, most: int = DEFAULT.hamming_dupe, o
     placed = rows.join(led, "hash", "left")
     group = F.coalesce(F.col("leader"), F.concat(F.lit("alone "), F.col("id").cast("string")))
     firsts = placed.groupBy(group.alias("g")).agg(F.min(F.struct("pos", "id")).alias("first"))
-    # the number of a group is the rank of its first photo: a global order over one row a group
-    numbers = firsts.withColumn("group_id", (F.row_number().over(W.orderBy("first")) - 1).cast("int")).select("g", "group_id")
+    # the number of a group is the rank of its first photo
+    numbers = number_rows(firsts, ["first"], "rank").select("g", (F.col("rank") - 1).alias("group_id"))
     return placed.withColumn("g", group).join(numbers, "g").select(F.col("id").alias(id_col), "group_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import normalise_box
 from ..functions.scalars import display_name
+from ..sources.sinks import commit_version
 
 
 def public_photos(photos: DataFrame, analysis: DataFrame, groups: DataFrame) -> DataFrame:
@@ -47,8 +48,8 @@ def report(pairs: DataFrame, merges: DataFrame, impure: DataFrame, people: DataF
     }
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One JSON object a line. Null names are kept as null; a featured flag that is null is left out.
+def json_lines(df: DataFrame) -> DataFrame:
+    """value: one JSON object a row. Null names are kept as null; a featured flag that is null is left out.
 
     Spark drops all nulls or none, so the objects are made as text.
     """
@@ -57,4 +58,9 @@ def write_json(df: DataFrame, path: str) -> None:
         inner = F.regexp_replace(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":|\}$', "")
         pair = F.concat(F.lit(f'"{c}":'), inner)
         parts.append(F.when(F.col(c).isNotNull(), pair) if c == "featured" else pair)
-    df.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
+
+
+def write_json(df: DataFrame, path: str) -> str:
+    """Commit a table of JSON lines as the current version below path: readers see the old table or the new one."""
+    return commit_version(json_lines(df), path, "text")

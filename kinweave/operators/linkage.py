@@ -37,8 +37,11 @@ def average_linkage(vectors: np.ndarray, photos: list[set], micro: bool, cfg: En
         onto[k, own] = 1
     sums = onto @ gaps @ onto.T
     size = np.array([len(x) for x in members], dtype=float)
-    held = [set().union(*(photos[i] for i in own)) for own in members]
-    shared = np.array([[bool(held[i] & held[j]) for j in range(m)] for i in range(m)]).reshape(m, m)
+    names = {p: k for k, p in enumerate(sorted(set().union(*photos)))}
+    held = np.zeros((m, len(names)), dtype=np.float32)  # which photos each cluster is in
+    for k, own in enumerate(members):
+        held[k, [names[p] for i in own for p in photos[i]]] = 1
+    shared = held @ held.T > 0
     alive = np.ones(m, dtype=bool)
     while True:
         mean = sums / np.outer(size, size)
@@ -52,10 +55,9 @@ def average_linkage(vectors: np.ndarray, photos: list[set], micro: bool, cfg: En
         sums[a, a] = 0
         size[a] += size[b]
         members[a] += members[b]
-        held[a] |= held[b]
+        held[a] = np.maximum(held[a], held[b])
         alive[b] = False
-        for j in np.flatnonzero(alive):
-            shared[a, j] = shared[j, a] = bool(held[a] & held[j])
+        shared[a] = shared[:, a] = held @ held[a] > 0
     return [sorted(members[i]) for i in np.flatnonzero(alive)]
 
 

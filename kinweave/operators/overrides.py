@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import person_id
+from .ranking import number_rows
 
 
 def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -92,8 +93,6 @@ def apply(assignment: DataFrame, faces: DataFrame, overrides: Mapping, next_id:
 
 def number_people(clusters: DataFrame, key: str = "cluster_id") -> DataFrame:
     """key, ordinal, new_id: fresh ids p-0001... in the order of size, then key: what a first run without a ledger gives."""
-    from pyspark.sql import Window
-
     sizes = clusters.groupBy(key).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), key))
-    return sizes.select(key, rank.alias("ordinal"), person_id(rank).alias("new_id"))
+    numbered = number_rows(sizes, [F.desc("n"), F.col(key)], "ordinal")
+    return numbered.select(key, "ordinal", person_id(F.col("ordinal")).alias("new_id"))

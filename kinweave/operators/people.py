@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.scalars import centrality, display_name, face_quality, l2_distance
+from .ranking import number_rows
 from .simjoin import centroids
 
 
@@ -55,7 +56,7 @@ def rank_order() -> list[Column]:
 
 def ranked(people: DataFrame) -> DataFrame:
     """people (featured, order, n_groups, ordinal) with rank from 1."""
-    return people.withColumn("rank", F.row_number().over(W.orderBy(*rank_order())))
+    return number_rows(people, rank_order(), "rank")
 
 
 def reader_order() -> list[Column]:
@@ -65,7 +66,7 @@ def reader_order() -> list[Column]:
 
 def guest_numbers(people: DataFrame, tie: str = "ordinal", id_col: str = "id") -> DataFrame:
     """id, guest_number, display_name: people without a name are numbered by photos, then the tie column."""
-    nameless = people.where("name is null").select(id_col, F.row_number().over(W.orderBy(F.desc("photo_count"), tie)).alias("guest_number"))
+    nameless = number_rows(people.where("name is null").select(*dict.fromkeys([id_col, "photo_count", tie])), [F.desc("photo_count"), F.col(tie)], "guest_number").select(id_col, "guest_number")
     joined = people.join(nameless, id_col, "left")
     return joined.select(id_col, "guest_number", display_name(F.col("name"), F.col("guest_number")).alias("display_name"))
 
@@ -83,20 +84,48 @@ def photo_people(bridge: DataFrame) -> DataFrame:
     return first.groupBy("photo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "person_id"))), lambda s: s["person_id"]).alias("people"))
 
 
+def _positions(photos: DataFrame, by: str, key: str, within: str | None, name: str) -> DataFrame:
+    """within, key and the position from 1, among all photos or those of the same `within`."""
+    if within is None:
+        return number_rows(photos.select(key, *([by] if by != key else [])), [by, key], name).select(key, name)
+    return photos.select(within, key, F.row_number().over(W.partitionBy(within).orderBy(by, key)).alias(name))
+
+
 def neighbours(photos: DataFrame, by: str = "seq", key: str = "id", within: str | None = None) -> DataFrame:
     """key, previous, next: around the circle of photos in order."""
-    w = (W.partitionBy(within) if within else W.partitionBy()).orderBy(by, key)
+    if within is None:
+        placed = _positions(photos, by, key, None, "__pos")
+        last = placed.agg(F.max("__pos")).first()[0] or 0
+        ends = placed.where(F.col("__pos").isin(1, last)).select((F.col("__pos") == 1).alias("__first"), key).collect()  # two rows
+        first_key, last_key = (next((r[key] for r in ends if r["__first"] == want or last == 1), None) for want in (True, False))
+        left = placed.select((F.col("__pos") + 1).alias("__pos"), F.col(key).alias("previous"))
+        right = placed.select((F.col("__pos") - 1).alias("__pos"), F.col(key).alias("next"))
+        kind = photos.schema[key].dataType
+        around = placed.join(left, "__pos", "left").join(right, "__pos", "left")
+        return around.select(key, F.coalesce("previous", F.lit(last_key).cast(kind)).alias("previous"), F.coalesce("next", F.lit(first_key).cast(kind)).alias("next"))
+    w = W.partitionBy(within).orderBy(by, key)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     previous = F.coalesce(F.lag(key).over(w), F.last(key).over(whole))
     following = F.coalesce(F.lead(key).over(w), F.first(key).over(whole))
-    return photos.select(*([within] if within else []), key, previous.alias("previous"), following.alias("next"))
+    return photos.select(within, key, previous.alias("previous"), following.alias("next"))
 
 
 def grid(photos: DataFrame, columns: int, chunk: int = 150, by: str = "seq", key: str = "id", within: str | None = None) -> DataFrame:
     """key, position (from 1), grid_column, chunk: where a gallery shows each photo and when it loads."""
-    w = (W.partitionBy(within) if within else W.partitionBy()).orderBy(by, key)
-    rn = F.row_number().over(w)
-    return photos.select(*([within] if within else []), key, rn.alias("position"), F.pmod(rn - 1, F.lit(columns)).alias("grid_column"), F.floor((rn - 1) / F.lit(chunk)).cast("int").alias("chunk"))
+    placed = _positions(photos, by, key, within, "position")
+    return placed.withColumns({"grid_column": F.pmod(F.col("position") - 1, F.lit(columns)), "chunk": F.floor((F.col("position") - 1) / F.lit(chunk)).cast("int")})
+
+
+def landing(people: DataFrame, photos: DataFrame) -> DataFrame:
+    """view, people, photos in one row: what the first page shows. Without people it is the plain gallery of photos."""
+    counts = [x.agg(F.count("*").alias(n)).withColumn("__one", F.lit(1)) for x, n in ((people, "people"), (photos, "photos"))]
+    return counts[0].join(counts[1], "__one").select(F.when(F.col("people") > 0, F.lit("people")).otherwise(F.lit("photos")).alias("view"), "people", "photos")
+
+
+def person_card(people: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, found, display_name, photo_count of each asked id: an unknown one is a row that says so, not an error."""
+    known = people.select(F.col("id").alias("pid"), display_name(F.col("name"), F.col("ordinal")).alias("display_name"), "photo_count")
+    return ids.select("id").join(known, F.col("id") == F.col("pid"), "left").select("id", F.col("pid").isNotNull().alias("found"), "display_name", "photo_count")
 
 
 def busiest_photo(bridge: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Vectors are dealt to cells around pivots; a cell has a centre and a radius. Two cells can hold a pair
 within a distance only if their centres are no farther apart than that plus both radii; only such
-pairs of cells are computed, each as a block in numpy. Cells beyond a size are cut into blocks. So memory is bounded by
-two blocks, and clustered data skip most of the work; data without structure keep all blocks, which no exact method avoids.
+pairs of cells are computed, each as a block in numpy. Cells beyond a size are cut into blocks. There are at most CELLS cells, whose centres all tasks
+hold; beyond, blocks grow with the data and are compared in pieces. Which cells meet is found by tasks over the cells, so no
+list of pairs is on the driver. Clustered data skip most of the work; data without structure keep all blocks, which no exact method avoids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,66 +19,109 @@ from pyspark.sql import functions as F
 from ..storage import write_table
 
 BLOCK = 1024
-PIVOTS = 256
-
-
-def _blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, list[tuple[int, np.ndarray, float]]]:
-    """vectors (idx, v) with their block; centre and radius of each cell. At most PIVOTS cells, so the driver's table is bounded."""
-    n = vectors.count()
-    k = max(1, min(PIVOTS, -(-n // block)))
-    pivots = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("idx"), "idx").limit(k).select("v").collect()], dtype=float)
-    held = vectors.sparkSession.sparkContext.broadcast(pivots)
-
-    def near(frames):
-        own = held.value
-        for pdf in frames:
-            x = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), -1)
-            if len(x):
-                gaps = (x**2).sum(1)[:, None] + (own**2).sum(1) - 2 * x @ own.T
-                cell = gaps.argmin(1)
-                yield pdf.assign(cell=cell.astype("int32"), gap=np.sqrt(np.maximum(((x - own[cell]) ** 2).sum(1), 0)))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
-    dealt = write_table(vectors.mapInPandas(near, f"{kinds}, cell int, gap double"), "cells") if n else vectors.withColumn("cell", F.lit(0)).withColumn("gap", F.lit(0.0))
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
-    cuts = {r["cell"]: -(-r["n"] // block) for r in cells}
-    table = vectors.sparkSession.createDataFrame([(int(c), int(k)) for c, k in cuts.items()] or [(0, 1)], "cell int, cuts int")
-    dealt = dealt.join(F.broadcast(table), "cell").withColumn("cut", F.pmod(F.xxhash64("idx"), F.col("cuts")).cast("int"))
-    return dealt, [(r["cell"], pivots[r["cell"]], r["radius"], cuts[r["cell"]]) for r in cells]
-
-
-def pair_blocks(vectors: DataFrame, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], pd.DataFrame], schema: str, within: float | None = None, block: int = BLOCK) -> DataFrame:
+#: Cells at most; their centres take CELLS times the vectors' length times 8 bytes.
+CELLS = 16_384
+
+
+class Cells:
+    """Centres, radii and numbers of blocks of the cells that hold vectors, and the vectors with their cell and block."""
+
+    def __init__(self, vectors: DataFrame, block: int):
+        spark, n = vectors.sparkSession, vectors.count()
+        self.block = max(block, -(-n // CELLS))
+        share = min(1.0, -(-n // self.block) / max(n, 1))
+        bar = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
+        rows = vectors.where(F.xxhash64("idx") <= bar).orderBy("idx").select("v").collect() if n else []  # about one vector for each block
+        pivots = np.array([r["v"] for r in rows or vectors.limit(1).select("v").collect()], dtype=float)
+        # a vector's pivot is looked for among those of its nearest head, which needs not be exact
+        heads = pivots[: int(np.ceil(np.sqrt(len(pivots))))] if len(pivots) else pivots
+        under = _nearest(pivots, heads) if len(pivots) else np.empty(0, dtype=int)
+        held = spark.sparkContext.broadcast((pivots, heads, [np.flatnonzero(under == h) for h in range(len(heads))]))
+
+        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, first, below = held.value
+            for pdf in frames:
+                x = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), -1)
+                if not len(x):
+                    continue
+                cell = np.empty(len(x), dtype=np.int32)
+                head = _nearest(x, first)
+                for h in np.unique(head):
+                    rows = np.flatnonzero(head == h)
+                    cell[rows] = below[h][_nearest(x[rows], own[below[h]])]
+                yield pdf.assign(cell=cell, gap=np.sqrt(((x - own[cell]) ** 2).sum(1)))
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
+        dealt = write_table(vectors.mapInPandas(near, f"{kinds}, cell int, gap double"), "cells") if n else vectors.withColumn("cell", F.lit(0)).withColumn("gap", F.lit(0.0))
+        found = sorted(dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect())  # CELLS rows at most
+        self.names = np.array([r["cell"] for r in found], dtype=np.int64)
+        self.centres = pivots[self.names] if len(found) else pivots
+        self.radii = np.array([r["radius"] for r in found], dtype=float)
+        self.cuts = np.array([-(-r["n"] // self.block) for r in found], dtype=np.int64)
+        table = spark.createDataFrame([(int(c), int(k)) for c, k in zip(self.names, self.cuts, strict=True)] or [(0, 1)], "cell int, cuts int")
+        self.vectors = dealt.join(F.broadcast(table), "cell").withColumn("cut", F.pmod(F.xxhash64("idx"), F.col("cuts")).cast("int")).drop("cuts", "gap")
+
+    def tiles(self, reach: Callable[[int], np.ndarray | float | None], alone: bool = False) -> DataFrame:
+        """cell, cut, side and the tile (p, i, q, j) of each block in each pair of blocks that can hold pairs.
+
+        reach gives, for the number of a cell, how near a pair must be to matter with each cell; None: always. alone: only pairs within a cell.
+        """
+        spark = self.vectors.sparkSession
+        held = spark.sparkContext.broadcast((self.names, self.centres, self.radii, self.cuts))
+
+        def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, centres, radii, cuts = held.value
+            for pdf in frames:
+                for a in pdf["id"].tolist():
+                    bound = reach(a)
+                    gaps = np.sqrt(((centres[a:] - centres[a]) ** 2).sum(1))
+                    near = np.arange(a, len(names)) if bound is None else a + np.flatnonzero(gaps <= radii[a] + radii[a:] + (bound[a:] if isinstance(bound, np.ndarray) else bound) + 1e-9)
+                    out = []
+                    for b in [a] if alone else [a, *(near[near > a]).tolist()]:
+                        for i in range(cuts[a]):
+                            for j in range(i if a == b else 0, cuts[b]):
+                                out.append((names[a], i, 0, names[a], i, names[b], j))
+                                if (a, i) != (b, j):
+                                    out.append((names[b], j, 1, names[a], i, names[b], j))
+                        if len(out) > 50_000:
+                            yield pd.DataFrame(out, columns=["cell", "cut", "side", "p", "i", "q", "j"])
+                            out = []
+                    yield pd.DataFrame(out, columns=["cell", "cut", "side", "p", "i", "q", "j"])
+
+        cells = spark.range(0, len(self.names), 1, max(1, min(len(self.names), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        return cells.mapInPandas(meet, "cell int, cut int, side int, p int, i int, q int, j int")
+
+
+def _nearest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return ((points**2).sum(1) - 2 * x @ points.T).argmin(1)
+
+
+Reduce = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], pd.DataFrame]
+
+
+def pair_blocks(cells: Cells, reduce: Reduce, schema: str, within: float | np.ndarray | None = None, alone: bool = False) -> DataFrame:
     """Apply reduce to each pair of blocks that can hold pairs within a distance (None: all pairs).
 
-    reduce gets both sides, their distances and whether they are one block, of which it uses the upper triangle.
-    vectors: idx (integer), v (array of double) and what reduce needs.
+    reduce gets both sides, their distances and whether they are one block, of which it uses the upper triangle. within may be an array of a
+    bound for each cell, of which the greater of both counts. Vectors have idx (integer), v (array of double) and what reduce needs.
     """
-    dealt, cells = _blocks(vectors, block)
-    pairs = []
-    for i, (a, ca, ra, na) in enumerate(cells):
-        for b, cb, rb, nb in cells[i:]:
-            if within is None or a == b or np.sqrt(((ca - cb) ** 2).sum()) <= ra + rb + within + 1e-9:
-                pairs += [(a, x, b, y) for x in range(na) for y in range(nb) if a != b or x <= y]
-    spark = vectors.sparkSession
-    rows = []
-    for t, (a, x, b, y) in enumerate(pairs):
-        rows.append((t, a, x, 0, (a, x) == (b, y)))
-        if (a, x) != (b, y):
-            rows.append((t, b, y, 1, False))
-    tiles = spark.createDataFrame(rows or [(0, -1, 0, 0, True)], "tile int, cell int, cut int, side int, alone boolean")
-    sent = dealt.join(tiles, ["cell", "cut"]).drop("cut", "cuts", "gap")
+    sent = cells.vectors.join(cells.tiles((lambda a: np.maximum(within[a], within)) if isinstance(within, np.ndarray) else lambda _: within, alone), ["cell", "cut"]).drop("cut")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone = bool(pdf["alone"].iloc[0])
+        one = pdf["p"].iloc[0] == pdf["q"].iloc[0] and pdf["i"].iloc[0] == pdf["j"].iloc[0]
         left = pdf[pdf["side"] == 0].sort_values("idx").reset_index(drop=True)
-        right = left if alone else pdf[pdf["side"] == 1].sort_values("idx").reset_index(drop=True)
-        if not len(left) or not len(right):
-            return reduce(left.iloc[:0], right.iloc[:0], np.empty((0, 0)), alone)
-        x, y = (np.array(s["v"].tolist(), dtype=float).reshape(len(s), -1) for s in (left, right))
-        gaps = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
-        return reduce(left, right, gaps, alone)
+        right = left if one else pdf[pdf["side"] == 1].sort_values("idx").reset_index(drop=True)
+        out = []
+        for lo in range(0, len(left), BLOCK):
+            for at in range(lo if one else 0, len(right), BLOCK):
+                a, b = left.iloc[lo : lo + BLOCK].reset_index(drop=True), right.iloc[at : at + BLOCK].reset_index(drop=True)
+                x, y = (np.array(s["v"].tolist(), dtype=float).reshape(len(s), -1) for s in (a, b))
+                gaps = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
+                out.append(reduce(a, b, gaps, bool(one and at == lo)))
+        out = [x for x in out if len(x)]
+        return pd.concat(out) if out else reduce(left.iloc[:0], right.iloc[:0], np.empty((0, 0)), one)
 
-    return sent.groupBy("tile").applyInPandas(run, schema)
+    return sent.groupBy("p", "i", "q", "j").applyInPandas(run, schema)
 
 
 def exact_distance(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -95,7 +139,7 @@ def similarity_join(vectors: DataFrame, within: float, block: int = BLOCK) -> Da
         a, b = left["idx"].to_numpy()[i[keep]], right["idx"].to_numpy()[j[keep]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d[keep]})
 
-    return pair_blocks(vectors.select(F.col("idx").cast("long"), "v"), reduce, "a long, b long, d double", within, block)
+    return pair_blocks(Cells(vectors.select(F.col("idx").cast("long"), "v"), block), reduce, "a long, b long, d double", within)
 
 
 def group_pair_stats(vectors: DataFrame, group_col: str, block: int = BLOCK) -> DataFrame:
@@ -110,25 +154,29 @@ def group_pair_stats(vectors: DataFrame, group_col: str, block: int = BLOCK) ->
         out = []
         ga, gb = left["g"].to_numpy(), right["g"].to_numpy()
         upper = np.triu(np.ones_like(gaps, dtype=bool), 1) if alone and gaps.size else np.ones_like(gaps, dtype=bool)
-        if gaps.size:
-            x, y = (np.array(s["v"].tolist(), dtype=float).reshape(len(s), -1) for s in (left, right))
         for p in names:
             for q in names:
                 rows, cols = np.flatnonzero(ga == p), np.flatnonzero(gb == q)
                 if not len(rows) or not len(cols):
                     continue
-                d = np.sqrt(((x[rows][:, None, :] - y[cols][None, :, :]) ** 2).sum(2)) if len(rows) * len(cols) <= 200_000 else gaps[np.ix_(rows, cols)]
-                d = d[upper[np.ix_(rows, cols)]]
-                if len(d):
-                    out.append((min(p, q), max(p, q), len(d), d.sum(), d.min(), d.max()))
+                i, j = np.nonzero(upper[np.ix_(rows, cols)])
+                if not len(i):
+                    continue
+                # from differences, since the products that give `gaps` cancel
+                d = np.concatenate([exact_distance(left, right, rows[i[lo : lo + 65536]], cols[j[lo : lo + 65536]]) for lo in range(0, len(i), 65536)])
+                out.append((min(p, q), max(p, q), len(d), d.sum(), d.min(), d.max()))
         return pd.DataFrame(out, columns=["ga", "gb", "n", "total", "least", "most"])
 
-    parts = pair_blocks(vectors.select(F.col("idx").cast("long"), "v", F.col(group_col).alias("g")), reduce, f"ga {kind}, gb {kind}, n long, total double, least double, most double", None, block)
+    cells = Cells(vectors.select(F.col("idx").cast("long"), "v", F.col(group_col).alias("g")), block)
+    parts = pair_blocks(cells, reduce, f"ga {kind}, gb {kind}, n long, total double, least double, most double")
     return parts.groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def nearest_other_group(vectors: DataFrame, group_col: str, block: int = BLOCK) -> DataFrame:
-    """idx, nearest, d: for each vector the nearest one of another group; ties go to the smaller idx."""
+    """idx, nearest, d: for each vector the nearest one of another group; ties go to the smaller idx.
+
+    Cells are first joined with themselves. What a cell's vectors found there bounds how far it has to look; a cell with a vector that found nothing looks everywhere.
+    """
     kind = dict(vectors.dtypes)[group_col]
 
     def reduce(left, right, gaps, alone):
@@ -147,7 +195,12 @@ def nearest_other_group(vectors: DataFrame, group_col: str, block: int = BLOCK)
                 break
         return pd.DataFrame(out, columns=["idx", "nearest", "d"])
 
-    parts = pair_blocks(vectors.select(F.col("idx").cast("long"), "v", F.col(group_col).cast(kind).alias("g")), reduce, "idx long, nearest long, d double", None, block)
+    cells = Cells(vectors.select(F.col("idx").cast("long"), "v", F.col(group_col).cast(kind).alias("g")), block)
+    found = "idx long, nearest long, d double"
+    own = write_table(pair_blocks(cells, reduce, found, alone=True), "nearest-within")
+    far = cells.vectors.select("idx", "cell").join(own.groupBy("idx").agg(F.min("d").alias("d")), "idx", "left")
+    bounds = dict(far.groupBy("cell").agg(F.max(F.coalesce("d", F.lit(float("inf")))).alias("far")).collect())  # CELLS rows at most
+    parts = pair_blocks(cells, reduce, found, np.array([bounds[c] for c in cells.names.tolist()], dtype=float))
     best = parts.groupBy("idx").agg(F.min(F.struct("d", "nearest")).alias("best"))
     return best.select("idx", "best.nearest", "best.d")
 

@@ -11,6 +11,7 @@ PHOTO = "id string, w int, h int, c string, dg int"
 LEDGER_PERSON = "id string, ordinal int"
 LEDGER_ANCHOR = "id string, face_id string"
 LEDGER_ALIAS = "from_id string, to_id string"
+LEDGER_COUNTER = "next_id int, next_ordinal int"
 DECISION = "pair_key string, a string, b string, name_a string, name_b string, decision string, decided_at timestamp, applied_at timestamp"
 REVIEW_PAIR = "a string, b string, distance double, reason string"
 ATTRIBUTES = "struct<name:string,featured:boolean,`order`:int,cover:string,hidden:boolean>"

@@ -11,6 +11,7 @@ from .. import schemas
 from ..config import DEFAULT, EngineConfig
 from ..functions.scalars import projected_seconds, sequence_of
 from ..operators.gates import without
+from .sinks import current_path, exists
 
 
 def discover(spark: SparkSession, folder: str, ignore: Iterable[str] = (), only: Iterable[str] = (), limit: int | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -84,15 +85,15 @@ def issues(results: DataFrame, subject: str = "id") -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str, optional: bool = False, multiline: bool = True) -> DataFrame:
-    """A JSON table with its schema. A missing optional one is empty; a corrupt one raises."""
-    from pyspark.errors import AnalysisException
+    """A JSON table with its schema: a file, a folder, or the current version of a committed one.
 
-    try:
-        return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", str(multiline).lower()).json(path)
-    except AnalysisException as e:
-        if optional and "PATH_NOT_FOUND" in str(e):
+    A missing optional one is empty; a corrupt one raises.
+    """
+    if not exists(spark, path):
+        if optional:
             return spark.createDataFrame([], schema)
-        raise
+        raise FileNotFoundError(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", str(multiline).lower()).json(current_path(spark, path) or path)
 
 
 def read_people(spark: SparkSession, path: str) -> DataFrame:

@@ -18,15 +18,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file under another name, then rename it, so a reader never sees half of it."""
-    fs, p = _fs(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    """Write a small file under another name, then move it into place in one step: a reader sees the old file or the new one."""
+    fs, _ = _fs(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    final, part = fs.makeQualified(hadoop.Path(path)), fs.makeQualified(hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp"))
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(part, p)
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(part, final, over)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -40,18 +41,29 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def commit_version(df: DataFrame, root: str) -> str:
+def commit_version(df: DataFrame, root: str, kind: str = "parquet") -> str:
     """Write a new version below root, then point `CURRENT` at it. Readers keep the old version until then; one writer at a time."""
     version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{version}")
+    df.write.format(kind).save(f"{root}/{version}")
     _write_text(df.sparkSession, f"{root}/CURRENT", version)
     return version
 
 
+def current_path(spark: SparkSession, root: str, version: str | None = None) -> str | None:
+    """The folder of the current version, or of a named one; None before the first commit. Versions without a pointer raise."""
+    version = version or _read_text(spark, f"{root}/CURRENT")
+    if version:
+        return f"{root}/{version}"
+    fs, p = _fs(spark, root)
+    if fs.exists(p) and any(f.isDirectory() and f.getPath().getName().startswith("v-") and fs.exists(f.getPath().suffix("/_SUCCESS")) for f in fs.listStatus(p)):
+        raise ValueError(f"{root} holds versions, but none is marked as the current one")
+    return None
+
+
 def read_version(spark: SparkSession, root: str, schema: str, version: str | None = None) -> DataFrame:
     """The current version, or a named one; empty before the first commit."""
-    version = version or _read_text(spark, f"{root}/CURRENT")
-    return spark.read.schema(schema).parquet(f"{root}/{version}") if version else spark.createDataFrame([], schema)
+    path = current_path(spark, root, version)
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
 def upsert(spark: SparkSession, root: str, rows: DataFrame, keys: list[str], schema: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 def storage_root(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent, as in local tests, a temporary folder is made and set.
+    Only where the setting is absent and driver and tasks are one process, as in local tests, a temporary folder is made and set.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="kinweave-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(f"file://{made}")

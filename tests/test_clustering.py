@@ -133,6 +133,15 @@ def test_aliases_with_a_cycle(spark):
     assert got["x"] == "y" and got["y"] == "x"
 
 
+def test_long_chains_of_aliases(spark):
+    n = 10_000
+    rows = spark.range(n).selectExpr("id as from_id", "id + 1 as to_id").unionByName(spark.createDataFrame([(-1, -2), (-2, -3), (-3, -4), (-4, -2), (-9, -3)], "from_id long, to_id long"))
+    got = dict(map(tuple, components.resolve_aliases(rows).collect()))
+    assert {got[i] for i in range(n + 1)} == {n}
+    # into the circle -2, -3, -4: the id before the one where the chain entered
+    assert {i: got[i] for i in (-1, -2, -3, -4, -9)} == {-1: -4, -2: -4, -3: -2, -4: -3, -9: -2}
+
+
 def test_leader_groups(spark):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(6)]
