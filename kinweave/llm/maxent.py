@@ -37,6 +37,10 @@ ROUNDS = 4
 EVENTS, SHARDS = 200_000, 32
 #: Events or lookups that a task gathers before it deals them out, and counts in a shard of lookups.
 HELD, LOOKUPS = 2_000_000, 1 << 17
+#: Bits of a hash that lead to its place among those of the frequent tokens.
+TOP_BITS = 20
+#: What packed sums are of.
+TREE, LOOKED_UP = 0, 1
 #: The hash of the end token.
 END = U64(0x5851F42D4C957F2D)
 
@@ -62,6 +66,7 @@ class Vocabulary:
         self.depth = len(masses).bit_length() // 3
         by_hash = np.argsort(hashes[order], kind="stable")
         self.hashes, self.ranks = hashes[order][by_hash], by_hash.astype(np.int32)
+        self.first = np.searchsorted(self.hashes >> U64(64 - TOP_BITS), np.arange((1 << TOP_BITS) + 1, dtype=U64)).astype(np.int32)
         self.tree = T.Tree(self.counts, masses)
         self.edge = len(self.tree.leaf)  # the context before a text
         end = self.codes(np.array([END]))[0][0]
@@ -71,12 +76,15 @@ class Vocabulary:
 
     def codes(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The leaf of each token, and whether it is a frequent one."""
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-            known = self.hashes[at] == tokens
-            leaf = self.ranks[at].astype(np.int64)
-        else:
-            known, leaf = np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=np.int64)
+        known, leaf = np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=np.int64)
+        left, top = np.arange(len(tokens)), (tokens >> U64(64 - TOP_BITS)).astype(np.int64)
+        at, end = self.first[top], self.first[top + 1]
+        while len(left := left[at[left] < end[left]]):  # one after another of the few hashes with the same first bits
+            place = at[left]
+            hit = self.hashes[place] == tokens[left]
+            known[left[hit]], leaf[left[hit]] = True, self.ranks[place[hit]]
+            left = left[~hit]
+            at[left] += 1
         away = np.flatnonzero(~known)
         leaf[away] = len(self.counts) + T.rare_class(tokens[away], self.depth)
         return leaf, known
@@ -211,7 +219,7 @@ def _events(held):
             marked, head = leaf | np.where(out[doc], 1 << 23, 0), _runs(refs)
 
             def pack(x: np.ndarray, one=one, two=two, marked=marked, doc=doc, head=head) -> bytes:
-                body = _planes(one[x]) + _planes(two[x]) + _planes(marked[x]) + doc[x].astype("<u4").tobytes()
+                body = _planes(one[x]) + _planes(two[x]) + _planes(marked[x]) + _planes(np.diff(doc[x], prepend=0))  # documents rise
                 return struct.pack("<I", len(x)) + squeeze(head + body)
 
             yield from _dealt(shard, 0, int(refs[0]), pack)
@@ -223,18 +231,16 @@ def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """one, two, leaf with its mark, and the document's reference, of packed events."""
     n = struct.unpack_from("<I", blob)[0]
     raw = zstandard.ZstdDecompressor().decompress(blob[4:])
-    at = len(raw) - 13 * n
-    one, two, leaf = (_unplanes(np.frombuffer(raw, np.uint8, 3 * n, at + 3 * n * i)) for i in range(3))
-    return one, two, leaf, _unruns(raw, np.frombuffer(raw, "<u4", n, at + 9 * n).astype(np.int64))
+    one, two, leaf, doc = (_unplanes(np.frombuffer(raw, np.uint8, 3 * n, len(raw) - 3 * n * (4 - i))) for i in range(4))
+    return one, two, leaf, _unruns(raw, np.cumsum(doc))
 
 
 class _Sums:
     """Sums per document, sent on as packed arrays by the document's part."""
 
-    columns = 4  # the score by the tree, and of looked-up tokens the number known, the base and the score
-
-    def __init__(self, parts: int):
-        self.parts, self.refs, self.values, self.size = parts, [], [], 0
+    def __init__(self, parts: int, kind: int, value: str):
+        """kind: what the blobs are marked with; value: the type of the sums."""
+        self.parts, self.kind, self.value, self.refs, self.values, self.size = parts, kind, value, [], [], 0
 
     def add(self, refs: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         """values: a row for each column."""
@@ -242,7 +248,7 @@ class _Sums:
         self.refs.append(ref)
         self.values.append(np.stack([np.bincount(back, v, len(ref)).astype(float) for v in values]))
         self.size += len(ref)
-        if self.size > HELD // 4:
+        if self.size > HELD:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -250,11 +256,24 @@ class _Sums:
             return
         ref, values = add_up(self.refs, self.values)
         self.refs, self.values, self.size = [], [], 0
+        squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def pack(x: np.ndarray) -> bytes:
-            return ref[x].tobytes() + np.ascontiguousarray(values[:, x]).tobytes()
+            return struct.pack("<I", len(x)) + squeeze(_runs(ref[x]) + values[:, x].astype(self.value).tobytes())
+
+        yield from _dealt((mix64((ref >> 10).astype(U64)) % U64(self.parts)).astype(np.int64), self.kind, 0, pack)
 
-        yield from _dealt((mix64((ref >> 10).astype(U64)) % U64(self.parts)).astype(np.int64), 0, 0, pack)
+
+def _open_sums(kind: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """References, and the score by the tree and of looked-up tokens the number known, the base and the score."""
+    n = struct.unpack_from("<I", blob)[0]
+    raw = zstandard.ZstdDecompressor().decompress(blob[4:])
+    values = np.zeros((4, n))
+    if kind == TREE:
+        values[0] = np.frombuffer(raw, "<f4", n, len(raw) - 4 * n)
+    else:
+        values[1:] = np.frombuffer(raw, "<f8", 3 * n, len(raw) - 24 * n).reshape(3, n)
+    return _unruns(raw, np.arange(n)), values
 
 
 def add_up(refs: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -280,13 +299,13 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 def _trained(held, rounds: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Vocabulary = held.value
-        sums = _Sums(parts)
+        sums = _Sums(parts, TREE, "<f4")
         for _, blobs in _by_shard(batches):
             blobs.sort(key=lambda b: b[1])
             one, two, leaf, ref = (np.concatenate(x) for x in zip(*(_open(b) for _, _, b in blobs), strict=True))
             fits = leaf < 1 << 23
             got = T.train_and_score(own.tree, one, two, leaf & ((1 << 23) - 1), fits, rounds) / np.log(10)
-            yield from sums.add(ref, np.stack([got, *np.zeros((_Sums.columns - 1, len(got)))]))
+            yield from sums.add(ref, got[None, :])
         yield from sums.flush()
 
     return run
@@ -335,7 +354,7 @@ def _asked(shards: int):
 
 def _looked_up(held, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, sums = held.value.base_mass, _Sums(parts)
+        mass, sums = held.value.base_mass, _Sums(parts, LOOKED_UP, "<f8")
         at, known, hashes, counts = None, [], np.empty(0, U64), np.empty(0, np.int64)
         for batch in batches:
             for shard, kind, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -354,7 +373,7 @@ def _looked_up(held, parts: int):
                     place = np.minimum(np.searchsorted(hashes, h.view(U64)), len(hashes) - 1)
                     c = np.where(hashes[place] == h.view(U64), counts[place], 0)
                 score = k * np.log10(c + 0.1)
-                yield from sums.add(ref, np.stack([np.zeros(len(h)), k * (c > 0), score - k * np.log10(mass), score]))
+                yield from sums.add(ref, np.stack([k * (c > 0), score - k * np.log10(mass), score]))
         yield from sums.flush()
 
     return run
@@ -364,11 +383,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The packed sums of one part after another to a row per document."""
     for _, blobs in _by_shard(batches):
         refs, values, size = [], [], 0
-        for _, _, blob in blobs:
-            n = len(blob) // (8 * (1 + _Sums.columns))
-            refs.append(np.frombuffer(blob, "<i8", n))
-            values.append(np.frombuffer(blob, "<f8", offset=8 * n).reshape(_Sums.columns, n))
-            size += n
+        for kind, _, blob in blobs:
+            ref, own = _open_sums(kind, blob)
+            refs.append(ref)
+            values.append(own)
+            size += len(ref)
             if size > HELD:
                 refs, values = ([x] for x in add_up(refs, values))
                 size = len(refs[0])

@@ -142,9 +142,8 @@ def train_and_score(tree: Tree, one: np.ndarray, two: np.ndarray, leaves: np.nda
             _, child, rows, z, _ = look(own[lo : lo + CHUNK])
             z /= -(z @ ones)[:, None]
             z[np.arange(len(z)), child] += 1
-            flat = z.ravel()
-            for s in rows:
-                slope += np.bincount((s[:, None] * FAN + columns).ravel(), flat, weights.size)
+            places = np.concatenate([(s[:, None] * FAN + columns).ravel() for s in rows])
+            slope += np.bincount(places, np.tile(z.ravel(), len(rows)), weights.size)
         slope = slope.reshape(weights.shape)
         seen += slope * slope
         slope /= np.sqrt(seen)
