@@ -95,6 +95,23 @@ def test_consolidation_is_the_naive_one(seed):
     assert got == naive_consolidate(x, group, clusters, DEFAULT)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_consolidate_apart_as_all_at_once(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.22, (20, 3)) for c in (0, 4, 8)])
+    clusters = [list(range(i, i + 2)) for i in range(0, 60, 2)]
+    faces = spark.createDataFrame([(i, f"f{i}", f"t-{i % 17}", [float(v) for v in p]) for i, p in enumerate(x)], "face_idx int, face_id string, photo_id string, descriptor array<double>")
+    placed = spark.createDataFrame([(i, c[0]) for c in clusters for i in c], "face_idx long, cluster_id long")
+    groups = spark.createDataFrame([(f"t-{i}", i // 2) for i in range(17)], "photo_id string, group_id int")
+    vetoes = [({"f0", "f2"}, {"f5"}), ({"f41"}, {"f44", "f47"})]
+    got = {}
+    for r in consolidate.consolidate_identities(faces, placed, groups, vetoes).collect():
+        got.setdefault(r["identity_id"], set()).add(r["face_idx"])
+    want = consolidate.consolidate(x, [str(i % 17 // 2) for i in range(60)], [f"f{i}" for i in range(60)], clusters, vetoes)
+    assert {frozenset(c) for c in got.values()} == {frozenset(c) for c in want} and all(min(c) == k for k, c in got.items())
+    assert 3 < len(got) < 30
+
+
 def test_veto_keeps_clusters_apart():
     x = np.array([[0.0], [0.1], [0.2], [0.3]])
     args = (x, list("abcd"), list("abcd"), [[0, 1], [2, 3]])
