@@ -270,7 +270,7 @@ def test_top_k(spark):
     got = {}
     for r in topk.exact_top_k(table, F.col("id") % 2 == 0, 7, shard_rows=50, query_rows=40).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    whole = {i: [max(-topk.CLIP, min(topk.CLIP, math.floor(64 * v))) for v in p] for i, p in rows if i is not None and p and all(v is not None and math.isfinite(v) for v in p)}
+    whole = {i: [math.floor(64 * v) for v in p] for i, p in rows if i is not None and p and all(v is not None and math.isfinite(v) for v in p)}
     for q, p in whole.items():
         if q % 2 == 0:
             best = sorted(((-sum(a * b for a, b in zip(p, o, strict=True)), i) for i, o in whole.items() if i != q and len(o) == len(p)))[:7]
@@ -278,16 +278,41 @@ def test_top_k(spark):
     assert topk.exact_top_k(table.limit(0), F.col("id") % 2 == 0).count() == 0
 
 
-def test_top_k_of_large_components(spark):
+@pytest.mark.parametrize(("size", "dim", "n"), [(4e6, 16, 40), (3e6, 2000, 60), (1e7, 20, 30)])
+def test_top_k_of_large_components(spark, size, dim, n):
     rng = np.random.default_rng(5)
-    rows = [(i, [float(v) for v in p]) for i, p in enumerate(rng.normal(0, 4e6, (40, 16)))]
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 2 == 0, 5).collect()}
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(rng.normal(0, size, (n, dim)))]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 2 == 0, 5, shard_rows=16).collect()}
     whole = [[math.floor(64 * v) for v in p] for _, p in rows]
-    for q in range(0, 40, 2):
-        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(40) if i != q)[:5]
+    for q in range(0, n, 2):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(n) if i != q)[:5]
         assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in best]
 
 
+def test_top_k_beyond_63_bits(spark):
+    def best(rows, k=2):
+        return [tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k).orderBy("rank").collect()]
+
+    assert best([(0, [1.0]), (1, [3e6]), (2, [2e6])]) == [(0, 1, 1, 12_288_000_000), (0, 2, 2, 8_192_000_000)]
+    # sums that pass 2 ** 63 on their way, and products whose last bits decide
+    big = 2.0**40
+    assert best([(0, [big, big, 1.0]), (1, [big, -big, 3.0]), (2, [big, -big, 5.0]), (3, [-big, -big, 9.0])]) == [(0, 1, 2, 64 * 64 * 5), (0, 2, 1, 64 * 64 * 3)]
+    with pytest.raises(Exception, match="fit a long"):
+        best([(0, [1e200]), (1, [1e200])])
+    assert best([(0, [1e200, 1.0]), (1, [0.0, 1.0]), (2, [-1e300, 0.0])], 1) == [(0, 1, 1, 4096)]
+
+
+@given(st.integers(0, 5), st.integers(1, 60), st.sampled_from([1.0, 1e5, 1e12, 1e160]))
+@settings(max_examples=40, deadline=None)
+def test_ball_tree_search_is_exact(seed, n, size):
+    rng = np.random.default_rng(seed)
+    points = np.floor(size * rng.normal(0, 1, (n, 3)))
+    tree_ = topk.BallTree.unpack(topk.BallTree(points, np.arange(n), leaf=4).pack())
+    for q, ids, scores in topk.search(tree_, points[:5], np.arange(min(5, n)), [None] * 5, 3):
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(points[q], p, strict=True)), i) for i, p in enumerate(points) if i != q)[:3]
+        assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)] == want
+
+
 # similarity
 
 
