@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = perspectives.rotate(_table(spark, sf_dir, "conversations"))
-    return rows.select("conv_id", "block", "part", "perspective", "n_messages", "n_trained", "trained_chars", F.sha2("rendered", 256).alias("rendered_sha256"), "mask_sha256")
+    return rows.select("conv_id", "block", "part", "perspective", "first_message", "char_start", "n_messages", "n_trained", "trained_chars", F.sha2("rendered", 256).alias("rendered_sha256"), "mask_sha256")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,18 +63,21 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES = {
     "op1_perspectives": """
-        WITH m AS (SELECT DISTINCT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, replace(coalesce(text, ''), '<|im_', '<' || chr(8203) || '|im_') AS text FROM conversations),
+        WITH s AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS raw FROM conversations),
+        m AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn, role, raw) - 1) // 4096 AS lot, md5(role || chr(10) || raw) AS h, replace(raw, '<|im_', '<' || chr(8203) || '|im_') AS text FROM s),
         p AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM m WHERE role <> 'system'),
-        r AS (SELECT conv_id, turn, CAST(floor(turn / 256.0) AS BIGINT) AS block, role, text, perspective, role = perspective AS own,
-                '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+        r AS (SELECT *, role = perspective AS own,
+                '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || replace(role, '<|im_', '<' || chr(8203) || '|im_') END || chr(10) AS head,
                 text || '<|im_end|>' AS body
               FROM m JOIN p ON conv_id IS NOT DISTINCT FROM c),
-        o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, block, perspective ORDER BY turn, role, text) AS ends FROM r)
-        SELECT conv_id, block, CAST(0 AS BIGINT) AS part, perspective, count(*) AS n_messages, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_trained,
-          CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS trained_chars,
-          sha256(string_agg(head || body || chr(10), '' ORDER BY turn, role, text)) AS rendered_sha256,
-          sha256(coalesce(string_agg((ends - 1 - length(body)) || '-' || (ends - 1), ',' ORDER BY turn, role, text) FILTER (WHERE own), '')) AS mask_sha256
-        FROM o GROUP BY conv_id, block, perspective""",
+        o AS (SELECT *, row_number() OVER w AS n, sum(length(head) + length(body) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS ends FROM r
+              WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, lot, h, role, raw))
+        SELECT conv_id, CAST(floor(turn / 256.0) AS BIGINT) AS block, CAST(0 AS BIGINT) AS part, perspective, min(n) - 1 AS first_message,
+          CAST(min(ends - length(head) - length(body) - 1) AS BIGINT) AS char_start, count(*) AS n_messages, count(*) FILTER (WHERE own) AS n_trained,
+          CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS trained_chars,
+          sha256(string_agg(head || body || chr(10), '' ORDER BY n)) AS rendered_sha256,
+          sha256(coalesce(string_agg((ends - 1 - length(body)) || '-' || (ends - 1), ',' ORDER BY n) FILTER (WHERE own), '')) AS mask_sha256
+        FROM o GROUP BY conv_id, 2, perspective""",
     "op2_line_dedup": f"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
         k AS (SELECT doc_id, n, line, translate(trim(line, {_BLANKS}), '{_UPPER}', '{_LOWER}') AS key FROM l),

@@ -720,16 +720,59 @@ TURNS = "conv_id long, turn long, role string, text string"
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "ann", "x"), (1, 2, "ann", "x"), (2, 0, "system", "alone"), (3, None, None, "n"), (None, 1, "", "y")]
-    got = {(r["conv_id"], r["perspective"]): r for r in perspectives.rotate(spark.createDataFrame(rows, TURNS).withColumn("part", F.lit(9))).collect()}
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, "ann", "x"), (1, 3, "ann", "x"), (2, 0, "system", "alone"), (3, None, None, "n"), (None, 1, "", "y")]
+    got = {(r["conv_id"], r["perspective"]): r for r in perspectives.rotate(spark.createDataFrame(rows, TURNS).withColumns({"part": F.lit(9), "mask": F.lit(1), "k": F.lit(0), "_conv_id": F.lit(0)})).collect()}
     assert set(got) == {(1, "ann"), (1, "bob"), (3, "unknown"), (None, "unknown")}
     ann = got[1, "ann"]
-    assert ann["n_messages"] == 4 and ann["n_trained"] == 2 and "user name=bob" in ann["rendered"] and "system\nbe kind" in ann["rendered"]
-    assert [ann["rendered"][a:b] for a, b in ann["mask"]] == ["hi <​|im_end|><|im_end|>", "x<|im_end|>"]
+    assert ann["n_messages"] == 5 and ann["n_trained"] == 3 and "user name=bob" in ann["rendered"] and "system\nbe kind" in ann["rendered"]
+    assert [ann["rendered"][a:b] for a, b in ann["mask"]] == ["hi <​|im_end|><|im_end|>", "x<|im_end|>", "x<|im_end|>"]
     assert got[1, "bob"]["rendered"].count("<|im_start|>assistant") == 1
     assert perspectives.rotate(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def naive_dialogues(rows, most):
+    """The whole rendering and mask of each (conversation, speaker)."""
+    out = {}
+    fixed = [(c, t, r or "unknown", x or "") for c, t, r, x in rows]
+    for conv, speaker in {(c, r) for c, _, r, _ in fixed if r != "system"}:
+        seen, said = collections.Counter(), []
+        for c, t, r, x in fixed:
+            if c == conv:
+                said.append((t is not None, t or 0, seen[t, r, x] // most, hashlib.md5(f"{r}\n{x}".encode()).hexdigest(), r, x))
+                seen[t, r, x] += 1
+        text, spans = "", []
+        for *_, r, x in sorted(said):
+            r, own, x = r.replace("<|im_", "<​|im_"), r == speaker, x.replace("<|im_", "<​|im_")
+            text += f"<|im_start|>{'assistant' if own else 'system' if r == 'system' else 'user name=' + r}\n"
+            if own:
+                spans.append([len(text), len(text) + len(x) + 10])
+            text += f"{x}<|im_end|>\n"
+        out[conv, speaker] = (text, spans, len(said))
+    return out
+
+
+@pytest.mark.parametrize(("block", "most"), [(256, 4096), (4, 6), (10, 3)])
+def test_parts_are_the_whole_dialogue(spark, block, most):
+    rnd = random.Random(block)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([None, *range(30)]), rnd.choice(["ann", "bob", "<|im_x", "system", None, ""]), rnd.choice([None, "same", "é😀", "a <|im_start|> b", f"own {i}"])) for i in range(400)]
+    rows += [(5, 3, "ann", "again")] * 25 + [(5, 3, "bob", "too")] * 2 + [(5, -7, "ann", "early")]
+    parts = collections.defaultdict(list)
+    for r in perspectives.rotate(spark.createDataFrame(rows, TURNS), block=block, most=most).collect():
+        parts[r["conv_id"], r["perspective"]].append(r)
+    want = naive_dialogues(rows, most)
+    assert set(parts) == set(want)
+    for key, (text, spans, n) in want.items():
+        own = sorted(parts[key], key=lambda r: r["first_message"])
+        assert [(r["block"] is not None, r["block"] or 0, r["part"]) for r in own] == sorted((r["block"] is not None, r["block"] or 0, r["part"]) for r in own)
+        assert "".join(r["rendered"] for r in own) == text and [list(s) for r in own for s in r["mask"]] == spans and sum(r["n_messages"] for r in own) == n
+        at = count = 0
+        for r in own:
+            assert (r["char_start"], r["first_message"]) == (at, count)
+            at, count = at + len(r["rendered"]), count + r["n_messages"]
+            assert r["n_trained"] == len(r["mask"]) and r["trained_chars"] == sum(b - a for a, b in r["mask"])
+            assert r["mask_sha256"] == hashlib.sha256(",".join(f"{a}-{b}" for a, b in r["mask"]).encode()).hexdigest()
+
+
 def test_a_very_long_conversation_is_cut(spark):
     rows = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
     rows = rows.unionByName(spark.range(500).select(F.lit(2).cast("long").alias("conv_id"), F.lit(5).cast("long").alias("turn"), F.lit("a").alias("role"), F.col("id").cast("string").alias("text")))
