@@ -6,12 +6,13 @@
    of their prefixes. Similar sets differ in size by a factor of t at most: classes meet within bands of sizes, and
    those near a border are replicated to the next band. The smallest class at a meeting point is its pivot. So the
    regions are those of the pivots in a band, and a class lies in the regions of all pivots that it meets.
-3. Only outlines go to the regions: shingles counted by hash place, whose
-   L1 distance never exceeds the size of the sets' difference. Chains of outlines in reach form the groups that go on.
-4. Each group's texts are joined exactly. A large group is split again: pivots near its centre divide it into Voronoi cells by
-   distance d, a set x is replicated to the cell of p when d(x, p) <= d(x, its own pivot) + 2 (1 - t), and cells are
-   joined recursively. Sets within 1 - t of a pivot are linked to it at once. In a leaf, sets are compared with all others until
-   those left are in one component, so a group of copies gives about as many comparisons and links as it has members.
+3. Only outlines go to the regions: shingles counted by hash place, whose L1 distance is a metric and never exceeds the size of the sets'
+   difference. Within a region a set is compared with those whose distances to its pivots fall in the window that the triangle inequality leaves.
+   Chains of outlines in reach form the groups that go on.
+4. Each group's texts are joined exactly. Pivots divide it into Voronoi cells by the distance d = 1 - similarity. A set x is replicated to the cell of p
+   when d(x, p) <= d(x, its own pivot) + 1 - t; sets that are far from all pivots are one more cell. Cells are joined recursively, without the
+   pivots, which have been compared with all. Sets within 1 - t of a pivot are linked to it at once, and a cell whose sets
+   are in one component is done, so a group of copies gives about as many comparisons and links as it has members.
    A region or group with more shingles than one task should hold is cut into blocks, and each pair of blocks is a task.
 5. The links' connected components, and the classes, give the result. No pairs within a class or region are listed.
 
@@ -43,9 +44,10 @@ from ._common import U64, hash_words, mix64, shuffle_parts, slices, write_table
 
 #: Hash buckets in which shingles are counted to tell common from rare ones, and buckets in a row of counts.
 BUCKETS, ROW = 1 << 21, 1 << 12
-#: Shingles of a region that one task holds, and sets above which it is split into cells.
-HELD, CELL = 4_000_000, 512
-PIVOTS = 8
+#: Shingles of a region that one task holds; a set counts as SMALL of them at least.
+HELD, SMALL = 4_000_000, 64
+#: Pivots that are taken at a time, and how many times its sets the cells of a region may hold.
+PIVOTS, SPREAD = 8, 1.5
 
 
 class Shingler:
@@ -145,41 +147,41 @@ class Region:
         self.link(i, members[inter * self.t.denominator >= union * self.t.numerator])
         return 1 - inter / union
 
-    def join(self, members: np.ndarray | None = None, depth: int = 0) -> list[tuple[int, int]]:
-        members = np.arange(len(self.size)) if members is None else members
-        if len(members) > CELL and depth < 12:
-            cells = self.cells(members)
-            if max(map(len, cells)) <= 0.7 * len(members):
-                for cell in cells:
-                    self.join(cell, depth + 1)
-                return self.links
-        self.leaf(members)
+    def join(self) -> list[tuple[int, int]]:
+        """Voronoi cells of pivots, joined recursively until what is left of a cell lies in one component."""
+        waiting, reach = [np.arange(len(self.size))], 1 - float(self.t) + 1e-9
+        while waiting:
+            members = waiting.pop()  # two or more
+            pivots, far, gaps = [], np.full(len(members), np.inf), []
+            while len(pivots) < min(PIVOTS, math.isqrt(len(members) - 1) + 1) and (free := self.unsettled(members, pivots)).any():
+                # the most central set first, then the farthest from all pivots; sets of the largest component are settled among themselves
+                p = int(members[np.where(free, self.load[members] if not pivots else far, -1).argmax()])
+                pivots.append(p)
+                gaps.append(self.compare(p, members))
+                far = np.minimum(far, gaps[-1])
+            rest = ~np.isin(members, pivots)
+            if self.unsettled(members, pivots).any():
+                cells = self.cells(members, far, gaps, rest, reach)
+                # windows that divide nothing: all go on together, without the pivots
+                waiting += cells if sum(map(len, cells)) <= SPREAD * rest.sum() else [members[rest]] * int(rest.sum() > 1)
         return self.links
 
-    def cells(self, members: np.ndarray) -> list[np.ndarray]:
-        """Voronoi cells of pivots, each with the sets near enough to its border."""
-        central = members[np.argsort(-self.load[members], kind="stable")]
-        pivots, far, gaps = [], np.full(len(members), np.inf), []
-        for _ in range(PIVOTS):
-            p = int(central[0]) if not pivots else int(members[int(far.argmax())])
-            pivots.append(p)
-            gaps.append(self.compare(p, members))
-            far = np.minimum(far, gaps[-1])
-        window = far + 2 * (1 - float(self.t)) + 1e-9
-        return [c for g in gaps if len(c := members[g <= window]) > 1] or [members]
-
-    def leaf(self, members: np.ndarray) -> None:
-        left = members[np.argsort(-self.load[members], kind="stable")]
-        while len(left) > 1:
-            labels, counts = np.unique(self.label[left], return_counts=True)
-            if len(labels) == 1:
-                return
-            main = labels[counts.argmax()]
-            # the most central set first, then whatever is not in the largest component
-            odd = 0 if len(left) == len(members) else int(np.flatnonzero(self.label[left] != main)[0])
-            i = int(left[odd])
-            left = np.delete(left, odd)
-            self.compare(i, left)
+    def unsettled(self, members: np.ndarray, pivots: list[int]) -> np.ndarray:
+        """Which members aren't pivots and not in the members' largest component. Before the first pivot, all."""
+        labels, at, counts = np.unique(self.label[members], return_inverse=True, return_counts=True)
+        if len(labels) == 1:
+            return np.zeros(len(members), dtype=bool)
+        return ~np.isin(members, pivots) & ((at != counts.argmax()) if pivots else True)
+
+    @staticmethod
+    def cells(members: np.ndarray, far: np.ndarray, gaps: list[np.ndarray], rest: np.ndarray, reach: float) -> list[np.ndarray]:
+        """The cell of each pivot with the sets near its border, and the sets that are far from all pivots.
+
+        Let x be the one of two similar sets that is nearer to its pivot p. The other is no farther from p than x and 1 - t,
+        so than its own nearest pivot and 1 - t. Where x is farther than t from all pivots, so is the other.
+        """
+        found = [members[rest & (g < 1) & (g <= far + reach)] for g in gaps] + [members[rest & (far >= 1 - reach)]]
+        return [c for c in found if len(c) > 1]
 
 
 def region_links(sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
@@ -212,16 +214,52 @@ def bands(n: int, t: Fraction, step: float) -> list[tuple[int, int]]:
     return [(own, 1)] + ([(own + 1, 0)] if near else [])
 
 
-def in_reach(sizes: np.ndarray, outlines: np.ndarray, t: Fraction) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set the later ones that may be similar, by the sizes and the outlines: no similar set is left out."""
-    order = np.argsort(sizes, kind="stable")
-    n, flat = sizes[order], outlines[order].astype(np.int16)
-    last = np.searchsorted(n * t.numerator, n * t.denominator, side="right")  # n[j] * t <= n[i]
-    for i in range(len(n)):
-        if last[i] > i + 1:
-            gap = np.abs(flat[i + 1 : last[i]] - flat[i]).sum(axis=1, dtype=np.int64)
-            ok = gap * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (n[i + 1 : last[i]] + n[i])
-            yield int(order[i]), order[i + 1 : last[i]][ok]
+class Outlines:
+    """Chains of sets that may be similar, by their sizes and outlines: no similar pair is in two chains.
+
+    The outlines' L1 distance obeys the triangle inequality and is never above the size of the sets' difference. A set is compared with
+    those in its window only: whose distance to each pivot differs from its own by no more than similar sets can differ. Sets of the
+    largest chain aren't compared with each other.
+    """
+
+    def __init__(self, sizes: np.ndarray, outlines: np.ndarray, t: Fraction):
+        self.sizes, self.flat = sizes, outlines.astype(np.int16)
+        self.less, self.more = t.denominator - t.numerator, t.denominator + t.numerator
+        self.label, self.main = np.arange(len(sizes)), -1
+
+    def allowed(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How much the outlines of similar sets of these sizes can differ."""
+        return self.less * (self.sizes[others] + self.sizes[i]) // self.more
+
+    def compare(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Chain set i with those of the others that are in reach, and return the distances."""
+        gap = np.abs(self.flat[others] - self.flat[i]).sum(axis=1, dtype=np.int64)
+        old = np.unique(self.label[np.append(others[gap <= self.allowed(i, others)], i)])
+        if len(old) > 1:
+            self.label[np.isin(self.label, old)] = self.main if self.main in old else self.label[i]
+        return gap
+
+    def chains(self) -> np.ndarray:
+        every, n = np.arange(len(self.sizes)), len(self.sizes)
+        done, pivots = np.zeros(n, dtype=bool), []
+        p = int(np.abs(self.flat - np.median(self.flat, axis=0)).sum(axis=1).argmin())  # the most central set
+        while True:
+            pivots.append(self.compare(p, every))
+            done[p] = True
+            if len(pivots) == PIVOTS or n <= 4 * PIVOTS:
+                break
+            p = int(np.where(done, -1, np.min(pivots, axis=0)).argmax())
+        gaps = np.array(pivots)
+        order = np.argsort(gaps[0], kind="stable")
+        first = gaps[0][order]
+        widest = int(2 * self.less * self.sizes.max() // self.more)
+        labels, counts = np.unique(self.label, return_counts=True)
+        self.main = int(labels[counts.argmax()])
+        for i in np.flatnonzero(~done).tolist():
+            if self.label[i] != self.main:
+                window = order[np.searchsorted(first, gaps[0][i] - widest) : np.searchsorted(first, gaps[0][i] + widest, side="right")]
+                self.compare(i, window[(np.abs(gaps[:, window] - gaps[:, i : i + 1]) <= self.allowed(i, window)).all(axis=0)])
+        return self.label
 
 
 _FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
@@ -309,11 +347,7 @@ def _candidates(t: Fraction):
             if len(rows) < 2:
                 continue
             nodes, sizes = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64)
-            label = np.arange(len(rows))
-            for i, others in in_reach(sizes, np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1), t):
-                if len(others) and (label[others] != label[i]).any():
-                    joined = np.unique(label[others])
-                    label[np.isin(label, joined)] = label[i]
+            label = Outlines(sizes, np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1), t).chains()
             for x in np.flatnonzero(np.bincount(label) > 1):
                 own = np.flatnonzero(label == x)
                 key = xxhash.xxh3_64_intdigest(np.sort(np.array([nodes[i] for i in own], dtype=np.int64)).tobytes()) - (1 << 63)
@@ -351,7 +385,7 @@ def _joined(n: int, seed: int, t: Fraction):
 
 def _cut(rows: DataFrame, keys: list[str], held: int) -> DataFrame:
     """rows (keys, node, n, ...) with i and j: where a group's n sum to more than one task holds, pairs of blocks of it."""
-    total = rows.groupBy(*keys).agg(F.count("*").alias("__k"), F.sum("n").alias("__load")).where("__k > 1")
+    total = rows.groupBy(*keys).agg(F.count("*").alias("__k"), F.sum(F.greatest("n", F.lit(SMALL))).alias("__load")).where("__k > 1")
     blocks = F.when(F.col("__load") > held, F.ceil(2 * F.col("__load") / F.lit(held))).otherwise(F.lit(1)).cast("int")
     total = total.select(*(F.col(k).alias(f"__{k}") for k in keys), blocks.alias("__blocks"))
     cond = F.lit(True)

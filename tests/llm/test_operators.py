@@ -364,7 +364,8 @@ def test_jaccard_of_repeated_and_null_ids(spark):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_cells_lose_no_link(seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "CELL", 12)
+    divided, cells = [], jaccard.Region.cells
+    monkeypatch.setattr(jaccard.Region, "cells", staticmethod(lambda *a: divided.append(cells(*a)) or divided[-1]))
     rnd, t = random.Random(seed), Fraction(8, 10)
     sets = [np.unique(np.array([rnd.randrange(60 * (1 + i % 5), 60 * (2 + i % 5)) for _ in range(40)], dtype=np.uint64)) for i in range(150)]
     sets += [np.unique(np.r_[s[: len(s) - 1], np.uint64(9000 + i)]) for i, s in enumerate(sets[:60])]
@@ -383,6 +384,53 @@ def test_cells_lose_no_link(seed, monkeypatch):
             assert find(a) == find(b)
 
 
+def test_cells_run_on_groups_of_any_size(monkeypatch):
+    calls, cells = [], jaccard.Region.cells
+    monkeypatch.setattr(jaccard.Region, "cells", staticmethod(lambda *a: calls.append(len(a[0])) or cells(*a)))
+    rng = np.random.default_rng(1)
+    for n in (12, 40, 200):
+        families = [rng.integers(0, 1 << 40, 60).astype(np.uint64) for _ in range(max(1, n // 5))]
+        sets = [np.unique(np.r_[families[i % len(families)][rng.random(60) < 0.8], rng.integers(0, 1 << 40, 3).astype(np.uint64)]) for i in range(n)]
+        calls.clear()
+        jaccard.region_links(sets, Fraction(9, 10))
+        assert calls
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_lose_no_pair_in_reach(seed):
+    rnd, t = random.Random(seed), Fraction(rnd_t := [9, 8, 6][seed % 3], 10)
+    base = [[rnd.randrange(1 << 30) for _ in range(rnd.choice([20, 60]))] for _ in range(5)]
+    sets = []
+    for _ in range(120):
+        s = list(rnd.choice(base))
+        for _ in range(rnd.randrange(12)):
+            s[rnd.randrange(len(s))] = rnd.randrange(1 << 30)
+        sets.append(np.unique(np.array(s, dtype=np.uint64)))
+    outlines = np.stack([jaccard.outline(s, 16) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    label = jaccard.Outlines(sizes, outlines, t).chains()
+    assert len(set(label.tolist())) > 1
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        gap = int(np.abs(outlines[a].astype(int) - outlines[b]).sum())
+        if gap * (10 + rnd_t) <= (10 - rnd_t) * int(sizes[a] + sizes[b]):
+            assert label[a] == label[b]
+        if jaccard.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), t):
+            assert label[a] == label[b]
+
+
+def test_a_region_of_very_many_near_copies_ends():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 40, 58).astype(np.uint64)
+    sets = []
+    for _ in range(20_000):  # three shingles of each are its own
+        s = base.copy()
+        s[rng.integers(0, 58)] = rng.integers(0, 1 << 40)
+        sets.append(np.unique(s))
+    outlines = np.stack([jaccard.outline(s, 16) for s in sets])
+    assert len(set(jaccard.Outlines(np.array([len(s) for s in sets]), outlines, Fraction(9, 10)).chains().tolist())) == 1
+    assert len(jaccard.region_links(sets, Fraction(9, 10))) == len(sets) - 1
+
+
 # language model
 
 
