@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +88,6 @@ def iou_pairs(boxes: DataFrame, at_least: float = 0.0) -> DataFrame:
     return pairs.select("photo", "a", "b", iou(F.col("ba"), F.col("bb")).alias("iou")).where(F.col("iou") > at_least)
 
 
-def batches_of(frames: Iterator[pd.DataFrame], fn) -> Iterator[pd.DataFrame]:
-    """Apply fn to each batch; the place where an engine that computes features plugs in."""
-    for pdf in frames:
-        yield fn(pdf)
+def detection_rank(source: Column, score: Column) -> Column:
+    """The order in which overlapping detections win: the finer source (its long edge in pixels) first, then the score."""
+    return source * 1000 + score * 100

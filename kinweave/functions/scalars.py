@@ -91,6 +91,27 @@ def frontality(eyes_and_nose: Column) -> Column:
     return F.when(apart > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.8 * yaw - 0.4 * roll))).otherwise(F.lit(0.5))
 
 
+def sharpness(values: Column, width: Column) -> Column:
+    """The standard deviation of the 4-neighbour Laplacian over the rows of a grey image; at the border, a pixel's missing neighbour is the pixel itself.
+
+    Null for fewer than two pixels or a width that doesn't divide them.
+    """
+    n = F.size(values)
+
+    def pixel(i: Column, step: Column, inside: Column) -> Column:
+        return F.element_at(values, (F.when(inside, i + step).otherwise(i) + 1).cast("int")).cast("double")
+
+    def response(i: Column) -> Column:
+        col = F.pmod(i, width)
+        around = pixel(i, -width, i >= width) + pixel(i, width, i + width < n) + pixel(i, F.lit(-1), col > 0) + pixel(i, F.lit(1), col + 1 < width)
+        return around - 4 * pixel(i, F.lit(0), F.lit(True))
+
+    found = F.transform(F.sequence(F.lit(0), n - 1), response)
+    mean = F.aggregate(found, F.lit(0.0), lambda s, x: s + x) / n
+    spread = F.aggregate(found, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+    return F.when((n >= 2) & (width > 0) & (n % width == 0), F.sqrt(spread / (n - 1)))
+
+
 def colour(r: Column, g: Column, b: Column) -> Column:
     return F.when(r.isNull() | g.isNull() | b.isNull(), F.lit("#e5dcd1")).otherwise(F.format_string("#%02x%02x%02x", r, g, b))
 

@@ -26,6 +26,12 @@ def failing(name: str, df: DataFrame, good: Column) -> DataFrame:
     return check(name, df.where(~F.coalesce(good, F.lit(False))))
 
 
+def storage_use(files: DataFrame, photos: int, projected: int = 2000) -> DataFrame:
+    """files, bytes and projected_bytes: what `projected` photos would take at the mean of these `photos`. files: bytes."""
+    sums = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return sums.withColumn("projected_bytes", F.when(F.lit(photos > 0), F.col("bytes") / F.lit(max(photos, 1)) * projected))
+
+
 def gallery_checks(photos: DataFrame, people: DataFrame, photo_faces: DataFrame, most_bytes: int = 1024 << 20, sizes: DataFrame | None = None) -> DataFrame:
     """All checks of the published tables: photos (id, w, h, c), people (id, photoCount, photos), photo_faces (photo_id, faces)."""
     listed = people.select(F.col("id").alias("person"), F.explode("photos").alias("photo"))

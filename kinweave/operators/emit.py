@@ -38,14 +38,28 @@ def describe_pairs(pairs: DataFrame, people: DataFrame) -> DataFrame:
     return pairs
 
 
-def report(pairs: DataFrame, merges: DataFrame, impure: DataFrame, people: DataFrame) -> dict[str, DataFrame]:
-    """The parts of the review report, each cut to its length: 300 pairs, 200 candidates, 200 mixed clusters, 12 sample photos."""
-    return {
-        "possibleDuplicateIdentities": describe_pairs(pairs, people).orderBy("d", "a", "b").limit(300),
-        "mergeCandidates": merges.orderBy("average", "a", "b").limit(200),
-        "impureClusters": impure.orderBy(F.desc("d"), "id").limit(200),
-        "people": people.withColumn("samples", F.slice("photos", 1, 12)),
-    }
+def resolved_pairs(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """pairs (face_a, face_b, ...) with the persons a and b of their faces (owners: face_id, person_id); pairs of unknown faces or of one person are left out."""
+    for side in "ab":
+        pairs = pairs.join(owners.select(F.col("face_id").alias(f"face_{side}"), F.col("person_id").alias(side)), f"face_{side}")
+    return pairs.where("a <> b")
+
+
+def review_pairs(pairs: DataFrame, owners: DataFrame, people: DataFrame, most: int, by: str = "d") -> DataFrame:
+    """The report's first pairs by distance, with persons and names: 300 of identities, 200 of clusters."""
+    return describe_pairs(resolved_pairs(pairs, owners), people).orderBy(by, "a", "b", "face_a", "face_b").limit(most)
+
+
+def review_impure(impure: DataFrame, most: int = 200) -> DataFrame:
+    """The report's first mixed identities, the farthest pair first."""
+    return impure.orderBy(F.desc("d"), "id").limit(most)
+
+
+def person_report(bridge: DataFrame, people: DataFrame, samples: int = 12) -> DataFrame:
+    """id, name, photo_count, face_count and the first photos by face. bridge: person_id, photo_id, face_idx, one row a face."""
+    first = bridge.groupBy("person_id", "photo_id").agg(F.min("face_idx").alias("at"), F.count("*").alias("n"))
+    counts = first.groupBy("person_id").agg(F.count("*").alias("photo_count"), F.sum("n").alias("face_count"), F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "photo_id"))), lambda s: s["photo_id"]), 1, samples).alias("samples"))
+    return people.join(counts, F.col("id") == F.col("person_id")).select("id", display_name(F.col("name"), F.col("ordinal")).alias("name"), "photo_count", "face_count", "samples")
 
 
 def json_lines(df: DataFrame) -> DataFrame:

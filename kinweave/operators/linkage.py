@@ -14,24 +14,17 @@ from .components import label_all
 from .simjoin import similarity_join
 
 
-def average_linkage(vectors: np.ndarray, photos: list[set], micro: bool, cfg: EngineConfig = DEFAULT) -> list[list[int]]:
-    """Member positions of each cluster; positions are in face order.
+def average_linkage(vectors: np.ndarray, photos: list[set], start: np.ndarray | None = None, cfg: EngineConfig = DEFAULT) -> list[list[int]]:
+    """Member positions of each cluster; positions are in face order. start: a label per face, equal for faces that begin in one cluster.
 
     The closest pair of clusters by average distance is merged as long as it lies within the limit, which is
     lower for clusters that share a photo. Ties go to the lowest positions.
     """
     n = len(vectors)
     gaps = np.sqrt(np.maximum(((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(2), 0)) if n <= 400 else np.stack([np.sqrt(((vectors - v) ** 2).sum(1)) for v in vectors])
-    start = np.arange(n)
-    if micro:
-        for i in range(n):  # single linkage
-            for j in np.flatnonzero(gaps[i, i + 1 :] < cfg.micro) + i + 1:
-                if start[i] != start[j]:
-                    lo, hi = sorted((start[i], start[j]))
-                    start[start == hi] = lo
-    heads = np.unique(start)
-    members = [list(np.flatnonzero(start == h)) for h in heads]
-    m = len(heads)
+    _, heads, of = np.unique(np.arange(n) if start is None else start, return_index=True, return_inverse=True)
+    members = [np.flatnonzero(of == k).tolist() for k in np.argsort(heads)]
+    m = len(members)
     onto = np.zeros((m, n))
     for k, own in enumerate(members):
         onto[k, own] = 1
@@ -61,17 +54,30 @@ def average_linkage(vectors: np.ndarray, photos: list[set], micro: bool, cfg: En
     return [sorted(members[i]) for i in np.flatnonzero(alive)]
 
 
+def micro_pairs(faces: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """a, b, d: pairs of faces nearer than the micro bound."""
+    vectors = faces.select(F.col("face_idx").alias("idx"), F.col("descriptor").alias("v"))
+    return similarity_join(vectors, cfg.micro).where(F.col("d") < cfg.micro)
+
+
+def micro_clusters(faces: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """face_idx, start: single linkage below the micro bound, whoever is in the same photo."""
+    every = faces.select(F.col("face_idx").cast("long").alias("face_idx"))
+    return label_all(every, micro_pairs(faces, cfg), "face_idx").select(F.col("node").alias("face_idx"), F.col("root").alias("start"))
+
+
 def cluster_faces(faces: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """face_idx, cluster_id: the cluster's smallest face index. faces: face_idx, photo_id, descriptor.
 
     A merge needs a raw pair within the larger limit, so clusters never leave a connected component of that
-    graph; each component is clustered by itself, with the same result as all at once. Whether the micro
-    step runs depends on the number of all faces.
+    graph; each component is clustered by itself, with the same result as all at once. Of more faces than
+    exact_max_faces, those that micro_clusters joins begin together.
     """
-    micro = faces.count() > cfg.exact_max_faces
+    total = faces.count()
     cut = max(cfg.similarity, cfg.same_photo, cfg.micro)
     pairs = similarity_join(faces.select(F.col("face_idx").alias("idx"), F.col("descriptor").alias("v")), cut)
     roots = label_all(faces.select(F.col("face_idx").cast("long").alias("face_idx")), pairs, "face_idx")
+    begun = micro_clusters(faces, cfg) if total > cfg.exact_max_faces else roots.select(F.col("node").alias("face_idx"), F.col("node").alias("start"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -81,13 +87,13 @@ def cluster_faces(faces: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
             if len(own) == 1:
                 out.append((int(idx[0]), int(idx[0])))
                 continue
-            found = average_linkage(np.array(own["descriptor"].tolist(), dtype=float), [{p} for p in own["photo_id"]], micro, cfg)
+            found = average_linkage(np.array(own["descriptor"].tolist(), dtype=float), [{p} for p in own["photo_id"]], own["start"].to_numpy(), cfg)
             out += [(int(idx[i]), int(idx[min(c)])) for c in found for i in c]
         return pd.DataFrame(out, columns=["face_idx", "cluster_id"])
 
-    rows = faces.select(F.col("face_idx").cast("long").alias("face_idx"), "photo_id", "descriptor").join(roots.withColumnRenamed("node", "face_idx"), "face_idx")
+    rows = faces.select(F.col("face_idx").cast("long").alias("face_idx"), "photo_id", "descriptor").join(roots.withColumnRenamed("node", "face_idx"), "face_idx").join(begun, "face_idx")
     # small components share a task, about a thousand faces each
-    lots = max(1, -(-faces.count() // 1024))
+    lots = max(1, -(-total // 1024))
     return rows.withColumn("lot", F.pmod(F.xxhash64("root"), F.lit(lots))).groupBy("lot").applyInPandas(run, "face_idx long, cluster_id long")
 
 

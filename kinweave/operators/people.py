@@ -78,6 +78,20 @@ def person_photos(people: DataFrame, photos: DataFrame, person: str | None = Non
     return listed.join(photos, "photo_id")
 
 
+def clusters_sharing_photos(rows: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """a, b: pairs of clusters that are in one photo at least. A photo has a bounded number of faces."""
+    own = rows.select("photo_id", key).distinct()
+    return own.withColumnRenamed(key, "a").join(own.withColumnRenamed(key, "b"), "photo_id").where("a < b").select("a", "b").distinct()
+
+
+def photo_sets(rows: DataFrame, key: str = "cluster_id", merged: DataFrame | None = None) -> DataFrame:
+    """key, n_faces, photos (sorted, each once). merged: (key, into) puts clusters together first."""
+    if merged is not None:
+        rows = rows.join(merged.select(key, "into"), key, "left").withColumn(key, F.coalesce("into", key)).drop("into")
+    photos = rows.groupBy(key, "photo_id").agg(F.count("*").alias("n"))
+    return photos.groupBy(key).agg(F.sum("n").alias("n_faces"), F.sort_array(F.collect_list("photo_id")).alias("photos"))
+
+
 def photo_people(bridge: DataFrame) -> DataFrame:
     """photo_id, people: each photo's people, once each, in the order of their first face. bridge: photo_id, person_id, face_idx."""
     first = bridge.groupBy("photo_id", "person_id").agg(F.min("face_idx").alias("at"))

@@ -35,6 +35,16 @@ def decision_summary(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("total"), *(F.count_if(F.col("decision") == d).alias(n) for d, n in (("same", "same"), ("different", "different"), ("skip", "skipped"))), F.count_if(F.col("decision").isNull()).alias("undecided"))
 
 
+def pair_cards(pairs: DataFrame, decisions: DataFrame, people: DataFrame) -> DataFrame:
+    """pairs (a, b, pair_key) with the decision, or undecided, and each side's name and photos; ids that aren't known are guests without photos."""
+    out = pairs.join(decisions.select("pair_key", "decision"), "pair_key", "left").withColumn("decision", F.coalesce("decision", F.lit("undecided")))
+    for side in "ab":
+        card = people.select(F.col("id").alias(f"__{side}"), F.col("name").alias(f"name_{side}"), F.col("photo_count").alias(f"photos_{side}"))
+        out = out.join(card, F.col(side) == F.col(f"__{side}"), "left").drop(f"__{side}")
+        out = out.withColumns({f"name_{side}": F.coalesce(f"name_{side}", F.concat(F.lit("Guest ("), F.col(side), F.lit(")"))), f"photos_{side}": F.coalesce(f"photos_{side}", F.lit(0).cast("long"))})
+    return out
+
+
 def merge_groups(existing: DataFrame, same: DataFrame, photo_counts: DataFrame) -> DataFrame:
     """canonical, members: groups of two or more ids that old groups and `same` pairs join.
 

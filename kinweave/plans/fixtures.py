@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import detection_rank
+
 TIGHT, LOOSE = 0.15, 0.32
 
 
@@ -41,7 +43,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = 20 + F.col("l_quantity")
     score = F.lit(1.0) - F.col("l_discount")
     source = F.when(F.col("l_linenumber") > 1, F.lit(1400)).otherwise(F.lit(1600))
-    return rows.select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("position"), (F.col("l_partkey") % 1000).cast("double").alias("x"), (F.col("l_suppkey") % 100).cast("double").alias("y"), side.cast("double").alias("w"), side.cast("double").alias("h"), score.alias("score"), (source * 1000 + score * 100).cast("double").alias("rank"))
+    return rows.select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("position"), (F.col("l_partkey") % 1000).cast("double").alias("x"), (F.col("l_suppkey") % 100).cast("double").alias("y"), side.cast("double").alias("w"), side.cast("double").alias("h"), score.alias("score"), detection_rank(source, score).cast("double").alias("rank"))
 
 
 def faces_sql(share: float = TIGHT) -> str:
@@ -61,3 +63,33 @@ def faces_sql(share: float = TIGHT) -> str:
 BOXES_SQL = """
         boxes AS (SELECT l_orderkey AS photo, l_linenumber AS position, (l_partkey % 1000)::DOUBLE AS x, (l_suppkey % 100)::DOUBLE AS y, (20 + l_quantity)::DOUBLE AS w, (20 + l_quantity)::DOUBLE AS h,
                   1.0::DOUBLE - l_discount AS score FROM lineitem)"""
+
+
+#: Clusters of two faces around a supplier's place on a line, by the supplier's number modulo 7: the kind, number of the face, first face of its cluster, x, y, z, photo, first face of the identity that it is to end in.
+FAMILIES = (
+    # close centroids and a close pair
+    (0, 0, 0, 0.0, 0.0, 0.0, "a", 0), (0, 1, 0, 0.02, 0.0, 0.0, "b", 0), (0, 2, 2, 0.3, 0.0, 0.0, "c", 0), (0, 3, 2, 0.32, 0.0, 0.0, "d", 0),
+    # close centroids, no close pair
+    (1, 0, 0, 0.0, 0.4, 0.0, "a", 0), (1, 1, 0, 0.0, -0.4, 0.0, "b", 0), (1, 2, 2, 0.3, 0.0, 0.4, "c", 2), (1, 3, 2, 0.3, 0.0, -0.4, "d", 2),
+    # centroids in the review band, two strong pairs of photos
+    (2, 0, 0, 0.0, 0.0, 0.0, "a", 0), (2, 1, 0, 0.1, 0.0, 0.0, "b", 0), (2, 2, 2, 0.44, 0.0, 0.0, "c", 0), (2, 3, 2, 0.48, 0.0, 0.0, "d", 0),
+    # the same, but one strong pair of photos
+    (3, 0, 0, 0.0, 0.0, 0.0, "a", 0), (3, 1, 0, 0.1, 0.0, 0.0, "b", 0), (3, 2, 2, 0.44, 0.0, 0.0, "c", 2), (3, 3, 2, 0.48, 0.0, 0.0, "c", 2),
+    # as the first, under a veto
+    (4, 0, 0, 0.0, 0.0, 0.0, "a", 0), (4, 1, 0, 0.02, 0.0, 0.0, "b", 0), (4, 2, 2, 0.3, 0.0, 0.0, "c", 2), (4, 3, 2, 0.32, 0.0, 0.0, "d", 2),
+    # the closer pair merges first and moves out of the third's reach
+    (5, 0, 0, 0.0, 0.0, 0.0, "a", 0), (5, 1, 0, 0.02, 0.0, 0.0, "b", 0), (5, 2, 2, 0.33, 0.0, 0.0, "c", 2), (5, 3, 2, 0.35, 0.0, 0.0, "d", 2), (5, 4, 4, 0.61, 0.0, 0.0, "e", 2), (5, 5, 4, 0.63, 0.0, 0.0, "f", 2),
+    # the closer pair merges first and moves into the third's reach
+    (6, 0, 0, 0.0, 0.0, 0.0, "a", 0), (6, 1, 0, 0.02, 0.0, 0.0, "b", 0), (6, 2, 2, 0.45, 0.0, 0.0, "c", 0), (6, 3, 2, 0.47, 0.0, 0.0, "d", 0), (6, 4, 4, 0.24, 0.0, 0.0, "e", 0), (6, 5, 4, 0.26, 0.0, 0.0, "f", 0),
+)
+
+
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """face_idx, face_id, photo_id, descriptor, cluster_id: the clusters of FAMILIES, once for each supplier."""
+    spec = spark.createDataFrame(FAMILIES, "kind int, n int, first int, x double, y double, z double, photo string, ends int")
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+    rows = own.join(F.broadcast(spec), F.pmod("s", F.lit(7)) == F.col("kind"))
+    return rows.select(
+        (F.col("s") * 10 + F.col("n")).alias("face_idx"), F.concat(F.lit("f"), (F.col("s") * 10 + F.col("n")).cast("string")).alias("face_id"), F.concat_ws("-", F.lit("t"), F.col("s").cast("string"), "photo").alias("photo_id"),
+        F.array(F.col("s") * 100 + F.col("x"), "y", "z").alias("descriptor"), (F.col("s") * 10 + F.col("first")).alias("cluster_id"),
+    )

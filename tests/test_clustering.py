@@ -32,7 +32,7 @@ def test_linkage_is_the_naive_one(seed):
     rng = np.random.default_rng(seed)
     x = rng.normal(0, 0.35, (24, 3))
     photos = [f"t-{rng.integers(9)}" for _ in x]
-    got = {frozenset(map(int, c)) for c in linkage.average_linkage(x, [{p} for p in photos], False)}
+    got = {frozenset(map(int, c)) for c in linkage.average_linkage(x, [{p} for p in photos])}
     assert got == naive_linkage(x, photos, DEFAULT)
 
 
@@ -49,10 +49,12 @@ def test_clusters_by_component_are_the_global_ones(spark, seed):
     assert all(min(c) == k for k, c in got.items())
 
 
-def test_micro_step_joins_below_its_cut():
-    x = np.array([[0.0], [0.39], [0.78], [1.17]])
-    assert len(linkage.average_linkage(x, [{"a"}, {"b"}, {"c"}, {"d"}], True)) == 1
-    assert len(linkage.average_linkage(x, [{"a"}, {"b"}, {"c"}, {"d"}], False)) > 1
+def test_micro_step_joins_below_its_cut(spark):
+    rows = spark.createDataFrame([(i, f"t-{i}", [x]) for i, x in enumerate((0.0, 0.39, 0.78, 1.17, 9.0, 9.4))], "face_idx int, photo_id string, descriptor array<double>")
+    got = {r["face_idx"]: r["cluster_id"] for r in linkage.cluster_faces(rows, EngineConfig(exact_max_faces=2)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4}  # the last two by their average, below the other limit
+    assert len({r["cluster_id"] for r in linkage.cluster_faces(rows).collect()}) > 2
+    assert {r["start"] for r in linkage.micro_clusters(rows).collect()} == {0, 4, 5}
 
 
 def naive_consolidate(x, group, clusters, cfg):
