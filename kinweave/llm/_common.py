@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import fresh_path, storage_root, write_table
 
-__all__ = ["BLANKS", "LOWER_CODE", "U64", "digest128", "fresh_path", "hash_words", "mix64", "shuffle_parts", "slices", "storage_root", "word_hash", "word_spans", "write_table"]
+__all__ = ["BLANKS", "LOWER_CODE", "U64", "digest128", "fresh_path", "hash_words", "mix64", "shuffle_parts", "slices", "storage_root", "unused", "word_hash", "word_spans", "write_table"]
 
 #: The bytes that separate words and are stripped from lines: space and 0x09 to 0x0D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -24,6 +24,17 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind where df has columns of these names (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def digest128(keys: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Two int64 arrays with the 128-bit hashes of the keys."""
     raw = b"".join(map(xxhash.xxh3_128_digest, keys))

@@ -6,7 +6,7 @@ hierarchical bitmap over the ranks (64 ways a level) tells by find-first-set whi
 merge costs constant time however long the piece is. An entry whose pair has changed since is stale and skipped.
 
 Defined results: a null or empty text has no tokens. Rows that repeat are encoded each. Special
-tokens are never recognised: their strings are ordinary text.
+tokens are never recognised: their strings are ordinary text. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ the window of step 4 would replicate each of them to all cells. Meeting points f
 
 Defined results: null or empty texts and texts without words have n_shingles 0 and are linked with nothing; a text with fewer words
 than n has one shingle. Rows that repeat an id are judged each by its own text. Rows with a null id get a null
-component and link nothing.
+component and link nothing. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -271,7 +271,7 @@ def _profile(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, counts = Shingler(n), np.zeros(BUCKETS, dtype=np.int64)
         for whole in batches:
-            for batch in slices(whole, 1, 8 << 20):
+            for batch in slices(whole, 1, 4 << 20):
                 sets = cut(batch.column(1).to_pylist())
                 names = [signature(s, seed) if len(s) else (None, None) for s in sets]
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
@@ -302,7 +302,7 @@ def _offers(n: int, seed: int, t: Fraction, step: float, crowd):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(n)
         for whole in batches:
-            for batch in slices(whole, 0, 8 << 20):
+            for batch in slices(whole, 0, 4 << 20):
                 sets = [s for s in cut(batch.column(0).to_pylist()) if len(s)]
                 if not sets:
                     continue
@@ -322,7 +322,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], keys: int, bytes_col: int) -> I
     """Rows that come sorted by their first columns, gathered by these."""
     at, rows = None, []
     for whole in batches:
-        for batch in slices(whole, bytes_col, 16 << 20):
+        for batch in slices(whole, bytes_col, 8 << 20):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:keys] != at:
                     if rows:

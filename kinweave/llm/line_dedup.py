@@ -14,7 +14,7 @@ probe it are foreign, so it holds the 128-bit hashes instead of fingerprints; a
 
 Defined results: a null or empty text is one empty line. Lines whose key is shorter than
 `min_chars` code points always stay. Rows are documents: a row that repeats another counts again. Null ids are allowed.
-A text whose every line goes becomes the empty text.
+A text whose every line goes becomes the empty text. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import BLANKS, U64, digest128, mix64, shuffle_parts, slices, write_table
+from ._common import BLANKS, U64, digest128, mix64, shuffle_parts, slices, unused, write_table
 
 #: A key with a larger share of all counted lines than 1 in so many is replicated; so at most this many are.
 HOT_KEYS = 10_000
 KEYS_PER_SHARD = 32_768
-LEAST_SHARDS = 64
+LEAST_SHARDS = 512
 SATURATED = 255
+#: Bytes of text that are cut into lines at once.
+PIECE = 8 << 20
 
 
 def line_key(line: bytes) -> bytes:
@@ -165,7 +167,7 @@ def _count_batches(min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, PIECE):
                 keys, rows, _ = _keys_of(batch.column(0).to_pylist(), min_chars)
                 if not keys:
                     continue
@@ -205,7 +207,7 @@ def _probe_batches(hot: HotLines | None, shards: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replicated = hot.reader() if hot else None
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, PIECE):
                 keys, rows, lines = _keys_of(batch.column(2).to_pylist(), min_chars)
                 if not keys:
                     continue
@@ -289,13 +291,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).cast("binary").alias("t"))
     probes = source.mapInArrow(_probe_batches(replicated, shards, min_chars), _BLOB)
     hits = arrays.union(probes).repartition(shuffle_parts(spark), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(min_docs), "doc long, text long, line int")
-    drops = hits.groupBy(F.col("doc").alias("__doc"), F.col("text").alias("__h")).agg(F.collect_set("line").alias("__drops"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    plain = docs.select(*names).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = plain.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__h")), "left")
+    doc, own, of, gone = unused(docs, "__doc", "__h", "__th", "__drops")
+    drops = hits.groupBy(F.col("doc").alias(doc), F.col("text").alias(own)).agg(F.collect_set("line").alias(gone))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = docs.select(*names).withColumn(of, F.xxhash64(text))
+    joined = plain.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(of) == F.col(own)), "left")
     joined = joined.withColumn("n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-    joined = joined.withColumn("n_dropped", F.coalesce(F.size("__drops"), F.lit(0)).cast("long"))
-    joined = joined.withColumn("n_dropped", F.when(F.col("__drops").isNull(), F.lit(0)).otherwise(F.col("n_dropped")).cast("long"))
-    kept = _without(text.cast("binary"), F.col("__drops")).cast("string")
+    joined = joined.withColumn("n_dropped", F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"))
+    kept = _without(text.cast("binary"), F.col(gone)).cast("string")
     return joined.withColumn(text_col, kept).select(*names, "n_lines", "n_dropped")

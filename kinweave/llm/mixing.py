@@ -9,7 +9,7 @@ so that the output, read in the order of shuffle_key, is a uniform permutation.
 Defined results: rows with a null source form a source of their own, whose weight is that of the key
 None. Sources without a target weight get weight 0, which drops their rows; weights are scaled to sum
 to 1 over the sources that occur. A null id is hashed as the empty string. Rows that repeat an id get equal
-counts; the order among rows of equal shuffle_key, which needs equal ids and copy numbers, isn't defined.
+counts; the order among rows of equal shuffle_key, which needs equal ids and copy numbers, isn't defined. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import shuffle_parts, write_table
+from ._common import shuffle_parts, unused, write_table
 
-#: Sources up to so many are broadcast with their tables of the distribution; beyond, they are joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: The sources' tables of the distribution are broadcast up to so many numbers, 16 MB; beyond, they are joined by a shuffle.
+BROADCAST_NUMBERS = 2_000_000
 
 
 def poisson_table(rate: float) -> tuple[int, list[float]]:
@@ -85,18 +85,19 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     """
     spark = docs.sparkSession
     rates = source_rates(docs, weights, temperature, total, source_col)
-    tables = write_table(rates.select("__source", _table("rate").alias("__table")), "poisson")
-    if tables.count() <= BROADCAST_SOURCES:
+    u, source, table, part = unused(docs, "__u", "__source", "__table", "__part")
+    tables = write_table(rates.select(F.col("__source").alias(source), _table("rate").alias(table)), "poisson")
+    if (tables.agg(F.coalesce(F.sum(F.size(f"{table}.cdf") + 8), F.lit(0))).first()[0]) <= BROADCAST_NUMBERS:
         tables = F.broadcast(tables)
     names = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.select(*names).withColumn("__u", uniform(key, f"{seed}|copies"))
-    drawn = drawn.join(tables, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    n = F.when(F.size("__table.cdf") <= 0, F.lit(0)).otherwise(F.col("__table.first") + F.size(F.filter("__table.cdf", lambda c: c <= F.col("__u"))))
+    drawn = docs.select(*names).withColumn(u, uniform(key, f"{seed}|copies"))
+    drawn = drawn.join(tables, F.col(source_col).eqNullSafe(F.col(source)), "left")
+    n = F.when(F.size(f"{table}.cdf") <= 0, F.lit(0)).otherwise(F.col(f"{table}.first") + F.size(F.filter(f"{table}.cdf", lambda c: c <= F.col(u))))
     drawn = drawn.withColumn("n_copies", n.cast("int")).where("n_copies > 0")
     spread = drawn.select(*names, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     spread = spread.withColumn("shuffle_key", uniform(F.concat(key, F.lit("|"), F.col("copy").cast("string")), f"{seed}|order"))
     parts = shuffle_parts(spark)
     # the key is uniform, so equal ranges of it are equal shares: no sampling pass is needed
-    ranged = spread.withColumn("__part", F.floor(F.col("shuffle_key") * parts).cast("int")).repartitionById(parts, F.col("__part"))
-    return ranged.drop("__part").sortWithinPartitions("shuffle_key").select(*names, "copy", "n_copies", "shuffle_key")
+    ranged = spread.withColumn(part, F.floor(F.col("shuffle_key") * parts).cast("int")).repartitionById(parts, F.col(part))
+    return ranged.drop(part).sortWithinPartitions("shuffle_key").select(*names, "copy", "n_copies", "shuffle_key")

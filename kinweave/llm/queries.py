@@ -96,6 +96,20 @@ ORACLES = {
         SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, n_copies,
           CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy || '|17|order'), 1, 13)) AS BIGINT) / 4503599627370496.0 AS shuffle_key
         FROM e""",
+    "op6_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+        e AS MATERIALIZED (SELECT doc_id, unnest(g) AS x FROM s),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT a, b FROM i JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 90 * (len(x.g) + len(y.g) - n)),
+        bw AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        walk(node, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT bw.b, walk.root FROM walk JOIN bw ON bw.a = walk.node)
+        SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT node, min(root) AS component_id FROM walk GROUP BY node) ON node = doc_id""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+        SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+          list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31 AS BIGINT), 1)), lambda a, b: a || b) AS payload_digest,
+          CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM m""",
     "op9_exact_top_k": """
         WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

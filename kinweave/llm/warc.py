@@ -12,7 +12,7 @@ first pass over the file are needed.
 
 Defined results: null payload, url or date are empty. A null id is written as `null` and read as null;
 it never becomes the response while an equal payload has an id. Rows that repeat both id and payload are one
-capture and get the same type. Payloads under `min_bytes` are all responses.
+capture and get the same type. Payloads under `min_bytes` are all responses. An empty table gives no record.
 """
 
 from __future__ import annotations
@@ -44,6 +44,21 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: How Spark names stores that are read and written here under another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "dbfs": "file", "wasbs": "abfs", "abfss": "abfs"}
+
+
+def open_store(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path in it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        return pa.fs.LocalFileSystem(), uri
+    if scheme in ("file", "dbfs"):  # a mounted store, and local paths with one slash or three
+        path = "/" + rest.lstrip("/")
+        return pa.fs.LocalFileSystem(), f"/dbfs{path}" if scheme == "dbfs" else path
+    return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 def _field(value: str) -> str:
     """A value that can't break the header: control characters are percent-encoded."""
     return "".join(c if c >= " " and c != "\x7f" else quote(c) for c in value)
@@ -86,7 +101,7 @@ def _write_batches(folder: str, date: str):
     schema = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs, root = open_store(folder)
         fs.create_dir(root, recursive=True)
         out, path, size, n = None, "", 0, 0
 
@@ -98,8 +113,9 @@ def _write_batches(folder: str, date: str):
             for batch in slices(whole, 2):
                 for page, url, html, sha, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
-                        path, size, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                        out = fs.open_output_stream(path, compression=None)
+                        name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                        path = f"{folder}/{name}"
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     raw = record(page, url or "", html or b"", base64.b32encode(bytes.fromhex(sha)).decode(), refers, date)
                     out.write(raw)
                     size, n = size + len(raw), n + 1
@@ -114,15 +130,14 @@ def _write_batches(folder: str, date: str):
 
 def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str | None = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row and return the manifest: path, bytes, records of each file."""
-    folder = folder or fresh_path(pages.sparkSession, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = (folder or fresh_path(pages.sparkSession, "warc")).rstrip("/")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"").cast("binary"))
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), url.alias("url"), payload.alias("html")).withColumn("sha", F.sha1("html"))
     known = captures(pages, id_col, payload_col, min_bytes)
     rows = rows.join(known, F.col("page").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left")
     rows = rows.select("page", "url", "html", "sha", "refers_to")
-    return write_table(rows.mapInArrow(_write_batches(folder, date), "path string, bytes long, records long"), "warc-manifest").withColumn("path", F.concat(F.lit(folder.partition("://")[0] + "://"), "path"))
+    return write_table(rows.mapInArrow(_write_batches(folder, date), "path string, bytes long, records long"), "warc-manifest")
 
 
 class _Window:
@@ -204,7 +219,7 @@ def read_warc(files: DataFrame, payload: bool = True, split_bytes: int = SPLIT_B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs, local = pa.fs.FileSystem.from_uri(path)
+                fs, local = open_store(path)
                 with fs.open_input_file(local) as source:
                     rows, held = [], 0
                     for at, raw in members(source, start, start + split_bytes):

@@ -27,7 +27,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def docs(spark, rows, schema=DOCS):
     """Documents from (id, text), with columns whose names clash with the operators' own."""
     made = spark.createDataFrame([(i, t, "en", None if i is None or i % 3 == 0 else "s", len(t or "")) for i, t in rows], schema)
-    return made.withColumns({c: F.lit(-1) for c in ("n_dropped", "n_shingles", "copy", "node", "p", "band", "key", "h", "id")})
+    return made.withColumns({c: F.lit(-1) for c in ("n_dropped", "n_shingles", "copy", "node", "p", "band", "key", "h", "id", "__doc", "__h", "__th", "__drops", "__u", "__source", "__table", "__part", "ref", "score", "codes")})
 
 
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -259,6 +259,11 @@ def test_members_that_hold_the_magic(tmp_path):
         assert len(found) == 30 and found == sorted(set(found))
 
 
+def test_stores_by_their_spark_names():
+    assert warc.open_store("/a/b")[1] == "/a/b" and warc.open_store("file:/a/b")[1] == "/a/b" and warc.open_store("file:///a/b")[1] == "/a/b"
+    assert warc.open_store("dbfs:/a/b")[1] == "/dbfs/a/b"
+
+
 # search
 
 
