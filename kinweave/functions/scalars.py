@@ -106,10 +106,10 @@ def sharpness(values: Column, width: Column) -> Column:
         around = pixel(i, -width, i >= width) + pixel(i, width, i + width < n) + pixel(i, F.lit(-1), col > 0) + pixel(i, F.lit(1), col + 1 < width)
         return around - 4 * pixel(i, F.lit(0), F.lit(True))
 
-    found = F.transform(F.sequence(F.lit(0), n - 1), response)
-    mean = F.aggregate(found, F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.aggregate(found, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return F.when((n >= 2) & (width > 0) & (n % width == 0), F.sqrt(spread / (n - 1)))
+    # one pass: what a lambda refers to is worked out again for each of its elements
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    sums = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), response), none, lambda t, x: F.struct((t["s"] + x).alias("s"), (t["q"] + x * x).alias("q")), lambda t: t["q"] - t["s"] * t["s"] / n)
+    return F.when((n >= 2) & (width > 0) & (n % width == 0), F.sqrt(F.greatest(sums, F.lit(0.0)) / (n - 1)))
 
 
 def colour(r: Column, g: Column, b: Column) -> Column:
