@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import fresh_path, storage_root, write_table
 
-__all__ = ["BLANKS", "LOWER_CODE", "U64", "digest128", "fresh_path", "hash_words", "mix64", "shuffle_parts", "slices", "storage_root", "unused", "word_hash", "word_spans", "write_table"]
+__all__ = ["BLANKS", "LOWER_CODE", "U64", "digest128", "fresh_path", "hash_words", "mix64", "shuffle_parts", "slices", "storage_root", "tidied", "unused", "word_hash", "word_spans", "write_table"]
 
 #: The bytes that separate words and are stripped from lines: space and 0x09 to 0x0D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -24,6 +25,28 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where its library can."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives freed memory back to the system at its end: Python workers are reused, and what one task has freed would count against the next."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores behind where df has columns of these names (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

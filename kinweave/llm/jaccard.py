@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ._common import U64, hash_words, mix64, shuffle_parts, slices, write_table
+from ._common import U64, hash_words, mix64, shuffle_parts, slices, tidied, write_table
 
 #: Hash buckets in which shingles are counted to tell common from rare ones, and buckets in a row of counts.
 BUCKETS, ROW = 1 << 21, 1 << 12
@@ -408,7 +408,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     parts = shuffle_parts(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     for seed in range(8):
-        first = write_table(source.mapInArrow(_profile(words, seed), "kind int, id long, h1 long, h2 long, n long, counts binary"), "profile")
+        first = write_table(source.mapInArrow(tidied(_profile(words, seed)), "kind int, id long, h1 long, h2 long, n long, counts binary"), "profile")
         rows = first.where("kind = 0").select("id", "h1", "h2", "n")
         classes = rows.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
         classes = write_table(classes, "classes")
@@ -417,13 +417,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     else:
         raise RuntimeError("64-bit names of sets collide under every seed")
     crowd = np.zeros((BUCKETS // ROW, ROW), dtype=np.uint8)
-    for r in first.where("kind = 1").select("id", "counts").repartition(parts, "id").mapInArrow(_crowding, "id long, crowd binary").collect():  # a byte a bucket
+    for r in first.where("kind = 1").select("id", "counts").repartition(parts, "id").mapInArrow(tidied(_crowding), "id long, crowd binary").collect():  # a byte a bucket
         crowd[r["id"]] = np.frombuffer(bytes(r["crowd"]), dtype=np.uint8)
     crowd = spark.sparkContext.broadcast(crowd.ravel())
 
     # bands are wider than 1 / t, so sizes in reach lie in one band or the next
     step = -3 * math.log(float(t)) if t < 1 else 1.0
-    offers = write_table(source.where("id is not null").select("text").mapInArrow(_offers(words, seed, t, step, crowd), "s long, node long, n int, band int, home int, outline binary"), "offers")
+    offers = write_table(source.where("id is not null").select("text").mapInArrow(tidied(_offers(words, seed, t, step, crowd)), "s long, node long, n int, band int, home int, outline binary"), "offers")
     meet = offers.where("s is not null").select("s", "band", "home", "node")
     points = meet.groupBy("s", "band").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.max("home").alias("homes")).where("p != q and homes > 0").select(F.col("s").alias("ps"), F.col("band").alias("pb"), "p")
     met = meet.join(points, (F.col("s") == F.col("ps")) & (F.col("band") == F.col("pb"))).select("p", "band", "node").distinct()
@@ -432,12 +432,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     members = _cut(met, ["p", "band"], held).select("p", "band", "i", "j", "node")
     members = members.join(outlines, ["node", "band"]).select("p", "band", "i", "j", "node", "n", "home", "outline")
     keys = ["p", "band", "i", "j"]
-    groups = members.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_candidates(t), "key long, node long, n long")
+    groups = members.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(tidied(_candidates(t)), "key long, node long, n long")
     groups = write_table(groups.distinct(), "groups")
     placed = _cut(groups, ["key"], held).select("key", "i", "j", "node")
     placed = placed.join(classes.select(F.col("h1").alias("node"), "rep"), "node")
     texts = placed.join(source.where("id is not null"), F.col("rep") == F.col("id")).select("key", "i", "j", "node", "text")
-    found = texts.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_joined(words, seed, t), "a long, b long")
+    found = texts.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidied(_joined(words, seed, t)), "a long, b long")
     roots = connected_components(found)
 
     named = roots.join(classes.select(F.col("h1").alias("node"), "rep"), "node")

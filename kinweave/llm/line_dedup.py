@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import BLANKS, U64, digest128, mix64, shuffle_parts, slices, unused, write_table
+from ._common import BLANKS, U64, digest128, mix64, shuffle_parts, slices, tidied, unused, write_table
 
 #: A key with a larger share of all counted lines than 1 in so many is replicated; so at most this many are.
 HOT_KEYS = 10_000
@@ -185,7 +185,7 @@ def _count_batches(min_chars: int):
 
 def line_counts(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """h1, h2 (the 128-bit hash of a line key) and n, the number of documents that hold it."""
-    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_count_batches(min_chars), "h1 long, h2 long, n long")
+    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(tidied(_count_batches(min_chars)), "h1 long, h2 long, n long")
     return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
@@ -289,8 +289,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     replicated = HotLines(hot["h1"].to_numpy(dtype=np.int64), hot["h2"].to_numpy(dtype=np.int64)) if len(hot) else None
     arrays = counts.where(~common).withColumn("shard", F.col("h1").bitwiseAND(F.lit(shards - 1))).groupBy("shard").applyInPandas(_build_shard, _BLOB)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).cast("binary").alias("t"))
-    probes = source.mapInArrow(_probe_batches(replicated, shards, min_chars), _BLOB)
-    hits = arrays.union(probes).repartition(shuffle_parts(spark), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(min_docs), "doc long, text long, line int")
+    probes = source.mapInArrow(tidied(_probe_batches(replicated, shards, min_chars)), _BLOB)
+    hits = arrays.union(probes).repartition(shuffle_parts(spark), "shard").sortWithinPartitions("shard", "kind").mapInArrow(tidied(_answer(min_docs)), "doc long, text long, line int")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     doc, own, of, gone = unused(docs, "__doc", "__h", "__th", "__drops")
     drops = hits.groupBy(F.col("doc").alias(doc), F.col("text").alias(own)).agg(F.collect_set("line").alias(gone))

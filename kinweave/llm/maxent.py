@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tree as T
-from ._common import U64, fresh_path, hash_words, mix64, shuffle_parts, slices, write_table
+from ._common import U64, fresh_path, hash_words, mix64, shuffle_parts, slices, tidied, write_table
 
 #: Tokens whose counts and places in the tree all tasks hold: about 30 bytes each.
 COMMON = 1 << 19
@@ -428,25 +428,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("out"), F.col(text_col).cast("binary").alias("t"))
-    counted = source.where(~F.col("out")).select("t").mapInArrow(_token_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counted = source.where(~F.col("out")).select("t").mapInArrow(tidied(_token_counts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = write_table(counted, "token-counts")
     words, others = vocabulary(counts, common_tokens, events)
     held = spark.sparkContext.broadcast(words)
     path = fresh_path(spark, "coded")
     # the references are fixed by being written
-    source.mapInArrow(_coded(held), _CODED).withColumn("ref", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    source.mapInArrow(tidied(_coded(held)), _CODED).withColumn("ref", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     coded = spark.read.schema(f"{_CODED}, ref long").parquet(path)
 
     def met(packed: DataFrame, *then: str) -> DataFrame:
         return packed.repartition(parts, "shard").sortWithinPartitions("shard", *then)
 
     lookups = max(1, -(-others.count() // LOOKUPS))
-    asked = others.select("h", "c").mapInArrow(_packed_counts(lookups), _PACKED).unionByName(coded.select("ref", "others").mapInArrow(_asked(lookups), _PACKED))
-    sums = met(asked, "kind").mapInArrow(_looked_up(held, parts), _PACKED)
+    asked = others.select("h", "c").mapInArrow(_packed_counts(lookups), _PACKED).unionByName(coded.select("ref", "others").mapInArrow(tidied(_asked(lookups)), _PACKED))
+    sums = met(asked, "kind").mapInArrow(tidied(_looked_up(held, parts)), _PACKED)
     if words.total:
-        trained = met(coded.select("ref", "out", "codes").mapInArrow(_events(held), _PACKED)).mapInArrow(_trained(held, rounds, parts), _PACKED)
+        trained = met(coded.select("ref", "out", "codes").mapInArrow(tidied(_events(held)), _PACKED)).mapInArrow(tidied(_trained(held, rounds, parts)), _PACKED)
         sums = sums.unionByName(trained)
-    sums = met(sums).mapInArrow(_added, "sums_of long, tail double, more_known double, more_base double, more_score double")
+    sums = met(sums).mapInArrow(tidied(_added), "sums_of long, tail double, more_known double, more_base double, more_score double")
     out = coded.drop("codes", "others").join(sums, F.col("ref") == F.col("sums_of"), "left")
 
     def plus(own: str, *rest: str) -> F.Column:

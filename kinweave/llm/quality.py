@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER_CODE, U64, mix64, slices, word_hash, word_spans
+from ._common import LOWER_CODE, U64, mix64, slices, tidied, word_hash, word_spans
 
 ABSTAIN, FINE, JUNK = -1, 0, 1
 #: Width of the hashed features.
@@ -309,7 +309,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[WeakModel, Scorer]:
     """The weak-label model over all documents, and the scorer that its posteriors train on the bounded sample."""
     keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).cast("binary").alias("t"))
-    voted = keyed.mapInArrow(_patterns, "h long, pattern int").where("pattern >= 0")
+    voted = keyed.mapInArrow(tidied(_patterns), "h long, pattern int").where("pattern >= 0")
     table = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas().sort_values("pattern")  # 3 ** labellers rows at most
     patterns = np.array([unpack(p) for p in table["pattern"]], dtype=np.int64).reshape(len(table), len(LABELLERS))
     model = WeakModel(patterns, table["n"].to_numpy())
@@ -328,7 +328,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         in_sample = F.when(F.col("pattern").isin(junk), F.col("h") <= bar(bad)).otherwise(in_sample)
     # a second look only at the texts that the sample can hold
     near = keyed.where(F.col("h") <= max(bar(total - bad), bar(bad)))
-    chosen = near.mapInArrow(_sampled, "h long, pattern int, slots array<int>, parts array<double>").where(F.col("pattern") >= 0).where(in_sample)
+    chosen = near.mapInArrow(tidied(_sampled), "h long, pattern int, slots array<int>, parts array<double>").where(F.col("pattern") >= 0).where(in_sample)
     got = chosen.dropDuplicates(["h", "pattern"]).collect()  # about 2 * sample rows
     got.sort(key=lambda r: (r["h"], r["pattern"]))
     rows = [dict(zip(r["slots"], r["parts"], strict=True)) for r in got]
