@@ -13,20 +13,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import slices, tidied
 
-#: Pieces up to so many characters are remembered, and so many of them at most.
-MEMO_CHARS, MEMO_PIECES = 40, 400_000
+#: Pieces up to so many characters are remembered; the memory has two halves that hold about so many.
+MEMO_CHARS, MEMO_PIECES = 40, 300_000
 #: Pieces that share one queue, and bytes of text that are encoded at once.
-MERGED, PIECE = 50_000, 2 << 20
+MERGED, PIECE = 1_000, 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -90,7 +91,12 @@ class Encoder:
         self.ranks, self.parted = ranks, parted
         self.tokens = {r: t for t, r in ranks.items()}
         self.names = {r: str(r) for r in ranks.values()}
+        self.pairs = np.full(1 << 16, -1, dtype=np.int64)  # ranks by two bytes
+        for t, r in ranks.items():
+            if len(t) == 2:
+                self.pairs[t[0] << 8 | t[1]] = r
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.queue = RankQueue()
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -98,27 +104,29 @@ class Encoder:
         ranks, text = self.ranks, b"".join(pieces)
         n = len(text)
         get, push, pop, bucket = ranks.get, self.queue.push, self.queue.pop, self.queue.buckets.get
-        ahead = list(range(1, n + 1))  # where the part at a position ends
-        before = list(range(-1, n))  # where the part before it starts; -1 at a piece's start
-        waits = [-1] * n  # the rank of the pair that starts at a position; -1: none, or no part starts there
-        wall = bytearray(n + 1)  # 1 where a piece ends
-        p = 0
-        for piece in pieces:
-            start, p = p, p + len(piece)
-            before[start] = -1
-            wall[p] = 1
-            whole = get(piece)
-            if whole is not None:
-                ahead[start] = p
-                continue
-            for q in range(start, p - 1):
-                r = get(text[q : q + 2])
-                if r is not None:
-                    waits[q] = r
-                    if (waiting := bucket(r)) is None:
-                        push(r, q)
-                    else:  # the bitmap knows the bucket
-                        waiting.append(q)
+        sizes = np.array([len(x) for x in pieces])
+        whole = np.array([x in ranks for x in pieces])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        link = np.arange(1, n + 1)
+        link[starts[whole]] = ends[whole]
+        ahead = link.tolist()  # where the part at a position ends
+        link = np.arange(-1, n)
+        link[starts] = -1
+        before = link.tolist()  # where the part before it starts; -1 at a piece's start
+        wall = np.zeros(n + 1, dtype=np.uint8)
+        wall[ends] = 1
+        wall = wall.tobytes()  # 1 where a piece ends
+        raw = np.frombuffer(text, np.uint8).astype(np.int64)
+        first = np.append(self.pairs[raw[:-1] << 8 | raw[1:]], -1)
+        first[ends - 1] = -1
+        first[np.repeat(whole, sizes)] = -1
+        waits = first.tolist()  # the rank of the pair that starts at a position; -1: none, or no part starts there
+        for q in np.flatnonzero(first >= 0).tolist():
+            if (waiting := bucket(waits[q])) is None:
+                push(waits[q], q)
+            else:  # the bitmap knows the bucket
+                waiting.append(q)
         while (found := pop()) is not None:
             rank, positions = found
             if len(positions) > 1:
@@ -162,8 +170,8 @@ class Encoder:
                         push(rank, x)
                     break
         out, p = [], 0
-        for piece in pieces:
-            end, ids = p + len(piece), []
+        for end in ends.tolist():
+            ids = []
             while p < end:
                 q = ahead[p]
                 ids.append(ranks[text[p:q]])
@@ -180,22 +188,35 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
         cuts = [self.cuts(t) for t in texts]
+        fresh = self.unknown(chain.from_iterable(cuts))
+        split = [self.split(x) if self.parted else (x,) for x in fresh]
+        pieces = self.unknown(chain.from_iterable(split))
         memo = self.memo
-        new = [x for x in set(chain.from_iterable(cuts)) if x not in memo]
-        split = [self.split(x) if self.parted else (x,) for x in new]
-        pieces = list(set(chain.from_iterable(split)))
-        got: dict[str, tuple[int, ...]] = {}
         for i in range(0, len(pieces), MERGED):
             part = pieces[i : i + MERGED]
-            got.update(zip(part, self.merge([x.encode() for x in part]), strict=True))
-        memo.update(zip(new, (got[xs[0]] if len(xs) == 1 else tuple(chain.from_iterable(map(got.__getitem__, xs))) for xs in split), strict=True))
+            memo.update(zip(part, self.merge([x.encode() for x in part]), strict=True))
         find = memo.__getitem__
+        for x, xs in zip(fresh, split, strict=True):
+            if len(xs) > 1:
+                memo[x] = tuple(chain.from_iterable(map(find, xs)))
         out = [list(chain.from_iterable(map(find, xs))) for xs in cuts]
-        for x in new:
-            if len(x) > MEMO_CHARS:
-                del memo[x]
+        if max(map(len, fresh), default=0) > MEMO_CHARS:
+            for x in [x for x in chain(fresh, pieces) if len(x) > MEMO_CHARS]:
+                memo.pop(x, None)
         if len(memo) > MEMO_PIECES:
-            memo.clear()
+            self.old, self.memo = memo, {}
+        return out
+
+    def unknown(self, found: Iterable[str]) -> list[str]:
+        """What isn't remembered, each once. What only the older memory holds is taken over into the newer one."""
+        memo, out = self.memo, []
+        recall = self.old.get
+        for x in set(found).difference(memo):
+            ids = recall(x)
+            if ids is None:
+                out.append(x)
+            else:
+                memo[x] = ids
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -209,7 +230,7 @@ _held: dict[str, Encoder] = {}
 
 
 def _encoder(digest: str, ranks: dict[bytes, int], pattern: str, parted: bool) -> Encoder:
-    """One encoder, with its memo, for all tasks of a Python worker."""
+    """One encoder for all tasks of a Python worker."""
     if digest not in _held:
         _held.clear()
         _held[digest] = Encoder(ranks, pattern, parted)
@@ -230,6 +251,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(digest, held.value, pattern, parted)
+        coder.memo, coder.old = {}, {}
         names = coder.names
         for whole in batches:
             for batch in slices(whole, 1, PIECE):
@@ -251,7 +273,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     else:
                         arrays.append(pa.array(cols[name], kind))
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *cols])
+        coder.memo, coder.old = {}, {}  # the worker may go on to other work
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long" + ids * ", ids array<int>" + digests * ", ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(tidied(run), schema)
