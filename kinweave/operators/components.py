@@ -18,6 +18,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Self-links, repeated and reversed links are allowed. Each round hangs nodes under the smallest neighbour,
     by an aggregation of minima and a join, so a node with very many neighbours is pre-aggregated and split.
     """
+    links = write_table(links.select("a", "b"), "pairs")  # found once, though read twice
     alone = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     edges = write_table(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(edges)

@@ -25,10 +25,12 @@ def average_linkage(vectors: np.ndarray, photos: list[set], start: np.ndarray |
     _, heads, of = np.unique(np.arange(n) if start is None else start, return_index=True, return_inverse=True)
     members = [np.flatnonzero(of == k).tolist() for k in np.argsort(heads)]
     m = len(members)
-    onto = np.zeros((m, n))
-    for k, own in enumerate(members):
-        onto[k, own] = 1
-    sums = onto @ gaps @ onto.T
+    sums = gaps
+    if m < n:
+        onto = np.zeros((m, n))
+        for k, own in enumerate(members):
+            onto[k, own] = 1
+        sums = onto @ gaps @ onto.T
     size = np.array([len(x) for x in members], dtype=float)
     names = {p: k for k, p in enumerate(sorted(set().union(*photos)))}
     held = np.zeros((m, len(names)), dtype=np.float32)  # which photos each cluster is in
@@ -36,13 +38,16 @@ def average_linkage(vectors: np.ndarray, photos: list[set], start: np.ndarray |
         held[k, [names[p] for i in own for p in photos[i]]] = 1
     shared = held @ held.T > 0
     alive = np.ones(m, dtype=bool)
+    upper = np.triu(np.ones((m, m), dtype=bool), 1)
+    mean = sums / np.outer(size, size)
+    mean = np.where((mean <= np.where(shared, cfg.same_photo, cfg.similarity)) & upper, mean, np.inf)  # of pairs that may merge, lower cluster first
+    to = mean.argmin(1)  # each row's first least
+    least = mean[np.arange(m), to]
     while True:
-        mean = sums / np.outer(size, size)
-        limit = np.where(shared, cfg.same_photo, cfg.similarity)
-        ok = (mean <= limit) & alive[:, None] & alive[None, :] & np.triu(np.ones((m, m), dtype=bool), 1)
-        if not ok.any():
+        a = int(least.argmin())
+        if least[a] == np.inf:
             break
-        a, b = np.unravel_index(np.where(ok, mean, np.inf).argmin(), (m, m))
+        b = int(to[a])
         sums[a] += sums[b]
         sums[:, a] = sums[a]
         sums[a, a] = 0
@@ -50,7 +55,17 @@ def average_linkage(vectors: np.ndarray, photos: list[set], start: np.ndarray |
         members[a] += members[b]
         held[a] = np.maximum(held[a], held[b])
         alive[b] = False
-        shared[a] = shared[:, a] = held @ held[a] > 0
+        own = sums[a] / (size[a] * size)
+        own = np.where((own <= np.where(held @ held[a] > 0, cfg.same_photo, cfg.similarity)) & alive, own, np.inf)
+        mean[a, a + 1 :], mean[:a, a] = own[a + 1 :], own[:a]
+        mean[b], mean[:, b] = np.inf, np.inf
+        stale = (to == a) | (to == b)
+        stale[[a, b]] = True
+        better = ~stale[:a] & ((own[:a] < least[:a]) | ((own[:a] == least[:a]) & (a < to[:a]) & (own[:a] < np.inf)))
+        to[:a][better], least[:a][better] = a, own[:a][better]
+        rows = np.flatnonzero(stale)
+        to[rows] = mean[rows].argmin(1)
+        least[rows] = mean[rows, to[rows]]
     return [sorted(members[i]) for i in np.flatnonzero(alive)]
 
 
@@ -75,9 +90,12 @@ def cluster_faces(faces: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """
     total = faces.count()
     cut = max(cfg.similarity, cfg.same_photo, cfg.micro)
-    pairs = similarity_join(faces.select(F.col("face_idx").alias("idx"), F.col("descriptor").alias("v")), cut)
-    roots = label_all(faces.select(F.col("face_idx").cast("long").alias("face_idx")), pairs, "face_idx")
-    begun = micro_clusters(faces, cfg) if total > cfg.exact_max_faces else roots.select(F.col("node").alias("face_idx"), F.col("node").alias("start"))
+    pairs = write_table(similarity_join(faces.select(F.col("face_idx").alias("idx"), F.col("descriptor").alias("v")), cut), "near")
+    every = faces.select(F.col("face_idx").cast("long").alias("face_idx"))
+    roots = label_all(every, pairs, "face_idx")
+    begun = roots.select(F.col("node").alias("face_idx"), F.col("node").alias("start"))
+    if total > cfg.exact_max_faces:  # the pairs below the micro bound are among those found
+        begun = label_all(every, pairs.where(F.col("d") < cfg.micro), "face_idx").select(F.col("node").alias("face_idx"), F.col("root").alias("start"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -148,6 +148,14 @@ def test_similarity_join_far_from_the_origin(spark):
     assert {(r["a"], r["b"]) for r in simjoin.similarity_join(rows, 0.44).collect()} == {(i, i + 1) for i in range(0, 400, 2)}
 
 
+def test_linkage_finds_its_pairs_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(linkage, "similarity_join", lambda *args: calls.append(1) or simjoin.similarity_join(*args))
+    rows = spark.createDataFrame([(i, f"t-{i}", [x]) for i, x in enumerate((0.0, 0.39, 0.78, 1.17, 9.0, 9.4))], "face_idx int, photo_id string, descriptor array<double>")
+    assert linkage.cluster_faces(rows, EngineConfig(exact_max_faces=2)).count() == 6
+    assert len(calls) == 1
+
+
 def test_empty_and_single_vectors(spark):
     none = spark.createDataFrame([], "idx long, v array<double>")
     assert simjoin.similarity_join(none, 0.4).count() == 0
