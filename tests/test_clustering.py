@@ -156,6 +156,13 @@ def test_linkage_finds_its_pairs_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_micro_pairs_shuffle_no_vectors(spark):
+    rows = spark.createDataFrame([(i, f"t-{i}", [x]) for i, x in enumerate((0.0, 0.25, 1.0, 1.375, 1.75, 9.0))], "face_idx int, photo_id string, descriptor array<double>")
+    found = linkage.micro_pairs(rows, EngineConfig(micro=0.375))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(0, 1, 0.25)]
+
+
 def test_empty_and_single_vectors(spark):
     none = spark.createDataFrame([], "idx long, v array<double>")
     assert simjoin.similarity_join(none, 0.4).count() == 0
