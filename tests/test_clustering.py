@@ -163,6 +163,25 @@ def test_micro_pairs_shuffle_no_vectors(spark):
     assert [tuple(r) for r in found.collect()] == [(0, 1, 0.25)]
 
 
+def counted(spark, df):
+    """df, and an accumulator of the rows that its tasks give."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    return df.mapInPandas(note, df.schema), seen
+
+
+def test_components_read_their_links_once(spark):
+    links, seen = counted(spark, spark.createDataFrame([(0, 1), (1, 2), (5, 5), (7, 8)], "a long, b long"))
+    nodes = spark.range(10)
+    assert dict(map(tuple, components.label_all(nodes, links, "id").collect())) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
+    assert seen.value == 4
+
+
 def test_empty_and_single_vectors(spark):
     none = spark.createDataFrame([], "idx long, v array<double>")
     assert simjoin.similarity_join(none, 0.4).count() == 0
