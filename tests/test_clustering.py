@@ -182,6 +182,20 @@ def test_components_read_their_links_once(spark):
     assert seen.value == 4
 
 
+def test_micro_clusters_find_their_pairs_once(spark, monkeypatch):
+    found = []
+
+    def join(*args):
+        pairs, seen = counted(spark, simjoin.similarity_join(*args))
+        found.append(seen)
+        return pairs
+
+    monkeypatch.setattr(linkage, "similarity_join", join)
+    rows = spark.createDataFrame([(i, f"t-{i}", [x]) for i, x in enumerate((0.0, 0.39, 0.78, 1.17, 9.0, 9.4))], "face_idx int, photo_id string, descriptor array<double>")
+    assert {r["start"] for r in linkage.micro_clusters(rows).collect()} == {0, 4, 5}
+    assert [s.value for s in found] in ([3], [4])  # the last pair is at the bound
+
+
 def test_empty_and_single_vectors(spark):
     none = spark.createDataFrame([], "idx long, v array<double>")
     assert simjoin.similarity_join(none, 0.4).count() == 0
