@@ -27,14 +27,14 @@ def square_box(box: Column, padding: float, width: Column, height: Column) -> Co
     return F.struct(*(v.cast("int").alias(n) for v, n in ((x, "x"), (y, "y"), (side, "w"), (side, "h"))))
 
 
-def normalise_box(box: Column, width: Column, height: Column, digits: int = 4) -> Column:
-    """x, y from 0 and w, h up to 1, as shares of the image."""
+def normalise_box(box: Column, width: Column, height: Column, digits: int = 4, even: bool = False) -> Column:
+    """x, y from 0 and w, h up to 1, as shares of the image. even: see to_fixed."""
 
     def low(v: Column) -> Column:
-        return to_fixed(F.greatest(F.lit(0.0), v), digits)
+        return to_fixed(F.greatest(F.lit(0.0), v), digits, even)
 
     def high(v: Column) -> Column:
-        return to_fixed(F.least(F.lit(1.0), v), digits)
+        return to_fixed(F.least(F.lit(1.0), v), digits, even)
 
     return F.array(low(box.x / width), low(box.y / height), high(box.w / width), high(box.h / height))
 

@@ -21,11 +21,18 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
-def to_fixed(x: Column, digits: int) -> Column:
-    """x from 0 to 8, rounded by its exact binary value; Spark's round goes by the shortest decimal that names it."""
+def to_fixed(x: Column, digits: int, even: bool = False) -> Column:
+    """x from 0 to 8, rounded by its exact binary value; Spark's round goes by the shortest decimal that names it.
+
+    Values halfway between two go up, as toFixed does it; with even to the even one, as printf does it.
+    """
     unit = 1 << 59
     exact = (x * F.lit(float(unit))).cast("long").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(10,0)") + F.lit(unit // 2).cast("decimal(20,0)")
-    return ((exact - F.pmod(exact, F.lit(unit).cast("decimal(20,0)"))) / F.lit(unit).cast("decimal(20,0)")).cast("double") / F.lit(float(10**digits))
+    rest = F.pmod(exact, F.lit(unit).cast("decimal(20,0)"))
+    whole = ((exact - rest) / F.lit(unit).cast("decimal(20,0)")).cast("double")
+    if even:
+        whole = F.when((rest == 0) & (whole % 2 == 1), whole - 1).otherwise(whole)
+    return whole / F.lit(float(10**digits))
 
 
 def pad4(n: Column) -> Column:

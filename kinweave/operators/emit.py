@@ -23,10 +23,10 @@ def public_people(bridge: DataFrame, people: DataFrame) -> DataFrame:
     return joined.select("id", "ordinal", "name", F.when(F.col("featured"), F.lit(True)).alias("featured"), F.size("photos").alias("photoCount"), "photos")
 
 
-def public_photo_faces(bridge: DataFrame, sizes: DataFrame) -> DataFrame:
-    """photo_id, faces: struct(p, b) of the visible people's faces; photos without any are left out. bridge: person_id, photo_id, face_idx, box."""
+def public_photo_faces(bridge: DataFrame, sizes: DataFrame, even: bool = False) -> DataFrame:
+    """photo_id, faces: struct(p, b) of the visible people's faces; photos without any are left out. bridge: person_id, photo_id, face_idx, box. even: see to_fixed."""
     joined = bridge.join(sizes.select(F.col("id").alias("photo_id"), "width", "height"), "photo_id")
-    rows = joined.select("photo_id", F.struct("face_idx", F.struct(F.col("person_id").alias("p"), normalise_box(F.col("box"), F.col("width"), F.col("height")).alias("b")).alias("f")).alias("x"))
+    rows = joined.select("photo_id", F.struct("face_idx", F.struct(F.col("person_id").alias("p"), normalise_box(F.col("box"), F.col("width"), F.col("height"), even=even).alias("b")).alias("f")).alias("x"))
     return rows.groupBy("photo_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda s: s["f"]).alias("faces"))
 
 
