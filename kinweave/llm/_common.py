@@ -86,7 +86,7 @@ _CODE = LOWER_CODE = _table((c + 32 if 65 <= c <= 90 else c) + 1 for c in range(
 _PLACES = 1024
 _FACTOR = mix64(np.arange(1, _PLACES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 #: Bytes that are hashed at once; a single longer word is taken whole.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ FAN = 8
 DEEPEST = 6
 RATE = 0.5
 #: Rows of the table of weights that a shard's features are hashed to, as a power of two, and events that are looked at together.
-TABLE, CHUNK = 18, 1 << 16
+TABLE, CHUNK = 18, 1 << 15
 _SALTS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3))
 _NODE, _SPREAD = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 _ABSENT = np.float32(-1e9)
@@ -103,17 +103,31 @@ def _split(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return parent, child, np.array(up), np.array(turn), np.array(prior).reshape(-1, FAN)
 
 
+def equal_events(one: np.ndarray, two: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct event first is, and which of them each event is."""
+    own, last = one.astype(U64) << U64(32) | two.astype(U64), leaves.astype(U64)
+    bits = max((int(x.max()).bit_length() for x in (one, two, leaves)), default=0) if len(one) else 0
+    if bits <= 21:  # all three fit into 64 bits
+        own = (one.astype(U64) << U64(bits) | two.astype(U64)) << U64(bits) | last
+    else:
+        own = np.unique(own, return_inverse=True)[1].astype(U64) << U64(32) | last
+    return np.unique(own, return_index=True, return_inverse=True)[1:]
+
+
 def train_and_score(tree: Tree, one: np.ndarray, two: np.ndarray, leaves: np.ndarray, fits: np.ndarray, rounds: int, table: int = TABLE) -> np.ndarray:
     """Natural logarithms of the chances of the leaves, given the codes of the previous token and the one before it.
 
     Weights start at 0, where the chances are the leaves' shares. Each of the `rounds` takes its part of the events that `fits` selects, sums the
     slope of their log chance over the features (previous token, token before it and both, each with a node) and makes an AdaGrad step.
+    Equal events are worked once, and their slope counts as often as `fits` selects them.
     """
-    one, two = one.astype(U64), two.astype(U64)
+    first, back = equal_events(one, two, leaves)
+    times = np.bincount(back, fits, len(first)).astype(np.float32)
+    one, two, leaves = one[first].astype(U64), two[first].astype(U64), leaves[first]
     features = (mix64(one ^ _SALTS[0]), mix64(two ^ _SALTS[1]), mix64((one << U64(32) | two) ^ _SALTS[2]))
     # by the event itself, so that the order of arrival doesn't matter
     turn = (mix64(features[2] + leaves.astype(U64)) % U64(max(1, rounds))).astype(np.int16)
-    turn[~fits] = rounds
+    turn[times == 0] = rounds
     order = np.argsort(turn, kind="stable")
     cuts = np.searchsorted(turn[order], np.arange(rounds + 1))
     weights, seen = np.zeros((1 << table, FAN), dtype=np.float32), np.ones((1 << table, FAN), dtype=np.float32)
@@ -132,19 +146,20 @@ def train_and_score(tree: Tree, one: np.ndarray, two: np.ndarray, leaves: np.nda
         taken = z[np.arange(len(z)), child]
         return at, child, rows, np.exp(z, out=z), taken
 
-    columns = np.arange(FAN)
     for r in range(rounds):
         own = order[cuts[r] : cuts[r + 1]]
         if not len(own):
             continue
-        slope = np.zeros(weights.size, dtype=np.float32)
+        slope = np.zeros(weights.shape[::-1], dtype=np.float32)
         for lo in range(0, len(own), CHUNK):
-            _, child, rows, z, _ = look(own[lo : lo + CHUNK])
+            at, child, rows, z, _ = look(own[lo : lo + CHUNK])
             z /= -(z @ ones)[:, None]
             z[np.arange(len(z)), child] += 1
-            places = np.concatenate([(s[:, None] * FAN + columns).ravel() for s in rows])
-            slope += np.bincount(places, np.tile(z.ravel(), len(rows)), weights.size)
-        slope = slope.reshape(weights.shape)
+            z *= times[own[lo : lo + CHUNK]][at][:, None]
+            places = np.concatenate(rows)
+            for j in range(FAN):  # by children, so that the sums stay in the cache
+                slope[j] += np.bincount(places, np.tile(z[:, j], len(rows)), len(weights))
+        slope = np.ascontiguousarray(slope.T)
         seen += slope * slope
         slope /= np.sqrt(seen)
         slope *= np.float32(RATE)
@@ -154,4 +169,4 @@ def train_and_score(tree: Tree, one: np.ndarray, two: np.ndarray, leaves: np.nda
         x = np.arange(lo, min(len(leaves), lo + CHUNK))
         at, _, _, z, taken = look(x)
         out[x] = np.bincount(at, taken - np.log(z @ ones), len(x))
-    return out
+    return out[back]
