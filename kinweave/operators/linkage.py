@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions.scalars import l2_distance
 from ..storage import write_table
 from .components import label_all
-from .simjoin import similarity_join
+from .simjoin import BLOCK, similarity_join
 
 
 def average_linkage(vectors: np.ndarray, photos: list[set], start: np.ndarray | None = None, cfg: EngineConfig = DEFAULT) -> list[list[int]]:
@@ -78,7 +80,9 @@ def micro_pairs(faces: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 def micro_clusters(faces: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """face_idx, start: single linkage below the micro bound, whoever is in the same photo."""
     every = faces.select(F.col("face_idx").cast("long").alias("face_idx"))
-    return label_all(every, micro_pairs(faces, cfg), "face_idx").select(F.col("node").alias("face_idx"), F.col("root").alias("start"))
+    vectors = faces.select(F.col("face_idx").alias("idx"), F.col("descriptor").alias("v"))
+    links = similarity_join(vectors, math.nextafter(cfg.micro, 0.0), BLOCK, True)  # not all pairs, of which a group of copies has the square of its size
+    return label_all(every, links, "face_idx").select(F.col("node").alias("face_idx"), F.col("root").alias("start"))
 
 
 def cluster_faces(faces: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:

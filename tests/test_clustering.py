@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -217,6 +218,76 @@ def test_micro_clusters_find_their_pairs_once(spark, monkeypatch):
     assert [s.value for s in found] in ([3], [4])  # the last pair is at the bound
 
 
+def test_micro_clusters_keep_few_links_of_copies(spark, monkeypatch):
+    found = []
+
+    def join(*args):
+        pairs, seen = counted(spark, simjoin.similarity_join(*args))
+        found.append(seen)
+        return pairs
+
+    monkeypatch.setattr(linkage, "similarity_join", join)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(0, 5, (3, 8)), 100, axis=0)
+    rows = spark.createDataFrame([(i, f"t-{i}", v.tolist()) for i, v in enumerate(x)], "face_idx int, photo_id string, descriptor array<double>")
+    before = folders(spark)
+    assert {tuple(r) for r in linkage.micro_clusters(rows).collect()} == {(i, i // 100 * 100) for i in range(300)}
+    assert [s.value for s in found] == [297]  # of 14,850 pairs
+    chunks = [spark.read.parquet(str(m)) for m in folders(spark) - before]
+    assert [dict(c.dtypes)["v"] for c in chunks if "v" in c.columns] == ["array<int>"]  # four bytes for each number
+
+
+def joined(a, b, n) -> list[int]:
+    """The least name that each of n reaches."""
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for i, j in zip(a, b, strict=True):
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    return root
+
+
+@pytest.mark.parametrize("far", [0.0, 1e7])
+def test_links_join_what_all_pairs_join(spark, far):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.16, (60, 4)) for c in (0, 3, 6)]) + far
+    x = np.concatenate([x, np.full((1, 4), np.nan), np.full((1, 4), np.inf), np.full((2, 4), 1e200)])
+    rows = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "idx long, v array<double>")
+    with np.errstate(all="ignore"):
+        pairs = [(i, j) for i, j in itertools.combinations(range(len(x)), 2) if np.sqrt(((x[i] - x[j]) ** 2).sum()) <= 0.2]
+    links = [tuple(r) for r in simjoin.similarity_join(rows, 0.2, 16, True).collect()]
+    assert {tuple(sorted(k)) for k in links} <= set(pairs) and 20 < len(set(joined(*zip(*pairs, strict=True), len(x)))) < len(x) - 20
+    assert joined(*zip(*links, strict=True), len(x)) == joined(*zip(*pairs, strict=True), len(x))
+
+
+def test_links_at_the_bound_are_told_by_the_true_vectors(spark):
+    x = [(0.0, 0.0), (0.1, 0.0), (0.3, 0.0), (0.7, 0.0), (0.7, 0.4), (5.0, 0.1), (5.0, 0.5), (5.0, 0.9)]
+    rows = spark.createDataFrame([(i, list(p)) for i, p in enumerate(x)], "idx long, v array<double>")
+    for within in (0.4, np.nextafter(0.4, 0), np.nextafter(0.4, 1), np.sqrt(0.4 * 0.4)):
+        pairs = [(i, j) for i, j in itertools.combinations(range(len(x)), 2) if np.sqrt(((np.array(x[i]) - np.array(x[j])) ** 2).sum()) <= within]
+        links = [tuple(r) for r in simjoin.similarity_join(rows, float(within), 4, True).collect()]
+        assert joined(*zip(*links, strict=True), len(x)) == joined(*zip(*pairs, strict=True), len(x))
+
+
+def test_cells_leave_no_shuffles(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "idx long, v array<double>")
+    rows = rows.repartition(4, "idx")
+    before = shuffled()
+    assert len(simjoin.Cells(rows, 16).chunk) > 10
+    for _ in range(50):  # they are deleted in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 def test_empty_and_single_vectors(spark):
     none = spark.createDataFrame([], "idx long, v array<double>")
     assert simjoin.similarity_join(none, 0.4).count() == 0
